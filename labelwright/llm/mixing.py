@@ -99,7 +99,8 @@ def mix(docs: DataFrame, schedule: Callable[[int], Schedule], budget: float = 1.
     spark = docs.sparkSession
     rows = docs if "size" in docs.columns else sized(docs)
     rows = rows.select("doc_id", "source", "size").withColumn("ord", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
-    rows = rows.withColumn("bucket", F.conv(F.substring("ord", 1, 8), 16, 10).cast("long") % F.lit(buckets))
+    # buckets follow the order: runs of its first 32 bits
+    rows = rows.withColumn("bucket", F.shiftright(F.conv(F.substring("ord", 1, 8), 16, 10).cast("long") * F.lit(buckets), 32))
     totals = rows.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
