@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pu_quality, repetition, sharding
+from . import decontam, mixing, pu_quality, repetition, sharding, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,17 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.select("doc_id", F.col("toxic").alias("label")), toxicity.held_out_quarter())
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out_quarter().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op6_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = repetition.repetition_rules(table(spark, sf_dir, "documents"))
     return rules.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -37,6 +48,8 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
+    "op2_decontamination": op2_decontamination,
+    "op3_toxicity": op3_toxicity,
     "op6_repetition": op6_repetition,
     "op7_quality": op7_quality,
     "op9_sharding": op9_sharding,

@@ -201,3 +201,31 @@ def covered(starts: np.ndarray, width: int | np.ndarray, n: int) -> np.ndarray:
     """Which of n positions lie in some start:start+width."""
     edge = np.bincount(starts, minlength=n + 1) - np.bincount(starts + width, minlength=n + 1)
     return np.cumsum(edge[:n]) > 0
+
+
+_CORE = np.zeros(256, dtype=bool)
+_CORE[48:58] = _CORE[65:91] = _CORE[97:123] = True
+_CORE[128:] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes in lower case, for ASCII and Latin-1 letters."""
+    out = _LOWER[data]
+    after = np.zeros(len(data), dtype=bool)
+    after[1:] = data[:-1] == 0xC3
+    big = after & (data >= 0x80) & (data <= 0x9E) & (data != 0x97)
+    out[big] += 32
+    return out
+
+
+def cores(t: Texts, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the words with a letter or digit: their indices, and the spans without marks at either end."""
+    solid = _CORE[t.data]
+    before = np.zeros(len(solid) + 1, dtype=np.int64)
+    np.cumsum(solid, out=before[1:])
+    place = np.flatnonzero(solid)
+    lo, hi = before[w.start], before[w.end]
+    has = np.flatnonzero(hi > lo)
+    return has, place[lo[has]], place[hi[has] - 1] + 1
