@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, pu_quality, repetition, sharding, toxicity
+from . import decontam, html_extract, mixing, pu_quality, repetition, sharding, superkmer, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out_quarter().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = repetition.repetition_rules(table(spark, sf_dir, "documents"))
     return rules.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -41,6 +45,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", pu_quality.held_out_third().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superkmer.dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(table(spark, sf_dir, "documents"), 24)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -50,8 +58,10 @@ QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op2_decontamination": op2_decontamination,
     "op3_toxicity": op3_toxicity,
+    "op5_html": op5_html,
     "op6_repetition": op6_repetition,
     "op7_quality": op7_quality,
+    "op8_substrings": op8_substrings,
     "op9_sharding": op9_sharding,
 }
 
@@ -81,4 +91,21 @@ ORACLES: dict[str, str] = {
                (CASE WHEN source_size = 0 THEN 0
                      ELSE (tokens // source_size) * size + least(greatest(tokens % source_size - before, 0), size) END)::BIGINT AS taken
         FROM placed""",
+    "op8_substrings": r"""
+        WITH words AS (
+            SELECT doc_id, text, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+        windows AS (
+            SELECT doc_id, i AS start, array_to_string(w[i:i + 19], ' ') AS win
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM words WHERE len(w) >= 20)),
+        late AS (
+            SELECT doc_id, start FROM (
+                SELECT doc_id, start, row_number() OVER (PARTITION BY win ORDER BY doc_id, start) AS k FROM windows) WHERE k > 1),
+        gone AS (SELECT DISTINCT doc_id, start + j AS p FROM late, unnest(range(0, 20)) AS u(j)),
+        each AS (
+            SELECT words.doc_id, k AS p, w[k] AS word FROM words, unnest(range(1, len(w) + 1)) AS v(k)),
+        kept AS (
+            SELECT each.doc_id, string_agg(CASE WHEN gone.p IS NULL THEN word END, ' ' ORDER BY each.p) AS kept, count(gone.p) AS n_removed
+            FROM each LEFT JOIN gone ON each.doc_id = gone.doc_id AND each.p = gone.p GROUP BY each.doc_id)
+        SELECT words.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM words LEFT JOIN kept ON words.doc_id = kept.doc_id""",
 }
