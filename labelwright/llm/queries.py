@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, mixing, pu_quality, repetition, sharding, superkmer, toxicity
+from . import decontam, html_extract, lsh_forest, mixing, pu_quality, repetition, sharding, superkmer, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,10 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op2_decontamination": op2_decontamination,
@@ -63,6 +67,7 @@ QUERIES: dict[str, Query] = {
     "op7_quality": op7_quality,
     "op8_substrings": op8_substrings,
     "op9_sharding": op9_sharding,
+    "op10_jaccard": op10_jaccard,
 }
 
 ORACLES: dict[str, str] = {
