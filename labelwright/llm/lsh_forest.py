@@ -323,6 +323,6 @@ def classes(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
 
 def keep_first(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
     """One row of docs for each class, the one with the least doc_id; rows without a doc_id stay. Columns unchanged."""
-    extra = classes(docs, setting).where("doc_id <> class_id").select(F.col("doc_id").alias("x_id")).distinct()
-    kept = docs.where("doc_id is not null").join(extra, F.col("doc_id") == F.col("x_id"), "left_anti").dropDuplicates(["doc_id"])
+    extra = classes(docs, setting).where("doc_id <> class_id").select(F.col("doc_id").alias("__extra_id")).distinct()
+    kept = docs.where("doc_id is not null").join(extra, F.col("doc_id") == F.col("__extra_id"), "left_anti").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null"))

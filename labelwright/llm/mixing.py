@@ -91,14 +91,13 @@ def sized(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, schedule: Callable[[int], Schedule], budget: float = 1.5, max_epochs: float = 2.0, buckets: int = 4096) -> DataFrame:
     """One row per document with what the mix takes of it.
 
-    docs: doc_id, source, and text or its size in words. schedule(k) is the schedule of the k-th source in code point
-    order, null last; budget is in multiples of all words. Adds source_size, target (words of the source), taken (words
+    docs: doc_id, source, text. schedule(k) is the schedule of the k-th source in code point order, null last; budget is
+    in multiples of all words. Adds source_size, target (words of the source), taken (words
     of this document, over all epochs) and positions (training progress of each copy, in order; the last copy may be
     cut where the budget of its source ends). Rows come range-sorted by their first position, untaken ones last.
     """
     spark = docs.sparkSession
-    rows = docs if "size" in docs.columns else sized(docs)
-    rows = rows.select("doc_id", "source", "size").withColumn("ord", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
+    rows = sized(docs).withColumn("ord", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
     # buckets follow the order: runs of its first 32 bits
     rows = rows.withColumn("bucket", F.shiftright(F.conv(F.substring("ord", 1, 8), 16, 10).cast("long") * F.lit(buckets), 32))
     totals = rows.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()
@@ -134,6 +133,24 @@ def mix(docs: DataFrame, schedule: Callable[[int], Schedule], budget: float = 1.
     return rows.repartitionByRange("rank", "ord").sortWithinPartitions("rank", "ord").select("doc_id", "source", "size", "source_size", "target", "taken", "positions")
 
 
+def take_copies(docs: DataFrame, schedule: Callable[[int], Schedule], budget: float = 1.5, max_epochs: float = 2.0) -> DataFrame:
+    """The mix itself: a row of docs, columns unchanged, for each copy taken, range-sorted by training position.
+
+    Documents stay whole: the copy that is cut at the end of its source's budget is taken if at least half of it is
+    due. Rows alike in doc_id, source and size share one decision.
+    """
+    mixed = mix(docs, schedule, budget, max_epochs).where("taken > 0")
+    due = mixed.groupBy("doc_id", "source", "size").agg(F.max(F.struct("taken", "positions")).alias("due"))
+    due = due.select(F.col("doc_id").alias("__mix_id"), F.col("source").alias("__mix_source"), F.col("size").alias("__mix_size"), "due")
+    due = due.select("__mix_id", "__mix_source", "__mix_size", F.posexplode("due.positions").alias("__mix_copy", "__mix_position"), F.col("due.taken").alias("__mix_taken"))
+    due = due.where(2 * (F.col("__mix_taken") - F.col("__mix_copy") * F.col("__mix_size")) >= F.col("__mix_size"))
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    rows = docs.withColumn("__mix_words", size)
+    same = F.col("doc_id").eqNullSafe(F.col("__mix_id")) & F.col("source").eqNullSafe(F.col("__mix_source")) & (F.col("__mix_words") == F.col("__mix_size"))
+    rows = rows.join(due, same)
+    return rows.repartitionByRange("__mix_position").sortWithinPartitions("__mix_position").select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def curriculum(k: int) -> Schedule:
     """Mean weights 3, 1, 2, repeating: the heavy sources fade, the light ones grow, the others stay level."""
     return (ramp(3.0, 4 / 3, 2 / 3), ramp(1.0, 0.5, 1.5), constant(2.0))[k % 3]

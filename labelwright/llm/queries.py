@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, lsh_forest, mixing, pu_quality, repetition, sharding, superkmer, toxicity
+from . import decontam, html_extract, lm_score, lsh_forest, mixing, pu_quality, repetition, sharding, superkmer, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out_quarter().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target is every document labelled as good; the background is the whole table."""
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return lm_score.score_corpus(table(spark, sf_dir, "documents"), good)
+
+
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
@@ -62,6 +68,7 @@ QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op2_decontamination": op2_decontamination,
     "op3_toxicity": op3_toxicity,
+    "op4_lm_score": op4_lm_score,
     "op5_html": op5_html,
     "op6_repetition": op6_repetition,
     "op7_quality": op7_quality,

@@ -17,8 +17,10 @@ ones. Repeated rows get slots of their own. An empty table gives an empty result
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, written
@@ -38,9 +40,10 @@ def pack(vectors: np.ndarray, shards: int, weights: tuple[float, ...]) -> np.nda
     return out
 
 
-def measured(docs: DataFrame) -> DataFrame:
+def measured(docs: DataFrame, *more: Column) -> DataFrame:
     text = F.col("text").cast("binary")
     return docs.select(
+        *more,
         "doc_id",
         (F.coalesce(F.octet_length(text), F.lit(0)) + ROW_OVERHEAD).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
@@ -49,17 +52,38 @@ def measured(docs: DataFrame) -> DataFrame:
     )
 
 
-def shard(docs: DataFrame, shards: int = 24, cells: int = 4096, sub_buckets: int = 256, weights: tuple[float, float, float] = (2.0, 1.0, 1.0)) -> DataFrame:
-    """doc_id, size, text_crc32, tokens, shard, slot for every row of docs (doc_id, text).
+@dataclass(frozen=True)
+class Setting:
+    cells: int = 4096
+    sub_buckets: int = 256
+    #: Of bytes, tokens and rows in the dot product.
+    weights: tuple[float, float, float] = (2.0, 1.0, 1.0)
+
 
-    weights: of bytes, tokens and rows in the dot product.
-    """
-    spark = docs.sparkSession
+def shard(docs: DataFrame, shards: int = 24, setting: Setting = Setting()) -> DataFrame:
+    """doc_id, size, text_crc32, tokens, group, shard, slot for every row of docs (doc_id, text)."""
     rows = written(measured(docs), "sharding")
-    total = rows.agg(F.sum("size"), F.sum("tokens"), F.count(F.lit(1))).first()
+    placed = _place(rows, rows, shards, setting)
+    return placed.select("doc_id", "size", "text_crc32", "tokens", "group", "shard", "slot")
+
+
+def place(docs: DataFrame, shards: int = 24, setting: Setting = Setting()) -> DataFrame:
+    """The rows of docs with size, text_crc32, shard and slot; columns of docs with these names are replaced."""
+    added = ["size", "text_crc32", "shard", "slot"]
+    kept = [c for c in docs.columns if c not in added]
+    row = F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row")
+    stats = written(measured(docs), "sharding")
+    placed = _place(stats, measured(docs, row), shards, setting)
+    return placed.select("row.*", *added)
+
+
+def _place(stats: DataFrame, rows: DataFrame, shards: int, setting: Setting) -> DataFrame:
+    """rows with shard and slot, packed by the sums of stats."""
+    spark, cells = rows.sparkSession, setting.cells
+    total = stats.agg(F.sum("size"), F.sum("tokens"), F.count(F.lit(1))).first()
     total = [float(x or 0) for x in total]
     # groups above a cell's share; fewer than 3 x cells, as each holds over 1/cells of a total
-    groups = rows.groupBy("group").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("r"))
+    groups = stats.groupBy("group").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("r"))
     is_large = F.lit(False)
     for c, x in zip("btr", total):
         is_large = is_large | (F.col(c) > x / cells)
@@ -74,7 +98,7 @@ def shard(docs: DataFrame, shards: int = 24, cells: int = 4096, sub_buckets: int
         for p in range(pieces):
             items.append((r.large, r.cell, pieces, p))
             vectors.append(v / pieces)
-    put = pack(np.array(vectors), shards, weights) if items else []
+    put = pack(np.array(vectors), shards, setting.weights) if items else []
     plan = [(*x, int(s)) for x, s in zip(items, put)]
     # both bounded by the number of cells, so they can be broadcast
     large = spark.createDataFrame([(g, n) for g, _, n, p, _ in plan if g is not None and p == 0], "large long, pieces int")
@@ -83,11 +107,11 @@ def shard(docs: DataFrame, shards: int = 24, cells: int = 4096, sub_buckets: int
     rows = rows.withColumn("key", F.coalesce(F.col("large"), cell)).withColumn("spread", F.xxhash64("doc_id", "group"))
     rows = rows.withColumn("piece", F.when(F.col("pieces") > 1, F.pmod("spread", F.col("pieces").cast("long")).cast("int")).otherwise(0))
     rows = rows.join(F.broadcast(places), (F.col("key") == F.col("p_key")) & (F.col("large").isNotNull() == F.col("p_large")) & (F.col("piece") == F.col("p_piece")))
-    rows = rows.withColumn("sub", F.pmod(F.xxhash64("spread", F.lit(7)), F.lit(sub_buckets)).cast("int"))
+    rows = rows.withColumn("sub", F.pmod(F.xxhash64("spread", F.lit(7)), F.lit(setting.sub_buckets)).cast("int"))
     counts = rows.groupBy("shard", "sub").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.select(F.col("shard").alias("c_shard"), F.col("sub").alias("c_sub"), (F.sum("n").over(Window.partitionBy("shard").orderBy("sub")) - F.col("n")).alias("base"))
     # shards x sub_buckets rows
     rows = rows.join(F.broadcast(counts), (F.col("shard") == F.col("c_shard")) & (F.col("sub") == F.col("c_sub")))
     order = Window.partitionBy("shard", "sub").orderBy("spread", "doc_id", "text_crc32", "size")
     slot = (F.col("base") + F.row_number().over(order) - 1).cast("long")
-    return rows.select("doc_id", "size", "text_crc32", "tokens", "group", F.col("shard").cast("int"), slot.alias("slot"))
+    return rows.withColumn("shard", F.col("shard").cast("int")).withColumn("slot", slot)
