@@ -1,6 +1,6 @@
 """The registered queries of the screening engine."""
 
-from . import text_queries, verdict_queries
+from . import resolution_queries, text_queries, verdict_queries
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "text_queries", "verdict_queries"]
+__all__ = ["ORACLES", "QUERIES", "resolution_queries", "text_queries", "verdict_queries"]

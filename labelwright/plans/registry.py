@@ -93,7 +93,9 @@ def with_views(names: tuple[str, ...], body: str) -> str:
     parts = [f"{n} AS ({VIEWS[n]})" for n in _closure(names)]
     body = body.strip()
     if body.upper().startswith("WITH "):
-        return "WITH " + ",\n".join(parts + [body[5:]])
+        rest = body[5:]
+        recursive = "RECURSIVE " if " climb " in rest else ""
+        return f"WITH {recursive}" + ",\n".join(parts + [rest])
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body
 
 
