@@ -1 +1,5 @@
+"""Structured Streaming forms: windows with late data, once-only keys, and the cached fetch as a stream sink."""
 
+from .windows import once_per_key, upsert_latest, windowed_counts
+
+__all__ = ["once_per_key", "upsert_latest", "windowed_counts"]
