@@ -267,8 +267,9 @@ def classes(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
     members = members.join(sizes, F.col("root") == F.col("s_root")).select("node", "root", "blocks")
     copies = texts.where("keys is not null").select(F.col("node").alias("t_node"), "k1", "k2", "copies")
     members = written(members.join(copies, F.col("node") == F.col("t_node")).select("node", "root", "blocks", "k1", "k2", "copies"), "members")
+    # members grow with the corpus: a shuffled join at every size
     m = members.select("node", "root", "blocks", "copies", F.col("k1").alias("m_k1"), F.col("k2").alias("m_k2"))
-    picked = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").join(m, F.col("doc_id") == F.col("node")).select("node", "root", "blocks", "copies", "m_k1", "m_k2", "text")
+    picked = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").join(m.hint("merge"), F.col("doc_id") == F.col("node")).select("node", "root", "blocks", "copies", "m_k1", "m_k2", "text")
 
     def to_sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep, sets, at = [], [], 0
@@ -324,5 +325,5 @@ def classes(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
 def keep_first(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
     """One row of docs for each class, the one with the least doc_id; rows without a doc_id stay. Columns unchanged."""
     extra = classes(docs, setting).where("doc_id <> class_id").select(F.col("doc_id").alias("__extra_id")).distinct()
-    kept = docs.where("doc_id is not null").join(extra, F.col("doc_id") == F.col("__extra_id"), "left_anti").dropDuplicates(["doc_id"])
+    kept = docs.where("doc_id is not null").join(extra.hint("merge"), F.col("doc_id") == F.col("__extra_id"), "left_anti").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null"))
