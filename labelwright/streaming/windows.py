@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 def windowed_counts(events: DataFrame, length: str, slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """event_type, start, end, n per event-time window; on a stream, events later than ``late`` are dropped."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = rows.withWatermark("ts", late) if events.isStreaming else rows
     window = F.window("ts", length, slide) if slide else F.window("ts", length)
     counts = rows.groupBy(window.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
     return counts.select("event_type", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
@@ -19,7 +20,7 @@ def windowed_counts(events: DataFrame, length: str, slide: str | None = None, la
 def once_per_key(rows: DataFrame, key: str, late: str = "1 hour") -> DataFrame:
     """The first row of each key; a stream forgets keys after ``late``, so its state is bounded."""
     if rows.isStreaming:
-        return rows.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
+        return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
     return rows.groupBy(key).agg(F.min_by(F.struct(*rows.columns), "ts").alias("r")).select("r.*")
 
 
