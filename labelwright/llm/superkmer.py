@@ -9,7 +9,7 @@ Scale: a window costs some 1/8 of a packed string rather than ``width`` words. E
 (``block_bytes``), so a passage in a third of all documents reaches its bucket once per block, with its places. A
 minimiser that many different strings share (a common line in many contexts) is found by a counting pass; its windows
 travel by their own hash instead, which spreads them. Buckets are a multiple of spark.sql.shuffle.partitions and each
-is read by one task at a time. Marks come back as word ranges keyed by document; texts are shuffled once, for the join.
+is read by one task at a time. Marks come back as word ranges keyed by document; texts are shuffled once, compressed, for the join.
 A minimiser seen at most once in every block escapes the count, so a bucket may hold one string more per block.
 
 A null text has no words. A null doc_id is later than any other. Rows with the same doc_id are told apart by their
@@ -34,10 +34,24 @@ from .common import shuffled
 LAST = (1 << 63) - 1
 
 
+def _squeeze(raw: bytes) -> bytes:
+    """The size, then the compressed bytes."""
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True)
+
+
+def _size(packed: bytes) -> int:
+    return int.from_bytes(packed[:8], "little")
+
+
+def _unsqueeze(packed: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(packed[8:], _size(packed), asbytes=True) if _size(packed) else b""
+
+
+
 @dataclass(frozen=True)
 class Setting:
     width: int = 20
-    gram: int = 5
+    gram: int = 3
     block_bytes: int = 24 << 20
     #: Different strings of one minimiser, over all blocks, from which its windows travel singly.
     crowded: int = 20_000
@@ -129,11 +143,11 @@ def _pack(strings: list[bytes], counts: np.ndarray, doc: np.ndarray, text: np.nd
     sizes = np.array([len(s) for s in strings], dtype=np.int32)
     head = np.array([len(strings), len(doc)], dtype=np.int64)
     raw = b"".join([head.tobytes(), sizes.tobytes(), counts.astype(np.int32).tobytes(), doc.tobytes(), text.tobytes(), start.astype(np.int32).tobytes(), *strings])
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    return _squeeze(raw)
 
 
 def _unpack(blob: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+    raw = _unsqueeze(blob)
     n, m = np.frombuffer(raw, np.int64, 2)
     at, parts = 16, []
     for kind, size in ((np.int32, n), (np.int32, n), (np.int64, m), (np.int64, m), (np.int32, m)):
@@ -295,14 +309,42 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_key"), F.xxhash64(text).alias("text_key"))
 
 
+def _packed_texts(rows: DataFrame) -> DataFrame:
+    """rows with the text compressed, document by document, for the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = [_squeeze((t.as_py() or "").encode()) for t in batch.column("text")]
+            columns = [batch.column(c) for c in ("doc_id", "doc_key", "text_key")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(packed, pa.binary())], names=["doc_id", "doc_key", "text_key", "packed"])
+
+    return rows.mapInArrow(run, "doc_id long, doc_key long, text_key long, packed binary")
+
+
+def _texts_again(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch with its texts, in bounded slices."""
+    i = 0
+    sizes = [_size(x.as_py()) for x in batch.column("packed")]
+    while i < batch.num_rows:
+        j, size = i, 0
+        while j < batch.num_rows and (j == i or size + sizes[j] <= tk.SLICE_BYTES):
+            size += sizes[j]
+            j += 1
+        part = batch.slice(i, j - i)
+        texts = [_unsqueeze(x.as_py()) for x in part.column("packed")]
+        text = pa.array(texts, pa.binary()).cast(pa.large_binary()).cast(pa.large_string())
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), text, part.column("lo"), part.column("hi")], names=["doc_id", "text", "lo", "hi"])
+        i = j
+
+
 def dedup(docs: DataFrame, setting: Setting = Setting(), with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept: the words left, one space apart) for every row of docs."""
     ranges = removed_ranges(docs, setting).select(F.col("doc_key").alias("r_doc"), F.col("text_key").alias("r_text"), "lo", "hi")
-    rows = _keyed(docs).join(ranges, (F.col("doc_key") == F.col("r_doc")) & (F.col("text_key") == F.col("r_text")), "left").select("doc_id", "text", "lo", "hi")
+    rows = _packed_texts(_keyed(docs)).join(ranges, (F.col("doc_key") == F.col("r_doc")) & (F.col("text_key") == F.col("r_text")), "left").select("doc_id", "packed", "lo", "hi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in tk.slices(batch, "text"):
+            for piece in _texts_again(batch):
                 t = tk.texts_of(piece.column("text"))
                 w = tk.words_of(t)
                 lo, hi = piece.column("lo"), piece.column("hi")
