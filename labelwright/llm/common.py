@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,15 +25,29 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_tables: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _remove_tables() -> None:
+    """Deletes what written() left, on the file system it lies on; without a JVM to ask, it stays."""
+    for spark, path in _tables:
+        with contextlib.suppress(Exception):
+            jvm = spark.sparkContext._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows written once as Parquet in the shared folder and read again.
 
     This cuts the lineage: lost executors cost only the tasks that read the table, and later passes read columns
-    instead of computing them anew.
+    instead of computing them anew. The table goes when the driver's Python ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/labelwright/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _tables.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
