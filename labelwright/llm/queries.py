@@ -103,6 +103,30 @@ ORACLES: dict[str, str] = {
                (CASE WHEN source_size = 0 THEN 0
                      ELSE (tokens // source_size) * size + least(greatest(tokens % source_size - before, 0), size) END)::BIGINT AS taken
         FROM placed""",
+    "op6_repetition": r"""
+        WITH lists AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS l FROM documents),
+        words AS (SELECT doc_id, i, l[i] AS word FROM lists, unnest(range(1, len(l) + 1)) AS u(i)),
+        windows AS (
+            SELECT doc_id, n, i, array_to_string(l[i:i + n - 1], ' ') AS win
+            FROM (SELECT doc_id, l, n, unnest(range(1, len(l) - n + 2)) AS i FROM lists, (VALUES (5), (6), (7), (8), (9), (10)) AS s(n) WHERE len(l) >= n)),
+        repeated AS (SELECT doc_id, n, i FROM (SELECT doc_id, n, i, count(*) OVER (PARTITION BY doc_id, n, win) AS c FROM windows) WHERE c > 1),
+        covered AS (SELECT DISTINCT doc_id, n, i + j AS p FROM repeated, unnest(range(0, n)) AS u(j)),
+        shares AS (
+            SELECT c.doc_id, c.n, count(*) AS n_covered, sum(length(word)) AS chars FROM covered c JOIN words w ON c.doc_id = w.doc_id AND c.p = w.i GROUP BY 1, 2),
+        lines AS (
+            SELECT doc_id, line, count(*) - 1 AS again, length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS chars
+            FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM lists) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1, 2),
+        dup AS (SELECT doc_id, sum(again) AS n_dup_lines, sum(again * chars) AS dup_chars FROM lines GROUP BY 1),
+        base AS (
+            SELECT doc_id, len(l)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+                   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols FROM lists),
+        over AS (
+            SELECT s.doc_id, max(CASE WHEN n = 5 THEN n_covered END) AS n_repeat, bool_or(chars > (CASE n WHEN 5 THEN 0.20 WHEN 6 THEN 0.19 WHEN 7 THEN 0.18 WHEN 8 THEN 0.17 WHEN 9 THEN 0.16 ELSE 0.15 END)::DOUBLE * word_chars) AS above
+            FROM shares s JOIN base USING (doc_id) GROUP BY 1)
+        SELECT doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat, 0)::BIGINT AS n_repeat_words,
+               (n_words < 10 OR 100 * coalesce(n_repeat, 0) > 20 * n_words) AS base_failed,
+               NOT (n_words < 10 OR 100 * coalesce(n_repeat, 0) > 20 * n_words) AND NOT coalesce(above, false) AND coalesce(dup_chars, 0) <= 0.30::DOUBLE * word_chars AS kept
+        FROM base LEFT JOIN dup USING (doc_id) LEFT JOIN over USING (doc_id)""",
     "op8_substrings": r"""
         WITH words AS (
             SELECT doc_id, text, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
