@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, written
 
 #: Sources that a mix may have; their totals are collected to the driver.
 MAX_SOURCES = 100_000
@@ -97,7 +97,8 @@ def mix(docs: DataFrame, schedule: Callable[[int], Schedule], budget: float = 1.
     cut where the budget of its source ends). Rows come range-sorted by their first position, untaken ones last.
     """
     spark = docs.sparkSession
-    rows = sized(docs).withColumn("ord", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
+    # the texts are read once; what follows works on the sizes
+    rows = written(sized(docs), "sizes").withColumn("ord", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
     # buckets follow the order: runs of its first 32 bits
     rows = rows.withColumn("bucket", F.shiftright(F.conv(F.substring("ord", 1, 8), 16, 10).cast("long") * F.lit(buckets), 32))
     totals = rows.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()
@@ -147,7 +148,7 @@ def take_copies(docs: DataFrame, schedule: Callable[[int], Schedule], budget: fl
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     rows = docs.withColumn("__mix_words", size)
     same = F.col("doc_id").eqNullSafe(F.col("__mix_id")) & F.col("source").eqNullSafe(F.col("__mix_source")) & (F.col("__mix_words") == F.col("__mix_size"))
-    rows = rows.join(due, same)
+    rows = rows.join(due.hint("merge"), same)
     return rows.repartitionByRange("__mix_position").sortWithinPartitions("__mix_position").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
