@@ -137,7 +137,7 @@ def nnpu_fit(z_pos: np.ndarray, z_unl: np.ndarray, prior: float, steps: int = 15
 
 
 def fit(x_pos: np.ndarray, x_unl: np.ndarray, prior: float | None, hinges: int = 8) -> Model:
-    base = np.concatenate([x_pos, x_unl]) if len(x_pos) + len(x_unl) else np.zeros((1, 1))
+    base = np.concatenate([x_pos, x_unl]) if len(x_pos) + len(x_unl) else np.zeros((1, x_pos.shape[1]))
     knots = np.quantile(base, (np.arange(hinges) + 0.5) / hinges, axis=0).T
     top = base.max(axis=0)
     knots = np.concatenate([knots, (knots[:, -1:] + top[:, None]) / 2], axis=1)
@@ -202,7 +202,8 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, sample: Sample =
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("c_role"), values], names=["doc_id", "role", "x"])
 
     got = map_batches(picked, run, "doc_id long, role int, x array<double>").toPandas().sort_values("doc_id", kind="stable")
-    x = np.array(got["x"].tolist(), dtype=np.float64).reshape(len(got), -1)
+    width = features(tk.texts_of(pa.array([""], pa.string()))).shape[1]
+    x = np.array(got["x"].tolist(), dtype=np.float64).reshape(len(got), width)
     role = got["role"].to_numpy()
     return fit(x[(role & 1) > 0], x[(role & 2) > 0], prior)
 
