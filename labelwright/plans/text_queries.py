@@ -110,7 +110,7 @@ def balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, count(*) AS n, md5(string_agg(part, '|' ORDER BY g)) AS digest FROM whole WHERE part <> '' GROUP BY doc_id""",
 )
 def split_top_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = load(spark, sf_dir, "documents").where("n_chars < 3000").select("doc_id", T.split_top_level(F.col("text")).alias("parts")).where(F.size("parts") > 0)
+    parts = load(spark, sf_dir, "documents").select("doc_id", T.split_top_level(F.col("text")).alias("parts")).where(F.size("parts") > 0)
     return parts.select("doc_id", F.size("parts").cast("long").alias("n"), F.md5(F.array_join("parts", "|").cast("binary")).alias("digest"))
 
 
