@@ -29,13 +29,15 @@ from .common import written
 
 # Element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object xmp noembed noframes".split())
+RAW = frozenset("script style textarea title noscript template iframe svg object xmp noembed noframes".split())
+#: Raw elements that may hold others of their kind, and those that reach to the end of the page if never closed.
+_NESTED, _CODE = frozenset("svg object template".split()), frozenset("script style".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form frameset "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table "
     "tbody td tfoot th thead tr ul caption".split()
 )
-NOT_TEXT = frozenset("head script style noscript template iframe svg math object form button input select textarea nav header footer aside menu dialog search title".split())
+NOT_TEXT = frozenset("head script style noscript template iframe svg object annotation annotation-xml form button input select textarea nav header footer aside menu dialog search title".split())
 #: Roles and words of class or id that mark an element as something other than the article.
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 MARKS = frozenset(
@@ -53,7 +55,7 @@ _SAME = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset
 _SCOPE = frozenset("ul ol dl table select article section div body html td th main aside nav".split())
 
 _TOKEN = re.compile(r"<!--(?:.*?-->|.*)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""")
 _WORDS = re.compile(r"[a-z]+")
 _GAP = re.compile(r"\s+")
 
@@ -94,6 +96,21 @@ def _marked(tag: str, attrs: str) -> bool:
     return False
 
 
+def _after_raw(tag: str, attrs: str, source: str, at: int) -> int:
+    """Where the page goes on after a raw element whose start tag ends at ``at``; without an end tag it is empty."""
+    if tag == "svg" and attrs.rstrip().endswith("/"):
+        return at
+    depth = 1
+    for m in re.compile(rf"<(/?){re.escape(tag)}(?![^\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.I).finditer(source, at):
+        if m.group(1):
+            depth -= 1
+        elif tag in _NESTED and not (tag == "svg" and m.group(2).rstrip().endswith("/")):
+            depth += 1
+        if not depth:
+            return m.end()
+    return len(source) if tag in _CODE else at
+
+
 def _close(node: Node) -> None:
     """Digest and length of a finished subtree."""
     h, chars = [node.tag], 0
@@ -118,6 +135,7 @@ def parse(source: str) -> Node:
     stack, at = [root], 0
     find = _TOKEN.search
     n = len(source)
+    ends: dict[str, int] = {}  # where the last end tag of a raw element is
     while at < n:
         m = find(source, at)
         if m is None:
@@ -150,8 +168,10 @@ def parse(source: str) -> Node:
                 stack[-1].parts.append(Node("hr", True))
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*[^>]*>", re.I).search(source, at)
-            at = end.end() if end else n
+            if tag not in ends:
+                ends[tag] = max((x.start() for x in re.finditer(f"</{re.escape(tag)}", source, re.I)), default=-1)
+            if at <= ends[tag] or tag in _CODE:
+                at = _after_raw(tag, m.group(3), source, at)
             continue
         if tag in _P_CLOSERS:
             for k in range(len(stack) - 1, 0, -1):

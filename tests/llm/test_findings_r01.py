@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from labelwright.llm import lm_score
+from labelwright.llm import html_extract, lm_score
 
 
 def brute_lm(rows, target, s):
@@ -63,3 +63,24 @@ def test_op4_edges(spark):
     assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == [(0, 2), (1, 2), (1, 3), (2, 0), (3, 0), (4, 1)]
     assert all((r.score is None) == (r.n_tokens == 0) for r in got)
     assert all(math.isfinite(r.score) for r in lm_score.score_corpus(docs.where("text > ' a'"), ids.limit(0)).collect())
+
+
+def shown(html):
+    return html_extract.text_of(html_extract.parse(html), set())
+
+
+def test_op5_attribute_values_are_no_names():
+    for attrs in ('style="overflow:hidden"', 'title="the hidden cost"', "data-hidden=x", 'alt="a class=nav b"', "data-role='navigation'", "title=hidden"):
+        assert shown(f"<p>a</p><div {attrs}><p>kept</p></div>") == "a\n\nkept", attrs
+    for attrs in ("hidden", "HIDDEN=''", 'class="x nav"', "id = 'footer'", "role=navigation", "aria-hidden='true'", 'title="x"hidden'):
+        assert shown(f"<p>a</p><div {attrs}><p>gone</p></div>") == "a", attrs
+
+
+def test_op5_raw_elements_cut_nothing_else():
+    assert shown('<p>before</p><svg class="i"/><p>after</p>') == "before\n\nafter"
+    assert shown('<p>b</p><svg/><p>mid</p><svg><text>t</text><svg>u</svg><title>v</title></svg><p>after</p>') == "b\n\nmid\n\nafter"
+    for tag in ("svg", "iframe", "object", "noscript", "template"):
+        assert shown(f"<p>before</p><{tag} id=q><p>after</p>") == "before\n\nafter", tag
+    assert shown("<p>a</p><svg><p>b</p><svg>c</svg><p>d</p>") == "a\n\nb\n\nd"
+    assert shown("<p>a</p><script>if (a < b) x()") == "a"
+    assert shown("<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>TeX</annotation></math> holds</p><p>e <math/> f</p></article>") == "so x=2 holds\n\ne f"
