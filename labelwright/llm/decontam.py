@@ -4,14 +4,15 @@ Words lose the marks at their ends and their case; numbers, names (capitalised w
 placeholders. Windows of such templates are hash-joined between benchmark and documents. For every document and item
 the matched windows are laid along their alignments: an item leaks if enough of its tokens are covered and the slots
 are consistent, that is, one benchmark value always stands for one document value. So a passage is caught whether
-copied or asked again with other names and figures.
+copied or asked again with other names and figures. Windows also match word for word, whatever their tokens: an item dense
+in numbers and names has no template to tell it by, only its words.
 
 Scale: documents are read once per benchmark block and never shuffled; only leaks leave the tasks. The benchmark is
 collected in blocks of at most ``block_chars`` characters, each broadcast and set against all rows, so its size is
 bounded whatever the benchmark's. Windows are looked up exactly (64-bit hashes of templates) in a sorted array.
 
-A null or empty text leaks nothing; null items are skipped, and so are items with fewer than ``min_tokens`` tokens,
-too short to tell from prose. Repeated rows are reported once each. Extra columns are not read.
+A null or empty text leaks nothing; null items are skipped, and so are items without a token. Items with fewer than
+``min_tokens`` tokens, too short for a template, leak only word for word and whole. Repeated rows are reported once each. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -98,38 +99,40 @@ def canonical(t: tk.Texts) -> Templates:
 
 @dataclass
 class Index:
-    """A benchmark block: sorted window hashes by window length, and the tokens of its items."""
+    """A benchmark block: sorted window hashes by window length and whether of exact words, and the tokens of its items."""
 
-    lengths: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # hash, item, start
+    lengths: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray, np.ndarray]]  # hash, item, start
     ids: np.ndarray
     items: Templates
-    maybe: dict[int, np.ndarray]
+    maybe: dict[tuple[int, bool], np.ndarray]
 
 
-def _windows(t: Templates, n: int, docs: np.ndarray | None, rules: Rules) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, document and start within it of each n-token window with enough literals."""
+def _windows(t: Templates, n: int, exact: bool, docs: np.ndarray | None, rules: Rules) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, document and start within it of each n-token window: of its words, or of its template if it has enough literals."""
     span = tk.Words(t.token, t.token, t.first)
     starts, doc = tk.window_docs(span, n)
     if docs is not None:
         own = docs[doc]
         starts, doc = starts[own], doc[own]
-    literal = np.zeros(len(t.slot) + 1, dtype=np.int64)
-    np.cumsum(t.slot == LITERAL, out=literal[1:])
-    good = literal[starts + n] - literal[starts] >= rules.literal * n
-    starts, doc = starts[good], doc[good]
-    return tk.ngram_hashes(t.token, n)[starts] if len(starts) else np.empty(0, dtype=np.uint64), doc, starts - t.first[doc]
+    if not exact:
+        literal = np.zeros(len(t.slot) + 1, dtype=np.int64)
+        np.cumsum(t.slot == LITERAL, out=literal[1:])
+        good = literal[starts + n] - literal[starts] >= rules.literal * n
+        starts, doc = starts[good], doc[good]
+    return tk.ngram_hashes(t.value if exact else t.token, n)[starts] if len(starts) else np.empty(0, dtype=np.uint64), doc, starts - t.first[doc]
 
 
 def build_index(ids: list[int], texts: list[str], rules: Rules) -> Index:
     items = canonical(tk.texts_of(pa.array(texts, pa.large_string())))
     sizes = np.diff(items.first)
     lengths, maybe = {}, {}
-    for n in sorted({int(min(rules.window, s)) for s in sizes if s >= rules.min_tokens}):
-        h, item, start = _windows(items, n, (np.minimum(sizes, rules.window) == n) & (sizes >= rules.min_tokens), rules)
-        order = np.argsort(h, kind="stable")
-        lengths[n] = h[order], item[order], start[order]
-        maybe[n] = np.zeros(1 << 20, dtype=bool)
-        maybe[n][h >> np.uint64(44)] = True
+    for exact, least in ((False, rules.min_tokens), (True, 1)):
+        for n in sorted({int(min(rules.window, s)) for s in sizes if s >= least}):
+            h, item, start = _windows(items, n, exact, (np.minimum(sizes, rules.window) == n) & (sizes >= least), rules)
+            order = np.argsort(h, kind="stable")
+            lengths[n, exact] = h[order], item[order], start[order]
+            maybe[n, exact] = np.zeros(1 << 20, dtype=bool)
+            maybe[n, exact][h >> np.uint64(44)] = True
     return Index(lengths, np.array(ids, dtype=np.int64), items, maybe)
 
 
@@ -157,16 +160,16 @@ def _consistent(value_a: np.ndarray, value_b: np.ndarray, kind: np.ndarray) -> f
 def match(index: Index, t: Templates, rules: Rules) -> list[tuple[int, int, int, int, int, float, bool]]:
     """(document, item, tokens, covered, slots, consistent share, all values equal) of the leaks in a slice."""
     hits = []
-    for n, (h, item, start) in index.lengths.items():
-        g, doc, at = _windows(t, n, None, rules)
-        near = np.flatnonzero(index.maybe[n][g >> np.uint64(44)])
+    for (n, exact), (h, item, start) in index.lengths.items():
+        g, doc, at = _windows(t, n, exact, None, rules)
+        near = np.flatnonzero(index.maybe[n, exact][g >> np.uint64(44)])
         g, doc, at = g[near], doc[near], at[near]
         lo, hi = np.searchsorted(h, g), np.searchsorted(h, g, side="right")
         times = hi - lo
         if times.sum():
             which = np.repeat(np.arange(len(g)), times)
             place = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(lo, times)
-            hits.append(np.column_stack([doc[which], item[place], at[which] - start[place], start[place], np.full(len(which), n)]))
+            hits.append(np.column_stack([doc[which], item[place], at[which] - start[place], start[place], np.full(len(which), n), np.full(len(which), exact)]))
     if not hits:
         return []
     rows = np.concatenate(hits)
@@ -174,27 +177,37 @@ def match(index: Index, t: Templates, rules: Rules) -> list[tuple[int, int, int,
     pair = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1), True])
     out = []
     for lo, hi in zip(pair[:-1], pair[1:]):
-        d, i = int(rows[lo, 0]), int(rows[lo, 1])
-        a0, size = int(index.items.first[i]), int(index.items.first[i + 1] - index.items.first[i])
-        # the alignment of each token of the item: the one with most windows wins
-        shift = np.full(size, np.iinfo(np.int64).min)
-        shifts, votes = np.unique(rows[lo:hi, 2], return_counts=True)
-        for s in shifts[np.argsort(votes, kind="stable")]:
-            own = rows[lo:hi][rows[lo:hi, 2] == s]
-            shift[tk.covered(own[:, 3], int(own[0, 4]), size)] = s
-        cover = np.flatnonzero(shift != np.iinfo(np.int64).min)
-        if len(cover) < rules.coverage * size:
-            continue
-        here, there = a0 + cover, t.first[d] + cover + shift[cover]
-        slots = index.items.slot[here] != LITERAL
-        kind = index.items.slot[here][slots]
-        a, b = index.items.value[here][slots], t.value[there][slots]
-        share = _consistent(a, b, kind)
-        if share >= rules.consistent:
-            out.append((d, i, size, len(cover), int(slots.sum()), share, bool((a == b).all())))
+        own = rows[lo:hi]
+        # a window found by its template and by its words counts once; templates alone decide where words would spoil them
+        some = own[np.r_[True, (own[1:, :5] != own[:-1, :5]).any(axis=1)]]
+        for part in (some, own[own[:, 5] == 0]):
+            if len(part) and (found := _leak(index, t, part, rules)):
+                out.append(found)
+                break
     return out
 
 
+def _leak(index: Index, t: Templates, rows: np.ndarray, rules: Rules) -> tuple[int, int, int, int, int, float, bool] | None:
+    """The leak that the matched windows of one document and item make, if any."""
+    d, i = int(rows[0, 0]), int(rows[0, 1])
+    a0, size = int(index.items.first[i]), int(index.items.first[i + 1] - index.items.first[i])
+    # the alignment of each token of the item: the one with most windows wins
+    shift = np.full(size, np.iinfo(np.int64).min)
+    shifts, votes = np.unique(rows[:, 2], return_counts=True)
+    for s in shifts[np.argsort(votes, kind="stable")]:
+        own = rows[rows[:, 2] == s]
+        shift[tk.covered(own[:, 3], int(own[0, 4]), size)] = s
+    cover = np.flatnonzero(shift != np.iinfo(np.int64).min)
+    if len(cover) < rules.coverage * size:
+        return None
+    here, there = a0 + cover, t.first[d] + cover + shift[cover]
+    slots = index.items.slot[here] != LITERAL
+    kind = index.items.slot[here][slots]
+    a, b = index.items.value[here][slots], t.value[there][slots]
+    share = _consistent(a, b, kind)
+    return (d, i, size, len(cover), int(slots.sum()), share, bool((a == b).all())) if share >= rules.consistent else None
+
+
 _SCHEMA = "doc_id long, item_id long, n_tokens long, n_covered long, n_slots long, consistency double, verbatim boolean"
 
 

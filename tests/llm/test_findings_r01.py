@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from labelwright.llm import html_extract, lm_score
+from labelwright.llm import decontam, html_extract, lm_score
 
 
 def brute_lm(rows, target, s):
@@ -84,3 +84,16 @@ def test_op5_raw_elements_cut_nothing_else():
     assert shown("<p>a</p><svg><p>b</p><svg>c</svg><p>d</p>") == "a\n\nb\n\nd"
     assert shown("<p>a</p><script>if (a < b) x()") == "a"
     assert shown("<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>TeX</annotation></math> holds</p><p>e <math/> f</p></article>") == "so x=2 holds\n\ne f"
+
+
+def test_op2_items_without_literals(spark):
+    items = [(1, "What is 12 + 15 + 3?"), (2, "Anna Bruno Carla David Emil Frida Gustav Hanna Ida Jonas"), (3, "too short"), (4, "?!"), (5, "Mount Fuji")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [
+        (1, "he asked: what is 12 + 15 + 3? and left"), (2, "he asked: what is 12 + 15 + 4? and left"), (3, "list of Anna Bruno Carla David Emil Frida Gustav Hanna Ida Jonas here"),
+        (4, "list of Bruno Anna David Carla Frida Emil Hanna Gustav Jonas Ida here"), (5, "it was too short for him"), (6, "it was too, so short"), (7, "Mount Etna"), (8, "?! ?!"), (9, None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontam.leaks(docs, bench).collect()}
+    assert set(got) == {(1, 1), (3, 2), (5, 3)} and all(r.verbatim and r.n_covered == r.n_tokens for r in got.values())
+    assert {r.doc_id for r in decontam.keep_clean(docs, bench).collect()} == {2, 4, 6, 7, 8, 9}
