@@ -140,10 +140,10 @@ def classify(scores: DataFrame, permitted: DataFrame, retrieve: int = 10, keep:
 def tfidf(docs: DataFrame) -> DataFrame:
     """doc_id, token, weight: smoothed idf ln((1+n)/(1+df)) + 1 times term count, L2-normalised per document.
 
-    docs: doc_id, text. Tokens are runs of two or more word characters, lower case. The number of documents is one
+    docs: doc_id, text. Tokens are runs of two or more word characters of any script, lower case. The number of documents is one
     row, joined as such.
     """
-    tokens = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\b\w\w+\b"), 0)).alias("token"))
+    tokens = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]{2,}"), 0)).alias("token"))
     tf = tokens.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("tf"))
     n = docs.select(F.count(F.lit(1)).alias("n"))
     df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n))

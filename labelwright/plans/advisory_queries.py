@@ -41,7 +41,7 @@ _BLOCKED = "SELECT DISTINCT canonical_id AS blocked_id, CASE WHEN item_id % 3 =
 )
 def substitutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.concat((1 + F.col("label_id") % 18).cast("string"), F.lit(""))
-    blocked = load(spark, sf_dir, "items").where("label_id % 25 = 0").select(F.col("canonical_id").alias("blocked_id"), F.when(F.col("item_id") % 3 == 0, 200.0).alias("blocked_level"), code.alias("fcs_code"))
+    blocked = load(spark, sf_dir, "items").select(F.col("canonical_id").alias("blocked_id"), F.when(F.col("item_id") % 3 == 0, 200.0).alias("blocked_level"), code.alias("fcs_code"))
     rows = A.substitutes(blocked, _permits(spark, sf_dir), _substances(spark, sf_dir))
     return rows.select("blocked_id", "fcs_code", "blocked_level", "candidate_id", "level", "n_shared", F.col("place").cast("long").alias("place"))
 

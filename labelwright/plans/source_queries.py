@@ -72,8 +72,8 @@ def group_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT page, round(sum(anchor), 2) AS total, count(*) AS n FROM (SELECT p.page, p.y, p.l_orderkey, arg_min(a.y, abs(a.y - p.y) * 1000000 + a.y / 1000000) AS anchor FROM p JOIN a ON p.page = a.page GROUP BY p.page, p.y, p.l_orderkey, p.l_linenumber, p.rowid) GROUP BY page""".replace(", p.rowid", "").replace("WHERE l_linenumber <= 3", "WHERE l_linenumber <= 3 GROUP BY 1, 2, 3, 4"),
 )
 def nearest_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = load(spark, sf_dir, "lineitem").where("l_linenumber <= 3").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("y"), (F.col("l_orderkey") % 50).alias("page")).distinct()
-    anchors = load(spark, sf_dir, "orders").where("o_orderkey % 40 = 0").select((F.col("o_orderkey") % 50).alias("page"), F.col("o_totalprice").alias("y")).distinct()
+    points = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("y"), (F.col("l_orderkey") % 50).alias("page")).distinct()
+    anchors = load(spark, sf_dir, "orders").select((F.col("o_orderkey") % 50).alias("page"), F.col("o_totalprice").alias("y")).distinct()
     near = W.nearest(points, anchors).where("anchor is not null")
     return near.groupBy("page").agg(F.round(F.sum("anchor"), 2).alias("total"), F.count(F.lit(1)).alias("n"))
 

@@ -45,7 +45,7 @@ def clean_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("scl1_gate_confidence", (), "SELECT user_id, count(DISTINCT event_type) AS n_evidence, least(count(DISTINCT event_type), 5) / 5.0 AS confidence FROM events WHERE event_id % 7 = 0 GROUP BY user_id")
 def gate_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = load(spark, sf_dir, "events").where("event_id % 7 = 0").groupBy("user_id").agg(F.countDistinct("event_type").alias("n_evidence"))
+    rows = load(spark, sf_dir, "events").groupBy("user_id").agg(F.countDistinct("event_type").alias("n_evidence"))
     return rows.withColumn("confidence", T.gate_confidence(F.col("n_evidence")))
 
 
@@ -222,7 +222,7 @@ def prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id") % 3
     name = F.when(k == 0, "thing of note").when(k == 1, "that nation").otherwise("with tion")
     words = F.regexp_replace(F.col("text"), "[^\\x00-\\x7F]", " ")
-    rows = load(spark, sf_dir, "documents").where("lang = 'en'")
+    rows = load(spark, sf_dir, "documents")
     return rows.select("doc_id", T.is_relevant(name, words).alias("relevant"), T.meets_score((F.col("doc_id") % 10) / 10.0).alias("scored"))
 
 

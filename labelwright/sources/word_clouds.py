@@ -24,7 +24,8 @@ def nearest(points: DataFrame, anchors: DataFrame, by: str = "page") -> DataFram
     both = points.withColumn("__anchor", F.lit(None).cast("double")).unionByName(anchors.select(by, F.col("y"), F.col("y").cast("double").alias("__anchor")), allowMissingColumns=True)
     order = Window.partitionBy(by).orderBy("y")
     before = F.max("__anchor").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.min("__anchor").over(order.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    # read from the far end: a frame that ends behind the row would be summed anew for each row
+    after = F.min("__anchor").over(Window.partitionBy(by).orderBy(F.desc("y")).rangeBetween(Window.unboundedPreceding, Window.currentRow))
     rows = both.withColumn("__before", before).withColumn("__after", after).where("__anchor is null")
     pick = F.when(F.col("__after").isNull() | (F.col("y") - F.col("__before") <= F.col("__after") - F.col("y")), F.col("__before")).otherwise(F.col("__after"))
     return rows.select(*cols, pick.alias("anchor"))
