@@ -17,38 +17,55 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one of our own (tests, local mode)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else, in local mode alone, one of our own.
+
+    A cluster without the setting is an error: a machine-local folder would leave each executor with its own part.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="labelwright-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
-_tables: list[tuple[SparkSession, str]] = []
+_tables: dict[str, SparkSession] = {}
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table on the file system it lies on; without a JVM to ask, it stays."""
+    with contextlib.suppress(Exception):
+        jvm = spark.sparkContext._jvm
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 @atexit.register
 def _remove_tables() -> None:
-    """Deletes what written() left, on the file system it lies on; without a JVM to ask, it stays."""
-    for spark, path in _tables:
-        with contextlib.suppress(Exception):
-            jvm = spark.sparkContext._jvm
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    for path, spark in _tables.items():
+        _remove(spark, path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows written once as Parquet in the shared folder and read again.
 
     This cuts the lineage: lost executors cost only the tasks that read the table, and later passes read columns
-    instead of computing them anew. The table goes when the driver's Python ends.
+    instead of computing them anew. The table goes when it is discarded or the driver's Python ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/labelwright/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _tables.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _tables[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the table of a frame that written() gave and that nothing reads any more."""
+    path = df.written_path
+    _remove(_tables.pop(path), path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -434,20 +434,60 @@ def test_jaccard_join(docs, spark, block):
 
 def test_jaccard_edges(docs, nothing):
     got = lsh_forest.classes(docs).collect()
-    assert len(got) == len(corpus()) and [r for r in got if r.doc_id is None] == [r for r in got if r.class_id is None]
+    assert len(got) == len(corpus()) and [(r.class_id, r.n_links) for r in got if r.doc_id is None] == [(6, 1)]
     kept = lsh_forest.keep_first(docs)
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.collect()]
-    assert None in ids and 20 not in ids and 0 in ids and ids.count(5) == 1 and {25, 26, 27} <= set(ids)
+    assert None not in ids and 20 not in ids and 0 in ids and ids.count(5) == 1 and {25, 26, 27} <= set(ids)
     assert lsh_forest.classes(nothing).collect() == [] and lsh_forest.keep_first(nothing).collect() == []
+
+
+def test_jaccard_shortens_prefixes_to_the_measured_recall():
     s = lsh_forest.Setting()
-    assert 1 - (1 - s.threshold ** s.stop()) ** s.trees >= s.recall > 1 - (1 - s.threshold ** (s.stop() + 1)) ** s.trees
+    assert s.stop({}) == 5 and s.expected(5) >= s.recall > s.expected(6)
+    assert s.stop({4: 200, 8: 9_800}) == 4 and s.stop({7: 1_000_000}) == 7
+    t = tk.texts_of(pa.array([words(400, k, 5000) for k in range(400)]))
+    _, _, g, doc = lsh_forest.shingles(t, 5)
+    own, keys = lsh_forest.signatures(g, doc, s)
+    thin_g, thin_doc = lsh_forest.thinned(g, doc, own, s.threshold)
+    assert [len(x) for x in np.split(thin_g, np.flatnonzero(np.diff(thin_doc)) + 1)] == [317] * 400  # of 396 grams
+    reached = lsh_forest.deepest(keys, lsh_forest.signatures(thin_g, thin_doc, s)[1], s.depth)
+    for level in (5, 6, 8):
+        assert abs((reached >= level).mean() - s.expected(level)) < 0.05
+
+
+@pytest.mark.parametrize("block", [512, 4])
+def test_jaccard_chains_and_shared_ids(spark, block):
+    long = words(800, 900, 50_000).split()
+    chain = [(k, " ".join(long[10 * k : 10 * k + 120])) for k in range(60)]
+    setting = lsh_forest.Setting(block=block)
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in lsh_forest.classes(spark.createDataFrame(chain, "doc_id long, text string"), setting).collect())
+    assert got == brute_jaccard(chain) and {c for _, c, _ in got} == {0}
+    one, two = words(100, 901).split(), words(100, 902).split()
+    near = lambda x, k: " ".join([*x[:k], "new", *x[k + 1 :]])
+    rows = [(1, " ".join(one)), (1, " ".join(two)), (2, near(one, 40)), (3, near(two, 10)), (4, near(two, 99))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.n_links, r.class_id) for r in lsh_forest.classes(table, setting).collect()]
+    assert sorted(x[:2] for x in got) == [(1, 1), (1, 2), (2, 1), (3, 2), (4, 2)]
+    assert len({c for _, _, c in got}) == 2 and 1 in {c for _, _, c in got}
+    kept = sorted(tuple(r) for r in lsh_forest.keep_first(table, setting).collect())
+    assert len(kept) == 2 and kept == sorted(rows[:2])
+
+
+def test_jaccard_prefix_over_several_tasks(spark):
+    """Equal keys of many texts are dealt over all tasks, and stitched."""
+    rows = [(k, np.arange(1, 17, dtype=np.uint64).tobytes()) for k in range(500)]
+    setting = lsh_forest.Setting()
+    edges = lsh_forest.trie_edges(spark.createDataFrame(rows, "node long, keys binary"), setting, 5)
+    assert edges.count() <= 499 * setting.trees
+    assert {r.root for r in components.components(edges).collect()} == {0}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("task_edges", [0, 500_000])
+def test_components(spark, task_edges):
     rng = random.Random(3)
     edges = [(k, k + 1) for k in range(0, 60)] + [(rng.randrange(100, 140), rng.randrange(100, 140)) for _ in range(30)] + [(7, 7)]
-    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long"), task_edges).collect()}
     assert all(got[k] == 0 for k in range(1, 61)) and 0 not in got
     parent = {}
     find = lambda x: x if parent.get(x, x) == x else find(parent[x])
