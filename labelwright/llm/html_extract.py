@@ -1,22 +1,28 @@
 """Main text of web pages by site template removal.
 
 Pages are parsed into element trees. Every element subtree gets a hash of its tags and text; Spark counts, per host,
-the pages in which each hash occurs, and subtrees that recur across many pages of the host are deleted as template.
-Elements that are no article by their kind (navigation, header, footer, aside, form, script, style, advert, notice,
-comments) go as well. What is left is the text, block by block.
+the different pages in which each hash occurs, and subtrees that recur across many pages of the host are deleted as
+template. Outside the article (a page's article or main element) three pages are enough, since nothing there is main
+text that pages would share by chance; inside it, or on a page that marks no article, most pages of the host must agree,
+because near copies of an article share paragraphs too. Elements that are no article by their kind (navigation, header,
+footer, aside, form, script, style, advert, notice, comments) go whether they recur or not. What is left is the text,
+block by block.
 
 Scale: a page emits the distinct hashes of its subtrees, counted per (host, hash) map-side first, so a host with a
-third of all pages is no hot key. The templates are joined back to the pages: broadcast if they number at most
-``broadcast_rows``, which is checked, else shuffled by host and salt, the salt spreading a large host over many tasks.
+third of all pages is no hot key. Recurring hashes are joined back to the pages: broadcast if they number at most
+``broadcast_rows``, which is checked, else by host and salt, the salt spreading a large host over many tasks. Parsing
+takes time in proportion to the page, however broken, and some 20 times its size in memory; a page is one task's.
 
-A null html gives an empty text. A page with no host counts as a host of its own name (empty). Repeated rows count as
-pages of their own and get equal texts. An empty table gives an empty result. Only page_id, url and html are read.
+A null html gives an empty text. A page with no host counts as a host of its own name (empty). Repeated rows, and pages
+equal in html, count as one page and get equal texts; ties cannot arise. An empty table gives an empty result. Only
+page_id, url and html are read.
 """
 
 from __future__ import annotations
 
 import html as htmllib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,15 +35,15 @@ from .common import written
 
 # Element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg object xmp noembed noframes".split())
-#: Raw elements that may hold others of their kind, and those that reach to the end of the page if never closed.
-_NESTED, _CODE = frozenset("svg object template".split()), frozenset("script style".split())
+RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
+#: Raw elements that reach to the end of the page if never closed; elements whose content is no text, if they are closed.
+_CODE, _SEALED = frozenset("script style".split()), frozenset("svg object template".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form frameset "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table "
     "tbody td tfoot th thead tr ul caption".split()
 )
-NOT_TEXT = frozenset("head script style noscript template iframe svg object annotation annotation-xml form button input select textarea nav header footer aside menu dialog search title".split())
+NOT_TEXT = frozenset("head script style noscript template svg object annotation annotation-xml form button input select textarea nav header footer aside menu dialog search title".split())
 #: Roles and words of class or id that mark an element as something other than the article.
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 MARKS = frozenset(
@@ -46,6 +52,12 @@ MARKS = frozenset(
     "notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus "
     "respond reply replies share sharing social related recommended widget widgets skip pagination pager copyright disclaimer".split()
 )
+#: Words that a mark may stand with in one name (site-header, ad-slot, comments-list) and still mean what it means.
+FRAME = frozenset(
+    "site page main top bottom left right global primary secondary section list box bar area block container wrapper wrap inner outer "
+    "item items link links slot unit row col column content group panel buttons button icons form policy posts articles stories the js is "
+    "post entry wp blog home web mobile desktop sticky fixed small large text body title thread".split()
+)
 #: An open element of a key is closed by a start tag of its value.
 _P_CLOSERS = frozenset(
     "address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
@@ -54,19 +66,29 @@ _P_CLOSERS = frozenset(
 _SAME = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "tfoot"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option", "optgroup"])}
 _SCOPE = frozenset("ul ol dl table select article section div body html td th main aside nav".split())
 
-_TOKEN = re.compile(r"<!--(?:.*?-->|.*)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""")
-_WORDS = re.compile(r"[a-z]+")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_ATTR_NAME = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)?")
+_ATTR_VALUE = re.compile(r"\s*=\s*([\"']|[^\s>\"'][^\s>]*)?")
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _GAP = re.compile(r"\s+")
 
 
 @dataclass(frozen=True)
 class Rules:
-    #: A subtree is template if it occurs in at least this many pages of its host, and this share of them.
-    min_pages: int = 20
-    share: float = 0.6
+    """A subtree is template if it occurs in at least this many different pages of its host, and this share of them."""
+
+    outside_pages: int = 3
+    outside_share: float = 0.0
+    #: On pages that mark no article, and inside articles.
+    unmarked_pages: int = 5
+    unmarked_share: float = 0.5
+    inside_pages: int = 10
+    inside_share: float = 0.6
     broadcast_rows: int = 200_000
 
+    def least(self) -> int:
+        return min(self.outside_pages, self.unmarked_pages, self.inside_pages)
+
 
 @dataclass
 class Node:
@@ -78,37 +100,51 @@ class Node:
     main: bool = False  # it is, or holds, an article or main element
 
 
-def _marked(tag: str, attrs: str) -> bool:
+def _marked(tag: str, attrs: dict[str, str]) -> bool:
     """Whether role, class or id name something other than the article."""
     if not attrs or tag in ("html", "body", "article", "main"):
         return False
-    for name, value in _ATTR.findall(attrs):
-        name, value = name.lower(), value.strip("\"'").lower()
-        if name == "role":
-            if value in ROLES:
-                return True
-        elif name == "hidden" or (name == "aria-hidden" and value == "true"):
+    if attrs.get("role", "").strip().lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden", "").strip().lower() == "true":
+        return True
+    for token in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
+        # every word of a name must be a mark or a frame word: social-history is no social widget
+        words = [w.lower() for w in _WORDS.findall(token)]
+        if token.lower() in MARKS or (not MARKS.isdisjoint(words) and all(w in MARKS or w in FRAME for w in words)):
             return True
-        elif name in ("class", "id"):
-            for token in value.split():
-                if not MARKS.isdisjoint(_WORDS.findall(token)):
-                    return True
     return False
 
 
-def _after_raw(tag: str, attrs: str, source: str, at: int) -> int:
-    """Where the page goes on after a raw element whose start tag ends at ``at``; without an end tag it is empty."""
-    if tag == "svg" and attrs.rstrip().endswith("/"):
-        return at
-    depth = 1
-    for m in re.compile(rf"<(/?){re.escape(tag)}(?![^\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.I).finditer(source, at):
-        if m.group(1):
-            depth -= 1
-        elif tag in _NESTED and not (tag == "svg" and m.group(2).rstrip().endswith("/")):
-            depth += 1
-        if not depth:
-            return m.end()
-    return len(source) if tag in _CODE else at
+class _Reader:
+    """Reads tags of a page. Attribute values end at their quote; a quote that never closes, or closes into a word, ends at the next >."""
+
+    def __init__(self, source: str):
+        self.source = source
+        self.last = {q: source.rfind(q) for q in "\"'"}
+
+    def attributes(self, at: int) -> tuple[dict[str, str], bool, int]:
+        """Attributes of the tag whose name ends at ``at``, whether it closes itself, and where the page goes on."""
+        source, out = self.source, {}
+        while True:
+            m = _ATTR_NAME.match(source, at)
+            at = m.end()
+            if m.group(1) is None:
+                end = at + 1 if at < len(source) else at
+                return out, source.endswith("/", m.start(), at), end
+            name = m.group(1).lower()
+            v = _ATTR_VALUE.match(source, at)
+            if v is None:
+                out.setdefault(name, "")
+                continue
+            value, at = v.group(1) or "", v.end()
+            if value in ('"', "'"):
+                close = source.find(value, at) if at <= self.last[value] else -1
+                if close >= 0 and (close + 1 >= len(source) or source[close + 1] in " \t\n\r\f/>"):
+                    value, at = source[at:close], close + 1
+                else:
+                    close = source.find(">", at)
+                    close = len(source) if close < 0 else close
+                    value, at = source[at:close], close
+            out.setdefault(name, htmllib.unescape(value) if "&" in value else value)
 
 
 def _close(node: Node) -> None:
@@ -132,33 +168,64 @@ def _close(node: Node) -> None:
 def parse(source: str) -> Node:
     """The element tree of a page; unclosed and stray tags are taken as browsers roughly do."""
     root = Node("", True)
-    stack, at = [root], 0
-    find = _TOKEN.search
-    n = len(source)
-    ends: dict[str, int] = {}  # where the last end tag of a raw element is
-    while at < n:
-        m = find(source, at)
-        if m is None:
-            stack[-1].parts.append(source[at:])
+    stack, at, text = [root], 0, 0
+    n, read = len(source), _Reader(source)
+    open_of: dict[str, int] = {}  # open elements by tag
+    ends: dict[str, list[int]] = {}  # where the end tags of a tag are
+    gone = {"-->": False, ">": False}  # whether no such mark is left
+
+    def shut(k: int) -> None:
+        """Closes the open elements from the k-th on."""
+        for node in reversed(stack[k:]):
+            _close(node)
+            open_of[node.tag] -= 1
+        del stack[k:]
+
+    def ends_after(tag: str, place: int) -> int:
+        """Number of the tag's end tags from place on."""
+        if tag not in ends:
+            ends[tag] = [m.start() for m in re.finditer(rf"</{re.escape(tag)}(?![^\s/>])", source, re.I)]
+        return len(ends[tag]) - bisect_left(ends[tag], place)
+
+    def past(mark: str, place: int) -> int:
+        found = -1 if gone[mark] else source.find(mark, place)
+        gone[mark] = found < 0
+        return n if found < 0 else found + len(mark)
+
+    while True:
+        at = source.find("<", at)
+        if at < 0:
+            stack[-1].parts.append(source[text:])
             break
-        if m.start() > at:
-            stack[-1].parts.append(source[at : m.start()])
-        at = m.end()
-        name = m.group(2)
-        if name is None:
+        begin = at
+        closing = source.startswith("/", at + 1)
+        m = _NAME.match(source, at + 1 + closing)
+        if m is None:
+            if source.startswith("<!--", at):
+                at = past("-->", at + 2)
+            elif source.startswith(("<!", "<?", "</"), at):
+                at = past(">", at)
+            else:
+                at += 1
+                continue
+            stack[-1].parts.append(source[text:begin])
+            text = at
             continue
-        tag = name.lower()
-        if m.group(1):
-            if tag in ("br", "p") and not any(x.tag == tag for x in stack):
-                stack[-1].parts.append(" ")
+        tag = m.group().lower()
+        attrs, alone, at = read.attributes(m.end())
+        if begin > text:
+            stack[-1].parts.append(source[text:begin])
+        text = at
+        if closing:
+            if not open_of.get(tag):
+                if tag in ("br", "p"):
+                    stack[-1].parts.append(" ")
                 continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
-                    for node in reversed(stack[k:]):
-                        _close(node)
-                    del stack[k:]
+                    shut(k)
                     break
-                if tag not in BLOCK and stack[k].tag in BLOCK:
+                if tag not in BLOCK and tag not in _SEALED and stack[k].tag in BLOCK:
                     break  # an inline end tag closes nothing beyond its block
             continue
         if tag in VOID:
@@ -168,51 +235,55 @@ def parse(source: str) -> Node:
                 stack[-1].parts.append(Node("hr", True))
             continue
         if tag in RAW:
-            if tag not in ends:
-                ends[tag] = max((x.start() for x in re.finditer(f"</{re.escape(tag)}", source, re.I)), default=-1)
-            if at <= ends[tag] or tag in _CODE:
-                at = _after_raw(tag, m.group(3), source, at)
+            left = ends_after(tag, at)
+            if left:
+                at = text = past(">", ends[tag][-left])
+            elif tag in _CODE:
+                at = text = n
             continue
-        if tag in _P_CLOSERS:
+        if tag in _SEALED and (alone or open_of.get(tag, 0) >= ends_after(tag, at)):
+            continue  # it has no end tag of its own, so it holds nothing
+        if tag in _P_CLOSERS and open_of.get("p"):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p":
-                    for node in reversed(stack[k:]):
-                        _close(node)
-                    del stack[k:]
+                    shut(k)
                     break
                 if stack[k].tag in BLOCK:
                     break
         if tag in _SAME or tag in ("tbody", "tfoot", "optgroup"):
             for k in range(len(stack) - 1, 0, -1):
                 if tag in _SAME.get(stack[k].tag, ()):
-                    for node in reversed(stack[k:]):
-                        _close(node)
-                    del stack[k:]
+                    shut(k)
                     break
                 if stack[k].tag in _SCOPE:
                     break
-        attrs = m.group(3)
         node = Node(tag, not (tag in NOT_TEXT or _marked(tag, attrs)))
         stack[-1].parts.append(node)
-        if not attrs.rstrip().endswith("/") or tag in BLOCK:
-            stack.append(node)
-        else:
+        if alone and tag not in BLOCK:
             _close(node)
+        else:
+            stack.append(node)
+            open_of[tag] = open_of.get(tag, 0) + 1
     for node in reversed(stack):
         _close(node)
     return root
 
 
-def subtrees(root: Node) -> Iterator[Node]:
-    """Elements with text, below what is excluded by kind; the page's own frame is left out."""
-    todo = [root]
+def subtrees(root: Node) -> Iterator[tuple[Node, bool]]:
+    """Elements with text, and whether they lie in an article; the page's own frame and what is around the article are left out.
+
+    What an element excluded by its kind holds goes with it and is not counted again.
+    """
+    todo = [(root, False)]
     while todo:
-        node = todo.pop()
+        node, inside = todo.pop()
         for p in node.parts:
-            if isinstance(p, Node) and p.plain and p.chars:
-                if p.tag not in ("html", "body"):
-                    yield p
-                todo.append(p)
+            if isinstance(p, Node) and p.chars:
+                frame = p.tag in ("html", "head", "body") or (p.main and not inside)
+                if not frame:
+                    yield p, inside
+                if p.plain:
+                    todo.append((p, inside or p.tag in ("article", "main")))
 
 
 def text_of(root: Node, template: frozenset[int] | set[int]) -> str:
@@ -256,17 +327,29 @@ def templates(pages: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, digests = [], []
-            for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-                seen = {x.digest for x in subtrees(parse(source or ""))}
+            hosts, digests, insides, unmarked, own = [], [], [], [], []
+            for host, source, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), batch.column("page").to_pylist()):
+                root = parse(source or "")
+                seen: dict[int, bool] = {}
+                for x, inside in subtrees(root):
+                    seen[x.digest] = seen.get(x.digest, False) or inside
                 hosts += [host] * len(seen)
                 digests += [d - (1 << 64) if d >= 1 << 63 else d for d in seen]
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.int64())], names=["host", "digest"])
-
-    rows = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
-    sizes = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages")).where(F.col("n_pages") >= rules.min_pages)
-    seen = rows.mapInArrow(run, "host string, digest long").groupBy("host", "digest").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= rules.min_pages)
-    return seen.join(sizes, "host").where(F.col("n") >= rules.share * F.col("n_pages")).select("host", "digest")
+                insides += seen.values()
+                unmarked += [not root.main] * len(seen)
+                own += [page] * len(seen)
+            columns = [pa.array(hosts, pa.string()), pa.array(digests, pa.int64()), pa.array(insides, pa.bool_()), pa.array(unmarked, pa.bool_()), pa.array(own, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["host", "digest", "inside", "unmarked", "page"])
+
+    # equal pages are one page, told by a hash of its html
+    rows = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"), F.xxhash64(F.col("html").cast("string")).alias("page"))
+    n_pages = rows.groupBy("host").agg(F.count_distinct("page").alias("n_pages")).where(F.col("n_pages") >= rules.least())
+    seen = rows.mapInArrow(run, "host string, digest long, inside boolean, unmarked boolean, page long")
+    seen = seen.groupBy("host", "digest").agg(F.count_distinct("page").alias("n"), F.max("inside").alias("any_inside"), F.max("unmarked").alias("any_unmarked")).where(F.col("n") >= rules.least())
+    n, of = F.col("n"), F.col("n_pages")
+    enough = lambda pages, share: (n >= pages) & (n >= share * of)
+    rule = F.when(F.col("any_inside"), enough(rules.inside_pages, rules.inside_share)).when(F.col("any_unmarked"), enough(rules.unmarked_pages, rules.unmarked_share)).otherwise(enough(rules.outside_pages, rules.outside_share))
+    return seen.join(n_pages, "host").where(rule).select("host", "digest")
 
 
 def extract(pages: DataFrame, rules: Rules = Rules(), salts: int = 64) -> DataFrame:
