@@ -77,6 +77,17 @@ def id_bucket(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(n)
 
 
+def hashed_share(rows: DataFrame, bound: int, salt: int, *columns: str) -> DataFrame:
+    """All rows if they are at most bound, else those whose hash of the columns lies below bound / number of rows: about bound of them."""
+    n = rows.count()
+    return rows if n <= bound else rows.where(below(bound / n, salt, *columns))
+
+
+def below(share: float, salt: int, *columns: str) -> Column:
+    """Whether the hash of the columns lies in the first share of its range."""
+    return F.shiftrightunsigned(F.xxhash64(*columns, F.lit(salt)), 11) < int(share * (1 << 53))
+
+
 def shuffled(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -3,15 +3,19 @@
 A text becomes some thirty measurements (case, marks, repetition, word shapes), each expanded into hinges at quantiles
 of the training sample, so the linear model is additive and piecewise linear. It is trained by minimising the
 non-negative unbiased risk of positive-unlabelled learning with logistic loss, from trusted positives, unlabelled
-documents and a class prior. The prior is the share of positives among the training labels where those name both
-classes; with positives alone it is estimated from the held-in positives' mean score (Elkan and Noto).
-
-Training uses at most ``Sample.positives`` positives and ``Sample.unlabelled`` unlabelled documents, chosen by hash of
-doc_id; everything else covers all rows. Scoring is row by row, without a shuffle, so skew and copies play no part.
-
-A null or empty text is scored like any other, from measurements that are all zero. Repeated rows get equal scores.
-Rows of labels whose label is null are left out; several labels for one doc_id are all used. With no positive labels
-the score is 0.5 throughout. An empty table gives an empty result. Only doc_id and text are read.
+documents and a class prior. The prior is estimated from those two alone: a classifier of positives against unlabelled
+texts is cross-fitted, and the prior is the least ratio of unlabelled to positive texts above a score, at the score
+where its upper confidence bound is least (best bin estimation, Garg et al., 2021). Negative labels are not read.
+
+Training uses about ``Sample.positives`` positives and ``Sample.unlabelled`` unlabelled documents, chosen by hash, which
+bounds what reaches the driver also where ids repeat; everything else covers all rows. Held-out accuracy moves by less
+than the labels tell when the unlabelled sample grows (README). Scoring is row by row, without a shuffle, so skew and
+copies play no part. A text is handled whole in one task, in some thirty times its bytes.
+
+A null or empty text is scored like any other, from measurements that are all zero. Repeated rows get equal scores, so
+ties in the score are ties of the measurements. Rows of labels whose label is null are left out; a doc_id with several
+labels counts as positive if one of them is. With no positive labels the score is 0.5 throughout. An empty table gives
+an empty result. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import id_bucket, keep_rows, map_batches
+from .common import below, hashed_share, id_bucket, keep_rows, map_batches, written
 
 
 @dataclass(frozen=True)
@@ -33,8 +37,6 @@ class Sample:
 
     positives: int = 8_000
     unlabelled: int = 12_000
-    #: Labels read for the prior.
-    labelled: int = 50_000
 
 
 def _set(chars: str) -> np.ndarray:
@@ -113,12 +115,13 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def nnpu_fit(z_pos: np.ndarray, z_unl: np.ndarray, prior: float, steps: int = 1500, rate: float = 0.02, decay: float = 1e-4, beta: float = 0.0) -> tuple[np.ndarray, float]:
+def nnpu_fit(z_pos: np.ndarray, z_unl: np.ndarray, prior: float, steps: int = 700, rate: float = 0.03, decay: float = 1e-4, beta: float = 0.0) -> tuple[np.ndarray, float]:
     """Linear model minimising prior R_p+ + max(-beta, R_u- - prior R_p-) with logistic loss, by Adam on full batches.
 
     Where the bracket is below -beta, the step descends its negative instead (Kiryo et al., 2017).
     """
-    w, b = np.zeros(z_pos.shape[1]), 0.0
+    z_pos, z_unl = z_pos.astype(np.float32), z_unl.astype(np.float32)
+    w, b = np.zeros(z_pos.shape[1], dtype=np.float32), 0.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     sigmoid = lambda a: 1 / (1 + np.exp(-np.clip(a, -30, 30)))
     for k in range(1, steps + 1):
@@ -132,8 +135,8 @@ def nnpu_fit(z_pos: np.ndarray, z_unl: np.ndarray, prior: float, steps: int = 15
         g[:-1] += decay * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
-        w, b = w - step[:-1], b - step[-1]
-    return w, float(b)
+        w, b = (w - step[:-1]).astype(np.float32), b - step[-1]
+    return w.astype(np.float64), float(b)
 
 
 def fit(x_pos: np.ndarray, x_unl: np.ndarray, prior: float | None, hinges: int = 8) -> Model:
@@ -150,14 +153,7 @@ def fit(x_pos: np.ndarray, x_unl: np.ndarray, prior: float | None, hinges: int =
     model.mean, model.scale = z.mean(axis=0), np.maximum(z.std(axis=0), 1e-6)
     z_pos, z_unl = model.expand(x_pos), model.expand(x_unl)
     if prior is None:
-        # Elkan and Noto: a classifier of labelled against unlabelled scores positives c on average
-        held = np.arange(len(z_pos)) % 4 == 0
-        both = np.concatenate([z_pos[~held], z_unl])
-        y = np.concatenate([np.ones((~held).sum()), np.zeros(len(z_unl))])
-        w, b = _logistic(both, y)
-        odds = lambda z: np.exp(np.clip(z @ w + b, -30, 30))
-        ratio = (~held).sum() / len(z_unl)
-        prior = float(np.clip((odds(z_unl) / ratio).mean() / max((odds(z_pos[held]) / ratio).mean(), 1e-9), 0.05, 0.95))
+        prior = class_prior(z_pos, z_unl)
     model.prior = min(max(prior, 0.01), 0.99)
     model.weight, model.bias = nnpu_fit(z_pos, z_unl, model.prior)
     return model
@@ -172,8 +168,22 @@ def _logistic(z: np.ndarray, y: np.ndarray, steps: int = 300, rate: float = 0.05
     return w, b
 
 
-def _order(doc_id: Column) -> Column:
-    return F.xxhash64(doc_id.cast("string"), F.lit(11))
+def class_prior(z_pos: np.ndarray, z_unl: np.ndarray, folds: int = 3, delta: float = 0.1) -> float:
+    """Share of positives among the unlabelled, from rows of features of both."""
+    s_pos, s_unl = np.empty(len(z_pos)), np.empty(len(z_unl))
+    for k in range(folds):
+        p, u = np.arange(len(z_pos)) % folds == k, np.arange(len(z_unl)) % folds == k
+        if p.all() or u.all():
+            return 0.5
+        both = np.concatenate([z_pos[~p], z_unl[~u]])
+        w, b = _logistic(both, np.concatenate([np.ones((~p).sum()), np.zeros((~u).sum())]))
+        s_pos[p], s_unl[u] = z_pos[p] @ w + b, z_unl[u] @ w + b
+    s_pos, s_unl = np.sort(s_pos), np.sort(s_unl)
+    above_pos = 1 - np.searchsorted(s_pos, s_pos) / len(s_pos)
+    above_unl = 1 - np.searchsorted(s_unl, s_pos) / len(s_unl)
+    margin = np.sqrt(np.log(4 / delta) / (2 * len(s_pos))) + np.sqrt(np.log(4 / delta) / (2 * len(s_unl)))
+    at = int(np.argmin((above_unl + margin) / above_pos))
+    return float(np.clip(above_unl[at] / above_pos[at], 0.02, 0.98))
 
 
 def train(docs: DataFrame, labels: DataFrame, held_out: Column, sample: Sample = Sample()) -> Model:
@@ -181,31 +191,28 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, sample: Sample =
 
     What reaches the driver is bounded by sample, whatever the tables hold.
     """
-    known = labels.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & ~held_out).select("doc_id", "label")
-    rows = known.orderBy(_order(F.col("doc_id")), "label").limit(sample.labelled).collect()
-    positives = [r.doc_id for r in rows if r.label == 1][: sample.positives]
-    prior = len([1 for r in rows if r.label == 1]) / len(rows) if any(r.label != 1 for r in rows) else None
-    others = docs.where(F.col("doc_id").isNotNull() & ~held_out).select("doc_id").orderBy(_order(F.col("doc_id"))).limit(sample.unlabelled)
-    roles: dict[int, int] = {}
-    for r in others.collect():
-        roles[r.doc_id] = 2
-    for i in positives:
-        roles[i] = roles.get(i, 0) | 1
-    spark = docs.sparkSession
-    # bounded by sample
-    chosen = spark.createDataFrame(list(roles.items()), "c_id long, c_role int")
-    picked = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("c_id")).select("doc_id", "text", "c_role")
+    positives = labels.where((F.col("label") == 1) & F.col("doc_id").isNotNull() & ~held_out).select(F.col("doc_id").cast("long").alias("c_id")).distinct()
+    # bounded by sample.positives, so it can be broadcast
+    positives = hashed_share(positives, sample.positives, 11, "c_id")
+    rows = docs.where(F.col("doc_id").isNotNull() & ~held_out).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    share = sample.unlabelled / max(rows.count(), 1)
+    open_ = F.lit(True) if share >= 1 else below(share, 12, "doc_id", "text")
+    role = F.when(F.col("c_id").isNotNull(), 1).otherwise(0) + F.when(open_, 2).otherwise(0)
+    picked = rows.join(F.broadcast(positives), F.col("doc_id") == F.col("c_id"), "left").withColumn("role", role).where("role > 0").select("doc_id", F.xxhash64("text").alias("text_key"), "text", "role")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = batch_features(batch)
         values = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("c_role"), values], names=["doc_id", "role", "x"])
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "text_key", "role")), values], names=["doc_id", "text_key", "role", "x"])
 
-    got = map_batches(picked, run, "doc_id long, role int, x array<double>").toPandas().sort_values("doc_id", kind="stable")
+    # repeated ids may make more rows of the sample; they are bounded again
+    got = written(map_batches(picked, run, "doc_id long, text_key long, role int, x array<double>"), "quality-sample")
+    got = hashed_share(got, sample.positives + sample.unlabelled, 13, "doc_id", "text_key").toPandas()
+    got = got.drop_duplicates(["doc_id", "text_key"]).sort_values(["doc_id", "text_key"], kind="stable")
     width = features(tk.texts_of(pa.array([""], pa.string()))).shape[1]
     x = np.array(got["x"].tolist(), dtype=np.float64).reshape(len(got), width)
     role = got["role"].to_numpy()
-    return fit(x[(role & 1) > 0], x[(role & 2) > 0], prior)
+    return fit(x[(role & 1) > 0], x[(role & 2) > 0], None)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

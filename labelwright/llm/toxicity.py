@@ -1,18 +1,21 @@
 """Toxicity by weak supervision.
 
-Many weak voters (a fixed lexicon, words and word beginnings that go with the training labels, and patterns of
-shouting) each fire or abstain on a document. A generative label model, fitted by expectation maximisation, estimates
-each voter's rates under both classes and the voters' correlations given the class; correlated voters share one
-vote's weight. Its posterior labels train a linear classifier on hashed words and word beginnings, which is calibrated
-on the training labels and scores every document.
-
-Training uses at most ``Setting.labelled`` labelled documents, chosen by hash of doc_id; the rest of what is learnt
-comes from them, and at most ``Setting.features`` features and ``Setting.voters`` voters reach the driver. Scoring is
-row by row, without a shuffle, so skew and copies play no part.
+Many weak voters each fire or abstain on a document: the words of a fixed lexicon, words and word beginnings that go
+with the training labels (labels choose them, and nothing more), and patterns (capitals, exclamation, masked letters,
+insults that are dense, shouted, or aimed at a person). A generative label model, fitted by expectation maximisation to
+the votes alone, has as parameters the rates at which each voter fires under both classes, and correlations: under
+each class a voter's rate depends on whether the voter it is most bound to has fired, along the tree of greatest mutual
+information given the class. Its posterior labels train a linear classifier on the same words and patterns, whose slope
+and shift are then calibrated on the training labels; it scores every document.
+
+Training uses about ``Setting.labelled`` labelled documents, chosen by hash, which bounds what reaches the driver also
+where ids repeat; what is learnt comes from them, with at most ``Setting.features`` features and ``Setting.voters``
+voters. Scoring is row by row, without a shuffle, so skew and copies play no part. A text is handled whole in one task,
+in some thirty times its bytes.
 
 A null or empty text fires no voter and gets the score of such texts. Null labels are left out; several labels for one
-doc_id are all used. With labels of one class, or none, the lexicon alone votes. Repeated rows get equal scores; an
-empty table gives an empty result. Only doc_id and text are read.
+doc_id are all used. With labels of one class, or none, the lexicon alone votes. Repeated rows get equal scores, and
+ties in the score are texts with equal votes; an empty table gives an empty result. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import id_bucket, keep_rows, map_batches, written
+from .common import hashed_share, id_bucket, keep_rows, map_batches, written
 
 # A lexicon of insults.
 LEXICON = (
@@ -33,6 +36,8 @@ LEXICON = (
     "disgusting clown clowns jerk fool fools imbecile cretin dimwit degenerate scumbag lowlife parasite retard "
     "idiota imbécil estúpido estúpida basura dummkopf idioten abschaum dumm widerlich imbécile débile ordure connard"
 ).split()
+# Words for the person spoken to.
+PERSON = "you your yours you're du dich dein deine ihr tu te vous toi votre tú usted ustedes eres".split()
 #: Bytes of the word beginnings that are features beside whole words.
 PREFIXES = (4, 5, 6)
 
@@ -46,8 +51,6 @@ class Setting:
     support: int = 5
     precision: float = 0.55
     rounds: int = 15
-    #: Accuracy at which the training label itself votes, which keeps the classes in place.
-    label_accuracy: float = 0.95
 
 
 def _word_hashes(words: list[str]) -> np.ndarray:
@@ -56,7 +59,7 @@ def _word_hashes(words: list[str]) -> np.ndarray:
     return tk.hash_spans(data, np.concatenate([[0], ends[:-1]]).astype(np.int64), ends)
 
 
-LEXICON_HASHES = _word_hashes(LEXICON)
+LEXICON_HASHES, PERSON_HASHES = _word_hashes(LEXICON), _word_hashes(PERSON)
 
 
 def token_features(t: tk.Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -75,14 +78,30 @@ def token_features(t: tk.Texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 def patterns(t: tk.Texts) -> np.ndarray:
-    """Pattern voters by document: shouting in capitals, many exclamation marks."""
-    size = np.maximum(np.diff(t.offsets), 1)
-    upper = tk.per_doc(((t.data >= 65) & (t.data <= 90)).astype(np.int64), t.offsets)
-    shout = tk.per_doc((t.data == 33).astype(np.int64), t.offsets)
-    return np.column_stack([upper > 0.5 * size, shout > 0.02 * size])
+    """Pattern voters by document."""
+    data, size = t.data, np.maximum(np.diff(t.offsets), 1)
+    count = lambda mask: tk.per_doc(mask.astype(np.int64), t.offsets)
+    near = lambda mask, k: np.r_[mask[k:], np.zeros(min(k, len(mask)), dtype=bool)]
+    capital, mark = (data >= 65) & (data <= 90), data == 33
+    letter = capital | ((data >= 97) & (data <= 122))
+    masked = letter & near((data == 42) | (data == 64), 1) & (near(letter, 2) | near((data == 42) & near(letter, 1), 2))
+    w = tk.words_of(t)
+    has, start, end = tk.cores(t, w)
+    h, doc = tk.hash_spans(tk.lowered(data), start, end), w.doc()[has]
+    insult, person = np.isin(h, LEXICON_HASHES), np.isin(h, PERSON_HASHES)
+    aimed = np.zeros(len(h), dtype=bool)
+    for k in (1, 2, 3, 4):
+        aimed[k:] |= insult[k:] & person[:-k] & (doc[k:] == doc[:-k])
+    loud = insult & capital[start] & capital[np.maximum(end - 1, start)] if len(h) else insult
+    per = lambda mask: np.bincount(doc[mask], minlength=t.n)
+    n, insults = np.maximum(np.bincount(doc, minlength=t.n), 1), per(insult)
+    return np.column_stack([
+        count(capital) > 0.5 * size, count(mark) > 0.02 * size, count(mark & near(mark, 1) & near(mark, 2)) > 0, count(mark & near(data == 63, 1)) > 0, count(masked) > 0,
+        insults >= 1, insults >= 2, insults > 0.01 * n, per(loud) > 0, per(aimed) > 0,
+    ])
 
 
-N_PATTERNS = 2
+N_PATTERNS = 10
 
 
 @dataclass
@@ -113,41 +132,75 @@ class Lookup:
 
 @dataclass
 class LabelModel:
-    """Rates of firing under class 1 and 0, weights for correlation, prior."""
+    """P(votes | class) along a tree of voters: each fires at a rate that depends on the class and on its parent's vote."""
 
-    fires: np.ndarray  # 2 x voters: row y is P(fire | y)
-    weight: np.ndarray
-    correlation: np.ndarray
+    parent: np.ndarray  # of each voter; -1 at the root
+    rate: np.ndarray  # voter x class x parent's vote: P(fire)
+    fires: np.ndarray  # class x voter: P(fire) whatever the parent does
+    correlation: np.ndarray  # class x voter: with the parent's vote, given the class
     prior: float
 
     def logit(self, votes: np.ndarray) -> np.ndarray:
-        return votes @ (np.log(self.fires[1] / self.fires[0]) * self.weight) + np.log(self.prior / (1 - self.prior))
-
-
-def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int, anchor: np.ndarray | float = 0.0) -> tuple[LabelModel, np.ndarray]:
-    """EM over 0/1 votes from starting posteriors; voters correlated given the class are weighted down together.
-
-    A voter that does not fire abstains, which is no evidence; the last voter is the one that fires where all others
-    abstain, and is alone in speaking for class 0. anchor: log odds from a voter of known accuracy, a row each.
-    Returns the model and the posteriors.
+        """Log odds of class 1 given the votes."""
+        ratio = np.log(self.rate[:, 1] / self.rate[:, 0])
+        silent = np.log((1 - self.rate[:, 1]) / (1 - self.rate[:, 0]))
+        above = np.where(self.parent >= 0, votes[:, self.parent], 0)
+        out = np.full(len(votes), np.log(self.prior / (1 - self.prior)))
+        for vote, table in ((1, ratio), (0, silent)):
+            for up in (1, 0):
+                out += ((votes == vote) & (above == up)) @ table[:, up]
+        return out
+
+
+def _tree(both: np.ndarray, single: np.ndarray, mass: np.ndarray) -> np.ndarray:
+    """Parents along the tree of greatest mutual information given the class. both: class x voter x voter, votes of both; single: class x voter."""
+    m = single.shape[1]
+    gain = np.zeros((m, m))
+    for y in (0, 1):
+        p11, a = both[y] / mass[y], single[y] / mass[y]
+        cells = (p11, a[:, None] - p11, a[None] - p11, 1 - a[:, None] - a[None] + p11)
+        means = (a[:, None] * a[None], a[:, None] * (1 - a[None]), (1 - a[:, None]) * a[None], (1 - a[:, None]) * (1 - a[None]))
+        for c, e in zip(cells, means):
+            c = np.maximum(c, 0)
+            gain += mass[y] * np.where(c > 1e-12, c * np.log(np.maximum(c, 1e-12) / np.maximum(e, 1e-12)), 0)
+    parent = np.full(m, -1)
+    best, link, out = gain[0].copy(), np.zeros(m, dtype=np.int64), np.ones(m, dtype=bool)
+    out[0] = False
+    for _ in range(m - 1):
+        i = int(np.argmax(np.where(out, best, -np.inf)))
+        parent[i], out[i] = link[i], False
+        closer = gain[i] > best
+        best[closer], link[closer] = gain[i][closer], i
+    return parent
+
+
+def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int, shrink: float = 2.0) -> tuple[LabelModel, np.ndarray]:
+    """EM over 0/1 votes from starting posteriors, without any label. Returns the model and the posteriors.
+
+    Rates given the parent's vote are shrunk to the voter's own by ``shrink`` rows; no voter is taken to speak for class 0.
     """
     n, m = votes.shape
-    q = np.clip(start, 0.02, 0.98)
-    model = None
+    q, model = np.clip(start, 0.02, 0.98), None
     for _ in range(rounds):
-        mass = np.array([(1 - q).sum(), q.sum()])
-        fires = (np.stack([votes.T @ (1 - q), votes.T @ q]) + 0.1) / (mass[:, None] + 1.0)
-        fires = np.clip(fires, 1e-4, 1 - 1e-4)
-        # a voter speaks for class 1: its rate there is never below that under class 0
-        fires[1, :-1] = np.maximum(fires[1, :-1], fires[0, :-1])
-        centred = votes - (q[:, None] * fires[1] + (1 - q)[:, None] * fires[0])
-        cov = centred.T @ centred / n
-        sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-        rho = np.clip(cov / np.outer(sd, sd), -1, 1)
-        np.fill_diagonal(rho, 0.0)
-        shared = np.where(rho > 0.3, rho, 0.0)
-        model = LabelModel(fires, 1 / (1 + shared.sum(axis=1)), rho, float(np.clip(q.mean(), 0.005, 0.995)))
-        q = 1 / (1 + np.exp(-np.clip(model.logit(votes) + anchor, -30, 30)))
+        share = np.stack([1 - q, q])
+        mass = share.sum(axis=1)
+        single = share @ votes
+        fires = np.clip((single + 0.1) / (mass[:, None] + 1.0), 1e-4, 1 - 1e-4)
+        fires[1] = np.maximum(fires[1], fires[0])
+        both = np.stack([(votes * s[:, None]).T @ votes for s in share])
+        parent = _tree(both, single, np.maximum(mass, 1e-9))
+        up = np.maximum(parent, 0)
+        with_up = both[:, np.arange(m), up]
+        seen = np.stack([mass[:, None] - single[:, up], single[:, up]], axis=2)  # class x voter x parent's vote
+        fired = np.stack([single - with_up, with_up], axis=2)
+        rate = (fired + shrink * fires[:, :, None]) / (seen + shrink)
+        rate[:, parent < 0] = fires[:, parent < 0, None]
+        rate = np.clip(np.maximum(rate, 0), 1e-4, 1 - 1e-4)
+        a, b = single / np.maximum(mass, 1e-9)[:, None], single[:, up] / np.maximum(mass, 1e-9)[:, None]
+        spread = np.sqrt(np.maximum(a * (1 - a) * b * (1 - b), 1e-12))
+        correlation = np.where(parent < 0, 0.0, (with_up / np.maximum(mass, 1e-9)[:, None] - a * b) / spread)
+        model = LabelModel(parent, rate.transpose(1, 0, 2), fires, correlation, float(np.clip(q.mean(), 0.005, 0.995)))
+        q = 1 / (1 + np.exp(-np.clip(model.logit(votes), -30, 30)))
     return model, q
 
 
@@ -194,13 +247,13 @@ def _calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def train(docs: DataFrame, labels: DataFrame, held_out: Column, setting: Setting = Setting()) -> Classifier:
     """docs: doc_id, text; labels: doc_id, label (1: toxic). held_out: condition on doc_id of rows never learnt from."""
-    spark = docs.sparkSession
-    known = labels.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & ~held_out).select("doc_id", "label")
-    rows = known.orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(3)), "label").limit(setting.labelled).collect()
-    chosen = spark.createDataFrame([(r.doc_id, r.label) for r in rows], "c_id long, c_label int")
-    # bounded by setting.labelled
-    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("c_id")).select("doc_id", "text", F.col("c_label").alias("label"))
-    sample = written(sample, "toxicity-sample")
+    known = labels.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & ~held_out).select(F.col("doc_id").cast("long").alias("c_id"), F.col("label").cast("int").alias("label")).distinct()
+    # bounded by setting.labelled, so it can be broadcast
+    chosen = hashed_share(known, setting.labelled, 3, "c_id")
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("c_id")).select("doc_id", "text", "label")
+    # repeated ids may make more rows of it; equal texts teach once, and the rest is bounded again
+    sample = written(sample, "toxicity-sample").withColumn("text_key", F.xxhash64("text")).dropDuplicates(["text_key", "label"])
+    sample = written(hashed_share(sample, 2 * setting.labelled, 4, "doc_id", "text_key"), "toxicity-sample")
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         hashes, hits, seen = [], [], []
@@ -220,7 +273,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, setting: Setting
         h, p, n = np.concatenate(hashes), np.concatenate(hits), np.concatenate(seen)
         return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(p.astype(np.int64)), pa.array(n.astype(np.int64))], names=["feature", "hits", "seen"])
 
-    counts = map_batches(sample.dropDuplicates(["text", "label"]), count, "feature long, hits long, seen long")
+    counts = map_batches(sample, count, "feature long, hits long, seen long")
     totals = sample.agg(F.sum("label"), F.count(F.lit(1))).first()
     base = float(totals[0] or 0) / max(totals[1], 1)
     counts = counts.groupBy("feature").agg(F.sum("hits").alias("hits"), F.sum("seen").alias("seen"))
@@ -256,10 +309,9 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, setting: Setting
     support = x[:, : len(hashes)].T @ y.astype(np.float32)
     voters = np.flatnonzero((support > 0) & (lexical | (np.argsort(np.argsort(-support)) < setting.voters)))
     votes = np.concatenate([x[:, voters], x[:, len(hashes) :]], axis=1).astype(np.float64)
-    votes = np.concatenate([votes, (votes.sum(axis=1) == 0)[:, None]], axis=1)
-    start = np.where(y > 0, 0.9, 0.1 * base)
-    trust = np.log(setting.label_accuracy / (1 - setting.label_accuracy))
-    _, q = fit_label_model(votes, start, setting.rounds, np.where(y > 0, trust, -trust))
+    # EM starts from the votes of the words, all of which were chosen to speak for class 1
+    start = np.where(votes[:, : len(voters)].any(axis=1), 0.9, 0.05)
+    _, q = fit_label_model(votes, start, setting.rounds)
     w, b = _fit_linear(x, q)
     slope, shift = _calibrate(x @ w + b, y)
     w, b = w * slope, b * slope + shift

@@ -190,16 +190,6 @@ def test_toxicity_edges(docs, nothing, spark):
     assert toxicity.score(nothing, model).collect() == [] and toxicity.keep_civil(docs, model).columns == docs.columns
 
 
-def test_label_model_recovers_rates():
-    rng = np.random.default_rng(0)
-    y = rng.random(4000) < 0.2
-    votes = np.column_stack([rng.random(4000) < np.where(y, p, 0.01) for p in (0.7, 0.5, 0.3)]).astype(float)
-    votes = np.column_stack([votes, votes[:, 0], votes.sum(axis=1) == 0]).astype(float)
-    model, q = toxicity.fit_label_model(votes, np.where(y, 0.9, 0.05), 15, np.where(y, 1.0, -1.0))
-    assert abs(model.fires[1, 0] - 0.7) < 0.1 and model.correlation[0, 3] > 0.9 and model.weight[0] < model.weight[1]
-    assert ((q > 0.5) == y).mean() > 0.9
-
-
 def test_quality(spark, sf):
     rows = {r.doc_id: r for r in queries.op7_quality(spark, sf).collect()}
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
