@@ -8,12 +8,15 @@ strings' windows are sorted by hash, equal hashes are confirmed byte by byte, an
 Scale: a window costs some 1/8 of a packed string rather than ``width`` words. Equal strings meet once per map block
 (``block_bytes``), so a passage in a third of all documents reaches its bucket once per block, with its places. A
 minimiser that many different strings share (a common line in many contexts) is found by a counting pass; its windows
-travel by their own hash instead, which spreads them. Buckets are a multiple of spark.sql.shuffle.partitions and each
-is read by one task at a time. Marks come back as word ranges keyed by document; texts are shuffled once, compressed, for the join.
-A minimiser seen at most once in every block escapes the count, so a bucket may hold one string more per block.
+travel by their own hash instead, which spreads them. At most ``crowded_keys`` such minimisers are broadcast, and none
+below has more than the larger of ``crowded`` and its share of all strings. In that pass a minimiser seen once in a
+block is counted by a 64th of its strings, 64-fold: it decides how windows travel, never what is found. Buckets and
+tasks follow the bytes of all texts, ``task_bytes`` to a task. Marks come back as distinct word ranges keyed by
+document; texts are shuffled once, compressed, for the join. A text is handled whole in one task, in some forty times
+its bytes.
 
 A null text has no words. A null doc_id is later than any other. Rows with the same doc_id are told apart by their
-text: their windows at equal starts are no earlier than one another; rows equal in both get equal results. Texts under
+text: their windows at equal starts are no earlier than one another; rows equal in both get equal results, and ties are no others. Texts under
 ``width`` words lose nothing. An empty table gives an empty result. Only doc_id and text are read.
 """
 
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import shuffled
+from .common import shuffled, written
 
 LAST = (1 << 63) - 1
 
@@ -53,9 +56,12 @@ class Setting:
     width: int = 20
     gram: int = 3
     block_bytes: int = 24 << 20
-    #: Different strings of one minimiser, over all blocks, from which its windows travel singly.
+    #: Different strings of one minimiser, over all blocks, from which its windows travel singly; most such minimisers.
     crowded: int = 20_000
-    buckets_per_partition: int = 8
+    crowded_keys: int = 1_000_000
+    #: Bytes of text whose strings a task sorts, in buckets_per_task groups.
+    task_bytes: int = 8 << 20
+    buckets_per_task: int = 8
 
 
 def joined(t: tk.Texts, w: tk.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,17 +112,18 @@ def superkmers(w: tk.Words, h: np.ndarray, setting: Setting, crowded: np.ndarray
     return Strings(key[head], starts[head], starts[tail] + setting.width, doc[head])
 
 
-def _count_minimisers(docs: DataFrame, setting: Setting) -> np.ndarray:
-    """Sorted minimisers of at least ``crowded`` different strings; at most all strings / crowded of them."""
+def _count_minimisers(docs: DataFrame, setting: Setting) -> tuple[np.ndarray, int]:
+    """Sorted minimisers of too many different strings, and the bytes of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, total = [], 0, 0
 
         def flush() -> pa.RecordBatch:
             pair = np.unique(np.concatenate(held), axis=0) if held else np.empty((0, 2), dtype=np.uint64)
-            key, n = np.unique(pair[:, 0], return_counts=True)
-            some = n >= 2
-            return pa.RecordBatch.from_arrays([pa.array(key[some].view(np.int64)), pa.array(n[some])], names=["key", "n"])
+            key, first, n = np.unique(pair[:, 0], return_index=True, return_counts=True)
+            some = (n >= 2) | (tk.mix64(pair[first, 1]) % np.uint64(64) == 0)
+            n = np.where(n == 1, 64, n)
+            return pa.RecordBatch.from_arrays([pa.array([*key[some].view(np.int64), None], pa.int64()), pa.array(np.append(n[some], len(pair))), pa.array([0] * int(some.sum()) + [total], pa.int64())], names=["key", "n", "size"])
 
         for batch in batches:
             for piece in tk.slices(batch, "text"):
@@ -124,6 +131,7 @@ def _count_minimisers(docs: DataFrame, setting: Setting) -> np.ndarray:
                 w = tk.words_of(t)
                 h = tk.hash_spans(t.data, w.start, w.end)
                 s = superkmers(w, h, setting)
+                total += len(t.data)
                 if not len(s.key):
                     continue
                 # a string is told by its two ends and its length here: a count, not a result
@@ -132,11 +140,17 @@ def _count_minimisers(docs: DataFrame, setting: Setting) -> np.ndarray:
                 size += 3 * len(t.data)
                 if size >= setting.block_bytes:
                     yield flush()
-                    held, size = [], 0
+                    held, size, total = [], 0, 0
         yield flush()
 
-    counts = docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= setting.crowded)
-    return np.sort(np.array([r.key for r in counts.select("key").collect()], dtype=np.int64).view(np.uint64))
+    counts = written(docs.select("text").mapInArrow(run, "key long, n long, size long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("size").alias("size")), "minimisers")
+    total = counts.where("key is null").first()
+    if total is None:
+        return np.empty(0, dtype=np.uint64), 0
+    # strings / crowded_keys or more each: no more than crowded_keys of them
+    least = max(setting.crowded, -(-total.n // setting.crowded_keys))
+    keys = counts.where((F.col("n") >= least) & F.col("key").isNotNull()).select("key").collect()
+    return np.sort(np.array([r.key for r in keys], dtype=np.int64).view(np.uint64)), total["size"]
 
 
 def _pack(strings: list[bytes], counts: np.ndarray, doc: np.ndarray, text: np.ndarray, start: np.ndarray) -> bytes:
@@ -158,6 +172,8 @@ def _unpack(blob: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarra
 
 
 def _packed(docs: DataFrame, setting: Setting, crowded: np.ndarray, buckets: int) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(crowded)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         keys: list[np.ndarray] = []
@@ -190,7 +206,7 @@ def _packed(docs: DataFrame, setting: Setting, crowded: np.ndarray, buckets: int
             for piece in tk.slices(batch, "text"):
                 t = tk.texts_of(piece.column("text"))
                 w = tk.words_of(t)
-                s = superkmers(w, tk.hash_spans(t.data, w.start, w.end), setting, crowded)
+                s = superkmers(w, tk.hash_spans(t.data, w.start, w.end), setting, shared.value)
                 if not len(s.key):
                     continue
                 norm, begin, end = joined(t, w)
@@ -296,12 +312,14 @@ def _removed(packed: DataFrame, width: int) -> DataFrame:
 
 
 def removed_ranges(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
-    """doc_key, text_key and ranges: the word ranges to remove of each document that has some."""
+    """doc_key, text_key and ranges: the distinct word ranges (lo, hi) to remove of each document that has some."""
     rows = _keyed(docs)
-    crowded = _count_minimisers(rows, setting)
-    buckets = setting.buckets_per_partition * shuffled(docs.sparkSession)
-    found = _removed(_packed(rows, setting, crowded, buckets), setting.width)
-    return found.groupBy("doc_key", "text_key").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
+    crowded, size = _count_minimisers(rows, setting)
+    tasks = max(shuffled(docs.sparkSession), -(-size // setting.task_bytes))
+    packed = _packed(rows, setting, crowded, setting.buckets_per_task * tasks).repartition(tasks, "bucket")
+    found = _removed(packed, setting.width)
+    # repeated rows have equal ranges, which are kept once
+    return found.groupBy("doc_key", "text_key").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -339,7 +357,7 @@ def _texts_again(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 def dedup(docs: DataFrame, setting: Setting = Setting(), with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept: the words left, one space apart) for every row of docs."""
-    ranges = removed_ranges(docs, setting).select(F.col("doc_key").alias("r_doc"), F.col("text_key").alias("r_text"), "lo", "hi")
+    ranges = removed_ranges(docs, setting).select(F.col("doc_key").alias("r_doc"), F.col("text_key").alias("r_text"), F.col("ranges.lo").alias("lo"), F.col("ranges.hi").alias("hi"))
     rows = _packed_texts(_keyed(docs)).join(ranges, (F.col("doc_key") == F.col("r_doc")) & (F.col("text_key") == F.col("r_text")), "left").select("doc_id", "packed", "lo", "hi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -344,6 +344,26 @@ def test_substring_dedup_edges(docs, nothing):
     assert superkmer.dedup(docs).count() == len(corpus())
 
 
+def test_substring_dedup_of_repeated_rows(spark):
+    """5,000 equal rows: each has the ranges once."""
+    one = words(300, 60) + " " + words(300, 60)
+    rows = [(7, one)] * 5000 + [(8, words(300, 60) + " own tail")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    ranges = superkmer.removed_ranges(table).collect()
+    assert sorted(r.doc_key for r in ranges) == [7, 8] and max(len(r.ranges) for r in ranges) < 100
+    got = {(r.doc_id, r.n_words, r.n_removed) for r in superkmer.dedup(table).collect()}
+    assert got == {(7, 600, 300), (8, 302, 300)}
+
+
+def test_crowded_minimisers(spark):
+    table = spark.createDataFrame([(k, words(12, k) + " same three words " + words(12, 900 + k)) for k in range(300)], "doc_id long, text string")
+    rows = superkmer._keyed(table).repartition(40)
+    few, size = superkmer._count_minimisers(rows, superkmer.Setting(crowded=250))
+    many, _ = superkmer._count_minimisers(rows, superkmer.Setting(crowded=2))
+    bounded, _ = superkmer._count_minimisers(rows, superkmer.Setting(crowded=2, crowded_keys=10))
+    assert len(few) <= 4 and len(many) > len(few) and len(bounded) <= 10 and size == sum(len(r.text.encode()) for r in table.collect())
+
+
 def test_equal_hashes_are_told_apart_by_bytes():
     raw = b"aabbaa"
     group = superkmer._same(raw, np.array([0, 2, 4]), np.array([2, 4, 6]), np.array([1, 1, 1]))
