@@ -529,11 +529,12 @@ def keep_first(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
     named = named.select(F.col("k1").alias("n_k1"), F.col("k2").alias("n_k2"), "root", "worded")
     placed = rows.select(F.coalesce("doc_id", F.lit(LAST)).alias("key"), "tx", "k1", "k2").join(named, (F.col("k1") == F.col("n_k1")) & (F.col("k2") == F.col("n_k2")))
     first = placed.where("worded").groupBy("root").agg(F.min(F.struct("key", "tx")).alias("first")).select("first.*")
-    first = written(first.select(F.col("key").alias("__f_key"), F.col("tx").alias("__f_tx")), "first")
-    keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("__tx", F.xxhash64(F.col("text").cast("string")))
-    worded = F.coalesce(F.regexp_like(F.col("text").cast("string"), F.lit(WORD)), F.lit(False))
-    kept = keyed.where(worded).join(first.hint("merge"), (F.col("__key") == F.col("__f_key")) & (F.col("__tx") == F.col("__f_tx")), "left_semi")
+    first = written(first.select(F.col("key").alias("f_key"), F.col("tx").alias("f_tx")), "first")
+    text = F.col("text").cast("string")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    keyed = docs.select(row, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"), F.xxhash64(text).alias("tx"), F.coalesce(F.regexp_like(text, F.lit(WORD)), F.lit(False)).alias("worded"))
+    kept = keyed.where("worded").join(first.hint("merge"), (F.col("key") == F.col("f_key")) & (F.col("tx") == F.col("f_tx")), "left_semi")
     repeated = rows.where("keys is not null").groupBy("doc_id", "tx").count().where("count > 1").limit(1).count() > 0
     if repeated:
-        kept = kept.dropDuplicates(["__key", "__tx"])
-    return kept.unionByName(keyed.where(~worded)).select(*(F.col(f"`{c}`") for c in docs.columns))
+        kept = kept.dropDuplicates(["key", "tx"])
+    return kept.unionByName(keyed.where("not worded")).select("row.*")

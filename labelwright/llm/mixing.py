@@ -3,8 +3,9 @@
 Every source has a piecewise-linear weight over training progress 0..1. The integral of the weight sets the source's
 share of the token budget (water-filled: no source gives more than ``max_epochs`` times its size). Within a source the
 documents stand in a fixed pseudo-random order, so each owns an interval of the source's token stream, epoch after
-epoch; the source's cumulative demand over progress, inverted at the start of that interval, is the document's training
-position. Documents are then range-sorted by position.
+epoch; the source's cumulative demand over progress, inverted at the start of that interval, gives the progress at which
+the document is due. The demand of all sources up to there, as a share of the whole, is its training position: where in
+the stream of taken tokens it stands, whatever the weights sum to. Documents are then range-sorted by position.
 
 Scale: sizes are counted where the texts are read; only (id, source, size) is shuffled. A source's running sum is
 taken per hash bucket and put together from the bucket totals, so a source with a third of all rows is spread over
@@ -12,7 +13,7 @@ taken per hash bucket and put together from the bucket totals, so a source with
 
 A null text has size 0 and is never taken. A null source is a source of its own, last in the order. Ties in the order
 (repeated rows) stand in order of size, and rows that agree in that too are interchangeable. An empty table gives an
-empty mix. Only doc_id, text and source are read, so extra columns cannot clash.
+empty mix. Texts of any length are counted by a regular expression, without building their words. Only doc_id, text and source are read, so extra columns cannot clash.
 """
 
 from __future__ import annotations
@@ -80,6 +81,31 @@ def _segments(s: Schedule) -> list[tuple[float, float, float, float, float, floa
     return out
 
 
+def cumulative(targets: list[float], schedules: list[Schedule]) -> list[tuple[float, float, float, float]]:
+    """Demand of all sources over progress x, as a share of the whole: (x0, d0, v, c) segments, d0 + v (x - x0) + c (x - x0)^2."""
+    whole = sum(targets) or 1.0
+    at = sorted({t for s in schedules for t, _ in s.knots} | {0.0, 1.0})
+    out, d = [], 0.0
+    for x0, x1 in zip(at, at[1:]):
+        v = c = 0.0
+        for target, s in zip(targets, schedules):
+            for (t0, w0), (t1, w1) in zip(s.knots, s.knots[1:]):
+                if t0 <= x0 and x1 <= t1:
+                    slope, scale = (w1 - w0) / (t1 - t0), target / s.integral() / whole
+                    v, c = v + scale * (w0 + slope * (x0 - t0)), c + scale * slope / 2
+        out.append((x0, d, v, c))
+        d += v * (x1 - x0) + c * (x1 - x0) ** 2
+    return out
+
+
+def _demand(progress: Column, segments: list[tuple[float, float, float, float]]) -> Column:
+    out = F.lit(0.0)
+    for x0, d0, v, c in segments:
+        x = progress - F.lit(x0)
+        out = F.when(progress >= x0, F.lit(d0) + F.lit(v) * x + F.lit(c) * x * x).otherwise(out)
+    return F.least(F.lit(1.0), out)
+
+
 def sized(docs: DataFrame) -> DataFrame:
     return docs.select(
         F.col("doc_id"),
@@ -93,8 +119,8 @@ def mix(docs: DataFrame, schedule: Callable[[int], Schedule], budget: float = 1.
 
     docs: doc_id, source, text. schedule(k) is the schedule of the k-th source in code point order, null last; budget is
     in multiples of all words. Adds source_size, target (words of the source), taken (words
-    of this document, over all epochs) and positions (training progress of each copy, in order; the last copy may be
-    cut where the budget of its source ends). Rows come range-sorted by their first position, untaken ones last.
+    of this document, over all epochs) and positions (share of the stream of taken tokens before each copy, in order; the
+    last copy may be cut where the budget of its source ends). Rows come range-sorted by their first position, untaken ones last.
     """
     spark = docs.sparkSession
     # the texts are read once; what follows works on the sizes
@@ -126,7 +152,8 @@ def mix(docs: DataFrame, schedule: Callable[[int], Schedule], budget: float = 1.
     part = F.least(F.greatest(rest - F.col("at"), F.lit(0)), F.col("size"))
     rows = rows.withColumn("taken", epochs * F.col("size") + part)
     copies = F.when(F.col("taken") > 0, F.sequence(F.lit(0), F.ceil(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
-    place = lambda k: _inverse(F.least(F.lit(1.0), (F.col("at") + k * F.col("source_size")) / F.greatest(F.col("target"), F.lit(1.0))), F.col("knots"))
+    segments = cumulative(targets, schedules)
+    place = lambda k: _demand(_inverse(F.least(F.lit(1.0), (F.col("at") + k * F.col("source_size")) / F.greatest(F.col("target"), F.lit(1.0))), F.col("knots")), segments)
     rows = rows.withColumn("positions", F.transform(copies, place))
     # untaken documents follow the others, spread by their order
     rank = F.coalesce(F.get("positions", F.lit(0)), F.lit(2.0) + F.col("bucket") / F.lit(buckets))

@@ -15,7 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), mixing.curriculum)
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.round(F.get("positions", F.lit(0)), 6).alias("position"))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,15 +94,22 @@ ORACLES: dict[str, str] = {
                    min(2 * n / w) FILTER (WHERE 2 * n * weight > remaining * w) AS lowest FROM filled),
         first AS (SELECT remaining AS r, weight AS s FROM filled, level WHERE 2 * n / w = lowest ORDER BY weight DESC LIMIT 1),
         targets AS (
-            SELECT source, n AS source_size, least(2.0 * n, coalesce((SELECT r * w / s FROM first), 2.0 * n)) AS target FROM weighed),
+            SELECT source, n AS source_size, least(2.0 * n, coalesce((SELECT r * w / s FROM first), 2.0 * n)) AS target, w AS mean,
+                   CASE w WHEN 3 THEN 4.0 WHEN 1 THEN 0.5 ELSE 2.0 END::DOUBLE AS w0, CASE w WHEN 3 THEN 2.0 WHEN 1 THEN 1.5 ELSE 2.0 END::DOUBLE AS w1 FROM weighed),
+        demand AS (SELECT sum(target * w0 / mean) / sum(target) AS v, sum(target * (w1 - w0) / mean) / 2 / sum(target) AS c FROM targets),
         placed AS (
-            SELECT doc_id, size, source_size, target, round(target)::BIGINT AS tokens,
+            SELECT doc_id, size, source_size, target, round(target)::BIGINT AS tokens, mean, w0, w1,
                    sum(size) OVER (PARTITION BY s.source ORDER BY md5(doc_id::VARCHAR), doc_id, size ROWS UNBOUNDED PRECEDING) - size AS before
-            FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
-        SELECT doc_id, size, source_size, target,
-               (CASE WHEN source_size = 0 THEN 0
-                     ELSE (tokens // source_size) * size + least(greatest(tokens % source_size - before, 0), size) END)::BIGINT AS taken
-        FROM placed""",
+            FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+        due AS (
+            SELECT *, least(1.0, before / greatest(target, 1.0))::DOUBLE * mean AS need,
+                   (CASE WHEN source_size = 0 THEN 0
+                         ELSE (tokens // source_size) * size + least(greatest(tokens % source_size - before, 0), size) END)::BIGINT AS taken
+            FROM placed),
+        inverted AS (
+            SELECT *, least(1.0, CASE WHEN need = 0 THEN 0 ELSE 2 * need / (w0 + sqrt(greatest(0, w0 * w0 + 2 * (w1 - w0) * need))) END)::DOUBLE AS x FROM due)
+        SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN round(least(1.0, v * x + c * x * x), 6) END AS position
+        FROM inverted, demand""",
     "op6_repetition": r"""
         WITH lists AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS l FROM documents),
         words AS (SELECT doc_id, i, l[i] AS word FROM lists, unnest(range(1, len(l) + 1)) AS u(i)),

@@ -5,7 +5,8 @@ characters of the words inside n-grams found twice or more, and inside lines see
 characters of all words. A document is kept if it passes the base rules and no share is above its limit.
 
 Rows are scored one by one, without a shuffle: skew, copies and clashing columns play no part. A null or empty text
-has no words, so it fails the base rules; repeated rows get equal results; an empty table gives an empty result.
+has no words, so it fails the base rules; repeated rows get equal results; a share equal to its limit passes; an empty
+table gives an empty result. A text is handled whole in one task, in some thirty times its bytes.
 Equality of n-grams is equality of 64-bit hashes.
 """
 

@@ -12,7 +12,8 @@ whole capacity cannot stay together; it is split by hash of doc_id into pieces o
 Slots are numbered per (shard, sub-bucket) and put together from the sub-bucket counts, so no task sorts a whole shard.
 
 A null text has 0 bytes besides the row's overhead and a null checksum; null texts are one group, apart from empty
-ones. Repeated rows get slots of their own. An empty table gives an empty result. Extra columns are not read.
+ones. Repeated rows get slots of their own. Ties in the packing go to the first
+shard, ties in the slot order are rows alike. Texts of any length are measured without building their words. An empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations

@@ -112,7 +112,36 @@ def test_mixing(docs, nothing, spark):
     assert mixing.mix(nothing, mixing.curriculum).collect() == []
 
 
-def test_mixing_positions_invert_the_schedule():
+def test_mixing_positions_against_numeric_inversion(docs):
+    """Each copy's progress by bisection of its source's integral, its position from the demand of all sources up to there."""
+    plans = [mixing.Schedule(((0.0, 1.0), (0.3, 5.0), (0.6, 0.0), (1.0, 2.0))), mixing.ramp(1.0, 0.5, 1.5), mixing.constant(2.0), mixing.Schedule(((0.0, 4.0), (0.5, 1.0), (1.0, 1.0)))]
+    schedule = lambda k: plans[k % 4]
+    rows = mixing.mix(docs, schedule).collect()
+    sources = sorted({r.source for r in rows}, key=lambda s: (s is None, s or ""))
+    target = {r.source: r.target for r in rows}
+
+    def spent(s, x, steps=4000):
+        knots = np.array(schedule(sources.index(s)).knots)
+        grid = np.linspace(0, x, steps + 1)
+        return float(np.trapezoid(np.interp(grid, knots[:, 0], knots[:, 1]), grid))
+
+    before, whole, tried = defaultdict(int), sum(target.values()), 0
+    for r in sorted(rows, key=lambda r: hashlib.md5(str("" if r.doc_id is None else r.doc_id).encode()).hexdigest()):
+        at, before[r.source] = before[r.source], before[r.source] + r.size
+        alone = sum(x.doc_id == r.doc_id for x in rows) == 1
+        for k, position in enumerate(r.positions if alone else []):
+            share = min(1.0, (at + k * r.source_size) / r.target)
+            lo, hi, total = 0.0, 1.0, spent(r.source, 1.0)
+            for _ in range(30):
+                mid = (lo + hi) / 2
+                lo, hi = (mid, hi) if spent(r.source, mid) < share * total else (lo, mid)
+            want = sum(target[s] * spent(s, lo) / spent(s, 1.0) for s in sources) / whole
+            assert position == pytest.approx(want, abs=2e-3)
+            tried += 1
+    assert tried > 30
+
+
+def test_schedules_and_shares():
     s = mixing.ramp(3.0, 4 / 3, 2 / 3)
     assert s.integral() == pytest.approx(3.0)
     assert mixing.water_fill([10, 100], [1.0, 1.0], 60.0, 2.0) == [20.0, 40.0]

@@ -36,3 +36,17 @@ def test_empty_documents(spark, sf):
     for name, stage in P.STAGES:
         docs = written(stage(spark, docs, sf), f"empty-{name}")
         assert docs.count() == 0
+
+
+def test_odd_rows(spark, sf):
+    """Nulls in every column, clashing extra columns, a repeated row and an empty text pass through every stage."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = docs.limit(3).unionByName(docs.limit(3)).unionByName(spark.createDataFrame([(None,) * 5, (10**6, "", "en", "src0", 0), (10**6 + 1, None, None, None, None)], docs.schema))
+    docs = docs.unionByName(odd)
+    for column in ("size", "key", "root", "__key", "shard", "row", "score"):
+        docs = docs.selectExpr("*", f"'kept' as `{column}`")
+    for name, stage in P.STAGES:
+        out = written(stage(spark, docs, sf), f"odd-{name}")
+        assert name == "shard" or out.columns == docs.columns
+        assert out.where("`root` <> 'kept' or `score` <> 'kept' or `__key` <> 'kept' or key <> 'kept'").count() == 0 and out.count() > 0
+        docs = out
