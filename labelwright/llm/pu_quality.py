@@ -115,7 +115,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def nnpu_fit(z_pos: np.ndarray, z_unl: np.ndarray, prior: float, steps: int = 700, rate: float = 0.03, decay: float = 1e-4, beta: float = 0.0) -> tuple[np.ndarray, float]:
+def nnpu_fit(z_pos: np.ndarray, z_unl: np.ndarray, prior: float, steps: int = 400, rate: float = 0.04, decay: float = 1e-4, beta: float = 0.0) -> tuple[np.ndarray, float]:
     """Linear model minimising prior R_p+ + max(-beta, R_u- - prior R_p-) with logistic loss, by Adam on full batches.
 
     Where the bracket is below -beta, the step descends its negative instead (Kiryo et al., 2017).
@@ -125,7 +125,7 @@ def nnpu_fit(z_pos: np.ndarray, z_unl: np.ndarray, prior: float, steps: int = 70
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     sigmoid = lambda a: 1 / (1 + np.exp(-np.clip(a, -30, 30)))
     for k in range(1, steps + 1):
-        ap, au = z_pos @ w + b, z_unl @ w + b
+        ap, au = z_pos @ w + np.float32(b), z_unl @ w + np.float32(b)
         sp, su = sigmoid(ap), sigmoid(au)
         # losses: softplus(-a) for label +1, softplus(a) for label -1
         negative = np.logaddexp(0, au).mean() - prior * np.logaddexp(0, ap).mean()
@@ -159,17 +159,22 @@ def fit(x_pos: np.ndarray, x_unl: np.ndarray, prior: float | None, hinges: int =
     return model
 
 
-def _logistic(z: np.ndarray, y: np.ndarray, steps: int = 300, rate: float = 0.05) -> tuple[np.ndarray, float]:
-    w, b = np.zeros(z.shape[1]), 0.0
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(z @ w + b, -30, 30)))
-        w -= rate * (z.T @ (p - y) / len(y) + 1e-3 * w)
-        b -= rate * float((p - y).mean())
-    return w, b
+def _logistic(z: np.ndarray, y: np.ndarray, steps: int = 120, rate: float = 0.05) -> tuple[np.ndarray, float]:
+    """Logistic regression by Adam on full batches."""
+    w, b = np.zeros(z.shape[1], dtype=np.float32), 0.0
+    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+    for k in range(1, steps + 1):
+        r = (1 / (1 + np.exp(-np.clip(z @ w + b, -30, 30))) - y).astype(np.float32)
+        g = np.append(z.T @ r / len(y) + 1e-3 * w, r.mean())
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        step = rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
+        w, b = (w - step[:-1]).astype(np.float32), b - step[-1]
+    return w, float(b)
 
 
 def class_prior(z_pos: np.ndarray, z_unl: np.ndarray, folds: int = 3, delta: float = 0.1) -> float:
     """Share of positives among the unlabelled, from rows of features of both."""
+    z_pos, z_unl = z_pos.astype(np.float32), z_unl.astype(np.float32)
     s_pos, s_unl = np.empty(len(z_pos)), np.empty(len(z_unl))
     for k in range(folds):
         p, u = np.arange(len(z_pos)) % folds == k, np.arange(len(z_unl)) % folds == k

@@ -77,6 +77,16 @@ def token_features(t: tk.Texts) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out), np.concatenate(docs)
 
 
+def _among(h: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Which hashes are in a short list."""
+    maybe = np.zeros(1 << 16, dtype=bool)
+    maybe[words >> np.uint64(48)] = True
+    out = maybe[h >> np.uint64(48)]
+    near = np.flatnonzero(out)
+    out[near] = np.isin(h[near], words)
+    return out
+
+
 def patterns(t: tk.Texts) -> np.ndarray:
     """Pattern voters by document."""
     data, size = t.data, np.maximum(np.diff(t.offsets), 1)
@@ -88,7 +98,7 @@ def patterns(t: tk.Texts) -> np.ndarray:
     w = tk.words_of(t)
     has, start, end = tk.cores(t, w)
     h, doc = tk.hash_spans(tk.lowered(data), start, end), w.doc()[has]
-    insult, person = np.isin(h, LEXICON_HASHES), np.isin(h, PERSON_HASHES)
+    insult, person = _among(h, LEXICON_HASHES), _among(h, PERSON_HASHES)
     aimed = np.zeros(len(h), dtype=bool)
     for k in (1, 2, 3, 4):
         aimed[k:] |= insult[k:] & person[:-k] & (doc[k:] == doc[:-k])
