@@ -50,44 +50,64 @@ def l2_normalised(v: Column) -> Column:
     return F.when(n == 0, F.transform(v, lambda x: x.cast("double"))).otherwise(F.transform(v, lambda x: x.cast("double") / n))
 
 
-def similarity_top_k(probes: DataFrame, corpus: DataFrame, k: int, block_rows: int = 20_000) -> DataFrame:
-    """query_id, doc_ord, score, rank: the k most similar corpus rows of each query, ties by doc_ord.
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    size = np.linalg.norm(vectors, axis=1)
+    return np.divide(vectors, size[:, None], out=np.zeros_like(vectors), where=size[:, None] > 0)
+
+
+def _searched(probes: DataFrame, corpus: DataFrame, k: int | None, block_rows: int) -> DataFrame:
+    """query_id, doc_ord, score of all pairs (k None), or of each task's k best for every query.
 
-    probes: query_id, embedding; corpus: doc_ord, embedding. The corpus is collected in blocks of at most block_rows
-    vectors, each set against all queries by matrix product; block results are merged by a window per query. So a
-    corpus of any size is searched exactly with bounded memory.
+    The queries are the smaller side: they are collected in blocks of at most block_rows vectors, each broadcast and
+    set against the corpus by matrix product where the corpus lies. Scores that differ only by rounding are ties.
     """
     spark = probes.sparkSession
-    n = corpus.count()
-    blocks = max(1, -(-n // block_rows))
-    schema = "query_id long, doc_ord long, score double"
-    out = None
+    probes = probes.select(F.col("query_id").cast("long").alias("query_id"), "embedding")
+    blocks, out = max(1, -(-probes.count() // block_rows)), None
     for b in range(blocks):
-        rows = corpus.where(F.pmod(F.xxhash64("doc_ord"), F.lit(blocks)) == b).select("doc_ord", "embedding").orderBy("doc_ord").collect()
-        ids = np.array([r.doc_ord for r in rows], dtype=np.int64)
-        m = np.array([r.embedding for r in rows], dtype=np.float64).reshape(len(rows), -1)
-        length = np.linalg.norm(m, axis=1)
-        m = np.divide(m, length[:, None], out=np.zeros_like(m), where=length[:, None] > 0)
-        shared = spark.sparkContext.broadcast((ids, m))
+        rows = probes.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
+        if not rows:
+            continue
+        shared = spark.sparkContext.broadcast((np.array([r.query_id for r in rows]), _unit(np.array([r.embedding for r in rows], dtype=np.float64))))
 
         def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, m = shared.value
+            ids, q = shared.value
+            best: list[tuple[np.ndarray, np.ndarray] | None] = [None] * -(-len(q) // 512)
             for pdf in batches:
-                if not len(pdf) or not len(ids):
+                if not len(pdf):
                     continue
-                q = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-                size = np.linalg.norm(q, axis=1)
-                q = np.divide(q, size[:, None], out=np.zeros_like(q), where=size[:, None] > 0)
-                for at in range(0, len(q), 512):
-                    # scores that differ only by rounding are ties, which go by doc_ord
-                    s = np.round(q[at : at + 512] @ m.T, 12)
-                    top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                    yield pd.DataFrame({"query_id": np.repeat(pdf["query_id"].to_numpy()[at : at + 512], top.shape[1]), "doc_ord": ids[top].ravel(), "score": np.take_along_axis(s, top, axis=1).ravel()})
-
-        part = probes.select(F.col("query_id").cast("long").alias("query_id"), "embedding").mapInPandas(search, schema)
+                docs, m = pdf["doc_ord"].to_numpy(), _unit(np.stack(pdf["embedding"].to_numpy()).astype(np.float64))
+                for at in range(len(best)):
+                    own = slice(512 * at, 512 * at + 512)
+                    s = np.round(q[own] @ m.T, 12)
+                    if k is None:
+                        yield pd.DataFrame({"query_id": np.repeat(ids[own], len(docs)), "doc_ord": np.tile(docs, len(s)), "score": s.ravel()})
+                        continue
+                    d = np.broadcast_to(docs, s.shape)
+                    if best[at] is not None:
+                        s, d = np.concatenate([best[at][0], s], axis=1), np.concatenate([best[at][1], d], axis=1)
+                    top = np.lexsort((d, -s), axis=1)[:, :k]
+                    best[at] = np.take_along_axis(s, top, axis=1), np.take_along_axis(d, top, axis=1)
+            for at, found in enumerate(best):
+                if found is not None:
+                    yield pd.DataFrame({"query_id": np.repeat(ids[512 * at : 512 * at + 512], found[0].shape[1]), "doc_ord": found[1].ravel(), "score": found[0].ravel()})
+
+        part = corpus.select(F.col("doc_ord").cast("long").alias("doc_ord"), "embedding").mapInPandas(search, "query_id long, doc_ord long, score double")
         out = part if out is None else out.unionByName(part)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_ord")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return out if out is not None else spark.createDataFrame([], "query_id long, doc_ord long, score double")
+
+
+def similarity_scores(probes: DataFrame, corpus: DataFrame, block_rows: int = 20_000) -> DataFrame:
+    """query_id, doc_ord, score: the cosine of every query with every corpus row. probes: query_id, embedding; corpus: doc_ord, embedding."""
+    return _searched(probes, corpus, None, block_rows)
+
+
+def similarity_top_k(probes: DataFrame, corpus: DataFrame, k: int, block_rows: int = 20_000) -> DataFrame:
+    """query_id, doc_ord, score, rank: the k most similar corpus rows of each query, ties by doc_ord.
+
+    The corpus is never moved: each task keeps its k best for every query, and a window per query merges those.
+    """
+    return top_k(_searched(probes, corpus, k, block_rows), k)
 
 
 def top_k(scores: DataFrame, k: int) -> DataFrame:

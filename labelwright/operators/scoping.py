@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def with_roots(items: DataFrame, max_depth: int = 16) -> DataFrame:
+def with_roots(items: DataFrame) -> DataFrame:
     """items with root_item_id (the ancestor at depth 0) and depth.
 
     A label's links are gathered into one map and climbed inside the row: one shuffle on label_id, however deep. The
-    climb stops after max_depth steps, so a cycle ends too.
+    climb takes as many steps as the label has links, which reaches every root, and ends in a cycle too.
     """
     links = F.map_from_entries(F.collect_list(F.when(F.col("parent_item_id").isNotNull(), F.struct("item_id", "parent_item_id"))).over(Window.partitionBy("label_id")))
     start = F.struct(F.col("item_id").alias("at"), F.lit(0).alias("depth"))
@@ -19,8 +19,8 @@ def with_roots(items: DataFrame, max_depth: int = 16) -> DataFrame:
         up = F.try_element_at(F.col("__links"), s["at"])
         return F.struct(F.coalesce(up, s["at"]).alias("at"), (s["depth"] + F.when(up.isNotNull(), 1).otherwise(0)).alias("depth"))
 
-    top = F.aggregate(F.sequence(F.lit(1), F.lit(max_depth)), start, climb)
-    rows = items.withColumn("__links", links).withColumn("__top", top)
+    climbed = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size("__links"), F.lit(1))), start, climb)
+    rows = items.withColumn("__links", links).withColumn("__top", climbed)
     return rows.select(*items.columns, F.col("__top.at").alias("root_item_id"), F.col("__top.depth").alias("depth"))
 
 

@@ -23,7 +23,7 @@ def functional_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("canonical_id", F.array_join("classes", ",").alias("classes"), "inherited")
 
 
-_BLOCKED = "SELECT DISTINCT canonical_id AS blocked_id, CASE WHEN item_id % 3 = 0 THEN 200.0 END AS blocked_level, concat(CAST(1 + label_id % 18 AS string), '') AS fcs_code FROM items WHERE label_id % 25 = 0"
+_BLOCKED = "SELECT DISTINCT canonical_id AS blocked_id, CASE WHEN item_id % 3 = 0 THEN 200.0 END AS blocked_level, concat(CAST(1 + label_id % 18 AS string), '') AS fcs_code FROM items"
 
 
 @query(

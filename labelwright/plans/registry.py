@@ -37,7 +37,7 @@ VIEWS: dict[str, str] = {
                CASE WHEN l_tax < 0.02 THEN '' ELSE concat('n', CAST(CAST(round(l_tax * 100) AS int) AS string), ',m', CAST(l_linenumber AS string)) END AS notes,
                concat('Additive ', CAST(100 + l_partkey % 150 AS string)) AS additive_name,
                CASE WHEN l_suppkey % 7 = 0 THEN NULL ELSE 'https://law.example/list' END AS source_url
-        FROM lineitem WHERE l_orderkey % 5 = 0""",
+        FROM lineitem""",
     "permits_conflict": f"""
         SELECT row_ord, canonical_id, food_category_raw, CASE WHEN odd THEN 'prohibited' ELSE 'permitted' END AS status,
                max_level_mg_kg, max_level_basis, conditions, notes, additive_name, source_url
@@ -46,7 +46,7 @@ VIEWS: dict[str, str] = {
                      CASE WHEN l_linenumber % 2 = 0 THEN 'mg/kg' ELSE 'gmp' END AS max_level_basis,
                      CASE WHEN l_discount < 0.05 THEN NULL ELSE concat('clause ', CAST(CAST(round(l_discount * 100) AS int) AS string)) END AS conditions,
                      '' AS notes, 'x' AS additive_name, 'u' AS source_url
-              FROM lineitem WHERE l_orderkey % 5 = 0) t""",
+              FROM lineitem) t""",
     "items": f"""
         SELECT label_id, item_id, CASE WHEN item_id > 1 AND item_id % 3 <> 1 THEN CAST(floor(item_id / 2) AS int) END AS parent_item_id, canonical_id, price
         FROM (SELECT l_orderkey AS label_id,
@@ -69,8 +69,8 @@ VIEWS: dict[str, str] = {
                concat(CAST(100 + p_partkey % 400 AS string), CASE p_partkey % 5 WHEN 1 THEN 'a' WHEN 2 THEN '(i)' WHEN 3 THEN 'b(ii)' ELSE '' END) AS ins,
                p_name AS name, p_type AS class_a, CASE WHEN p_size % 3 = 0 THEN '' ELSE p_brand END AS class_b
         FROM part""",
-    "corpus": "SELECT vec_id AS doc_ord, embedding, label FROM embeddings WHERE vec_id % 5 = 0",
-    "probes": "SELECT vec_id AS query_id, embedding, label FROM embeddings WHERE vec_id % 5 <> 0",
+    "corpus": "SELECT vec_id AS doc_ord, embedding, label FROM embeddings",
+    "probes": "SELECT vec_id AS query_id, embedding, label FROM embeddings WHERE vec_id % 20 = 0",
     "signals": """
         SELECT event_id, CAST(user_id AS string) AS substance_id, event_type AS stage, CAST(year(ts) - event_id % 9 AS int) AS signal_year, ts, value
         FROM events""",

@@ -10,7 +10,7 @@ from .registry import load, query
 
 _SCORES = """scores AS (
     SELECT p.vec_id AS query_id, c.vec_id AS doc_ord, list_cosine_similarity(p.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS score, p.label AS q_label, c.label AS c_label
-    FROM (SELECT * FROM embeddings WHERE vec_id % 5 <> 0) p, (SELECT * FROM embeddings WHERE vec_id % 5 = 0) c),
+    FROM (SELECT * FROM embeddings WHERE vec_id % 20 = 0) p, embeddings c),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, doc_ord) AS rank FROM scores)"""
 
 
@@ -23,11 +23,10 @@ def top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _top(spark, sf_dir, 10).select("query_id", "doc_ord", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("tk1_similarity_scores", (), f"WITH {_SCORES} SELECT query_id, count(*) AS n, round(max(score), 6) AS best FROM scores GROUP BY query_id")
+@query("tk1_similarity_scores", (), f"WITH {_SCORES} SELECT query_id, doc_ord, round(score, 6) AS score FROM scores")
 def similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = load(spark, sf_dir, "corpus").count()
-    best = _top(spark, sf_dir, 1)
-    return best.select("query_id", F.lit(n).cast("long").alias("n"), F.round("score", 6).alias("best"))
+    scores = R.similarity_scores(load(spark, sf_dir, "probes"), load(spark, sf_dir, "corpus"))
+    return scores.select("query_id", "doc_ord", F.round("score", 6).alias("score"))
 
 
 @query("scl10_cosine", (), "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
@@ -79,8 +78,8 @@ def classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "tk6_tfidf",
     (),
-    r"""WITH t AS (SELECT item_id AS doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{2,}')) AS token FROM benchmark WHERE NOT regexp_matches(text, '[^\x00-\x7F]')),
-    tf AS (SELECT doc_id, token, count(*) AS tf FROM t GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM benchmark WHERE NOT regexp_matches(text, '[^\x00-\x7F]')),
+    r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS token FROM documents),
+    tf AS (SELECT doc_id, token, count(*) AS tf FROM t GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM documents),
     idf AS (SELECT token, ln((1.0 + n) / (1.0 + count(*))) + 1.0 AS idf FROM tf, n GROUP BY token, n),
     w AS (SELECT doc_id, token, tf * idf AS w FROM tf JOIN idf USING (token)), s AS (SELECT doc_id, sqrt(sum(w * w)) AS s FROM w GROUP BY 1)
     SELECT doc_id, token, round(w / s, 6) AS weight FROM w JOIN s USING (doc_id)""",
@@ -131,8 +130,8 @@ def rank_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.groupBy("query_id").agg(F.round(gap, 6).alias("gap"))
 
 
-@query("tk9_prefilter_pool", (), """SELECT p.vec_id AS query_id, count(*) AS pool FROM (SELECT * FROM embeddings WHERE vec_id % 5 <> 0) p
-    JOIN (SELECT label, vec_id FROM embeddings WHERE vec_id % 5 = 0) c ON p.label = c.label GROUP BY 1""")
+@query("tk9_prefilter_pool", (), """SELECT p.vec_id AS query_id, count(*) AS pool FROM (SELECT * FROM embeddings WHERE vec_id % 20 = 0) p
+    JOIN embeddings c ON p.label = c.label GROUP BY 1""")
 def prefilter_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = load(spark, sf_dir, "corpus").groupBy("label").agg(F.count(F.lit(1)).alias("pool"))
     return load(spark, sf_dir, "probes").join(sizes, "label").select("query_id", "pool")

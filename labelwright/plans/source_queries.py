@@ -68,8 +68,8 @@ def group_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "src15_nearest_anchor",
     (),
-    """WITH p AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS y, l_orderkey % 50 AS page FROM lineitem WHERE l_linenumber <= 3), a AS (SELECT o_orderkey % 50 AS page, o_totalprice AS y FROM orders WHERE o_orderkey % 40 = 0 GROUP BY 1, 2)
-    SELECT page, round(sum(anchor), 2) AS total, count(*) AS n FROM (SELECT p.page, p.y, p.l_orderkey, arg_min(a.y, abs(a.y - p.y) * 1000000 + a.y / 1000000) AS anchor FROM p JOIN a ON p.page = a.page GROUP BY p.page, p.y, p.l_orderkey, p.l_linenumber, p.rowid) GROUP BY page""".replace(", p.rowid", "").replace("WHERE l_linenumber <= 3", "WHERE l_linenumber <= 3 GROUP BY 1, 2, 3, 4"),
+    """WITH p AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS y, l_orderkey % 50 AS page FROM lineitem GROUP BY 1, 2, 3, 4), a AS (SELECT o_orderkey % 50 AS page, o_totalprice AS y FROM orders GROUP BY 1, 2)
+    SELECT page, round(sum(anchor), 2) AS total, count(*) AS n FROM (SELECT p.page, p.y, p.l_orderkey, arg_min(a.y, abs(a.y - p.y) * 1000000 + a.y / 1000000) AS anchor FROM p JOIN a ON p.page = a.page GROUP BY p.page, p.y, p.l_orderkey, p.l_linenumber) GROUP BY page""",
 )
 def nearest_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("y"), (F.col("l_orderkey") % 50).alias("page")).distinct()

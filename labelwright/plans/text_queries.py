@@ -43,7 +43,7 @@ def clean_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "pages").select("page_id", F.length(t).cast("long").alias("n_chars"), F.md5(t.cast("binary")).alias("digest"))
 
 
-@query("scl1_gate_confidence", (), "SELECT user_id, count(DISTINCT event_type) AS n_evidence, least(count(DISTINCT event_type), 5) / 5.0 AS confidence FROM events WHERE event_id % 7 = 0 GROUP BY user_id")
+@query("scl1_gate_confidence", (), "SELECT user_id, count(DISTINCT event_type) AS n_evidence, least(count(DISTINCT event_type), 5) / 5.0 AS confidence FROM events GROUP BY user_id")
 def gate_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "events").groupBy("user_id").agg(F.countDistinct("event_type").alias("n_evidence"))
     return rows.withColumn("confidence", T.gate_confidence(F.col("n_evidence")))
@@ -102,7 +102,7 @@ def balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     "scl8_split_top_level",
     (),
     r"""WITH pieces AS (
-        SELECT doc_id, unnest(string_split(text, ',')) AS p, generate_subscripts(string_split(text, ','), 1) AS i FROM documents WHERE n_chars < 3000),
+        SELECT doc_id, unnest(string_split(text, ',')) AS p, generate_subscripts(string_split(text, ','), 1) AS i FROM documents),
     deep AS (
         SELECT doc_id, p, i, sum(length(regexp_replace(p, '[^(\[]', '', 'g')) - length(regexp_replace(p, '[^)\]]', '', 'g'))) OVER (PARTITION BY doc_id ORDER BY i) AS d FROM pieces),
     part AS (SELECT doc_id, p, i, count(*) FILTER (WHERE d = 0) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS g FROM deep),
@@ -217,7 +217,7 @@ def rfc2822_date(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("scl24_prefilter", (), r"""SELECT d.doc_id, list_has_any(list_filter(regexp_extract_all(lower(n), '[a-z0-9_]+'), lambda x: length(x) >= 4), regexp_extract_all(lower(d.text), '[a-z0-9_]+')) AS relevant,
-    (doc_id % 10) / 10.0 >= 0.6 AS scored FROM (SELECT *, CASE doc_id % 3 WHEN 0 THEN 'thing of note' WHEN 1 THEN 'that nation' ELSE 'with tion' END AS n FROM documents WHERE lang = 'en') d""")
+    (doc_id % 10) / 10.0 >= 0.6 AS scored FROM (SELECT *, CASE doc_id % 3 WHEN 0 THEN 'thing of note' WHEN 1 THEN 'that nation' ELSE 'with tion' END AS n FROM documents) d""")
 def prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id") % 3
     name = F.when(k == 0, "thing of note").when(k == 1, "that nation").otherwise("with tion")

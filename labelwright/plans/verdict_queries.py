@@ -317,7 +317,7 @@ def permitted_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "ag8_relational_division",
     ("permits", "items"),
-    "WITH " + CLEAN.format(table="permits") + """, own AS (SELECT DISTINCT label_id, canonical_id FROM items WHERE label_id % 10 = 0),
+    "WITH " + CLEAN.format(table="permits") + """, own AS (SELECT DISTINCT label_id, canonical_id FROM items),
     perm AS (SELECT DISTINCT canonical_id, fcs_code FROM clean WHERE status = 'permitted' AND fcs_code <> ''),
     known AS (SELECT o.* FROM own o WHERE o.canonical_id IN (SELECT canonical_id FROM perm)),
     need AS (SELECT label_id, count(*) AS n FROM known GROUP BY label_id)
