@@ -49,6 +49,26 @@ def substitutes(blocked: DataFrame, permits: DataFrame, substances: DataFrame, f
     return shared.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)
 
 
+def suggestions(blocking: DataFrame, permits: DataFrame, substances: DataFrame, flagged: DataFrame | None = None) -> DataFrame:
+    """blocking (label_id, item_id, blocked_id, fcs_code, blocked_level) with candidates, best first, and the reason where there are none.
+
+    Candidates are found once per distinct pair and joined back to the items.
+    """
+    found = substitutes(blocking.where("fcs_code is not null"), permits, substances, flagged)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("place", "candidate_id"))), lambda x: x["candidate_id"])
+    found = found.groupBy(F.col("blocked_id").alias("f_id"), F.col("fcs_code").alias("f_code"), F.col("blocked_level").alias("f_level")).agg(ordered.alias("candidates"))
+    classed = functional_classes(blocking, "blocked_id", substances).where(F.size("classes") > 0).select(F.col("blocked_id").alias("c_id"), F.lit(True).alias("classed"))
+    same = (F.col("blocked_id") == F.col("f_id")) & (F.col("fcs_code") == F.col("f_code")) & F.col("blocked_level").eqNullSafe(F.col("f_level"))
+    rows = blocking.join(found, same, "left").join(classed, F.col("blocked_id") == F.col("c_id"), "left")
+    reason = (
+        F.when(F.col("fcs_code").isNull(), "no food category available")
+        .when(F.col("classed").isNull(), "functional class of the blocked additive is unknown")
+        .when(F.col("candidates").isNull(), "no permitted additive of this category shares a functional class")
+    )
+    return rows.select(*blocking.columns, F.coalesce("candidates", F.array().cast("array<string>")).alias("candidates"), reason.alias("reason"))
+
+
+
 def horizon(items: DataFrame, signals: DataFrame, as_of_year: int, max_age: int = 5) -> DataFrame:
     """Signals met by id, else by name where the id meets none; those too old, or without a year, are excluded with a reason.
 

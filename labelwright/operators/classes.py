@@ -10,7 +10,7 @@ from .advisory import functional_classes
 
 def split_classes(raw: Column, vocabulary: tuple[str, ...]) -> Column:
     """Classes welded into one line, split before capitals; a part outside the vocabulary keeps the line whole."""
-    parts = F.split(F.trim(raw), r"\s+(?=[A-Z])")
+    parts = F.split(F.regexp_replace(F.trim(raw), r"\s+([A-Z])", "\u0001$1"), "\u0001")
     unknown = F.size(F.array_except(parts, F.array(*map(F.lit, vocabulary)))) > 0
     return F.when(unknown, F.array(F.trim(raw))).otherwise(parts)
 
@@ -41,6 +41,7 @@ def candidates_phrase(names: Column, many: int = 6) -> Column:
 
 def cites_only_foreign(code: Column, description: Column) -> Column:
     """The description cites category codes in brackets, and none below the code's own top level."""
-    cited = F.regexp_extract_all(description, F.lit(r"\(\s*(\d+(?:\.\d+)*)\s*\)"), 1)
+    bracketed = F.transform(F.regexp_extract_all(description, F.lit(r"\(([^()]*)\)"), 1), F.trim)
+    cited = F.filter(bracketed, lambda c: c.rlike(r"^[0-9]+([.][0-9]+)*$"))
     top = F.split_part(code, F.lit("."), F.lit(1))
     return (F.size(cited) > 0) & ~F.exists(cited, lambda c: F.split_part(c, F.lit("."), F.lit(1)) == top)

@@ -92,6 +92,14 @@ def token_set_ratio(a: str | None, b: str | None) -> float:
     return max(scores)
 
 
+def token_set_ratios(a: Column, b: Column) -> Column:
+    @F.pandas_udf("double")
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([token_set_ratio(p, q) for p, q in zip(x, y)], dtype="float64")
+
+    return ratio(a, b)
+
+
 def fuzzy_match(names: DataFrame, substances: DataFrame, least: float = 90.0, max_rows: int = 100_000) -> DataFrame:
     """name, ins, score: the best registry name for each distinct leftover name, the first of equals.
 
@@ -121,14 +129,42 @@ def fuzzy_match(names: DataFrame, substances: DataFrame, least: float = 90.0, ma
     return names.select("name").distinct().withColumn("hit", hit).where("hit.ins is not null").select("name", "hit.ins", "hit.score")
 
 
+def by_family_name(names: DataFrame, permits: DataFrame) -> DataFrame:
+    """ins, n_id: of the listed ids of an ins's family, the one whose name is most like codex_name, the first row of equals.
+
+    names: ins, codex_name. A family is an equi-join on the leading digits, so ids meet only their own family's. A listed
+    id belongs to it if a bracket, a letter or nothing follows the digits.
+    """
+    digits = lambda c: F.regexp_extract(c, r"^([0-9]+)", 1)
+    known = permits.groupBy("canonical_id").agg(F.min("row_ord").alias("first"), F.max_by("additive_name", "row_ord").alias("listed"))
+    rest = F.substring(F.col("canonical_id"), F.length(digits(F.col("canonical_id"))) + 1, F.lit(1))
+    known = known.where((rest == "") | (rest == "(") | rest.rlike("^[a-z]")).select("canonical_id", "first", "listed", digits(F.col("canonical_id")).alias("k_family"))
+    pairs = names.where("codex_name is not null and ins is not null").distinct().join(known, digits(F.col("ins")) == F.col("k_family"))
+    scored = pairs.withColumn("score", token_set_ratios(F.col("codex_name"), F.col("listed"))).where("score > 0")
+    return scored.groupBy("ins").agg(F.min_by("canonical_id", F.struct((-F.col("score")).alias("s"), "first")).alias("n_id"))
+
+
 def crosswalk(resolved: DataFrame, permits: DataFrame) -> DataFrame:
-    """eu_canonical_id and eu_flag from ins: exact, else one step broader, else not_in_eu_list (silent for enzymes and flavourings)."""
+    """eu_canonical_id, eu_flag and eu_cap from ins: exact, else one step broader, else by name within the family, else none.
+
+    The two lists number the same families differently (470(i), 470a), so a code that neither lookup finds is sought by
+    likeness of names, where resolved has codex_name and permits have row_ord and additive_name; such a match is flagged
+    and caps confidence at 0.75. Enzymes and flavourings are silently absent.
+    """
     known = permits.select(F.col("canonical_id").alias("known")).distinct()
     rows = resolved.withColumn("wider", parent_ins(F.col("ins")))
     rows = rows.join(known.select(F.col("known").alias("e0")), F.col("ins") == F.col("e0"), "left").join(known.select(F.col("known").alias("e1")), F.col("wider") == F.col("e1"), "left")
-    found = F.coalesce("e0", "e1")
-    flag = F.when(F.col("ins").isNull() | F.col("e0").isNotNull(), F.lit(None)).when(F.col("e1").isNotNull(), "eu_widened_to_parent").when(~F.col("classification").isin("enzyme", "flavouring"), "not_in_eu_list")
-    return rows.select(*resolved.columns, found.alias("eu_canonical_id"), flag.alias("eu_flag"))
+    if "codex_name" in resolved.columns and {"row_ord", "additive_name"} <= set(permits.columns):
+        left = rows.where("ins is not null and e0 is null and e1 is null").select("ins", "codex_name")
+        rows = rows.join(by_family_name(left, permits).withColumnRenamed("ins", "n_ins"), F.col("ins") == F.col("n_ins"), "left")
+    else:
+        rows = rows.withColumn("n_id", F.lit(None).cast("string"))
+    found = F.coalesce("e0", "e1", "n_id")
+    flag = (
+        F.when(F.col("ins").isNull() | F.col("e0").isNotNull(), F.lit(None)).when(F.col("e1").isNotNull(), "eu_widened_to_parent")
+        .when(F.col("n_id").isNotNull(), "crosswalk_by_name").when(~F.col("classification").isin("enzyme", "flavouring"), "not_in_eu_list")
+    )
+    return rows.select(*resolved.columns, found.alias("eu_canonical_id"), flag.alias("eu_flag"), F.when(flag == "crosswalk_by_name", 0.75).alias("eu_cap"))
 
 
 def is_flavouring(role: Column, name: Column) -> Column:
@@ -149,7 +185,7 @@ def resolve_items(items: DataFrame, substances: DataFrame, tiers: DataFrame, per
     coded = resolve_by_code(items.where("declared_code is not null"), substances).drop("flag")
     named = resolve_by_name(items.where("declared_code is null"), tiers)
     rows = coded.withColumn("method", F.coalesce("method", F.lit("unresolved"))).unionByName(named)
-    classes = registry(substances).select(F.col("ins").alias("r_ins"), "functional_classes")
+    classes = registry(substances).select(F.col("ins").alias("r_ins"), "functional_classes", F.col("name").alias("codex_name"))
     rows = rows.join(classes, F.col("ins") == F.col("r_ins"), "left").drop("r_ins")
     guard = needs_family_guard(F.col("ins"), F.col("method"))
     enzyme = F.startswith("ins", F.lit("1101(")) | F.coalesce(F.exists("functional_classes", lambda c: F.contains(F.lower(c), F.lit("enzyme"))), F.lit(False))
@@ -165,7 +201,7 @@ def resolve_items(items: DataFrame, substances: DataFrame, tiers: DataFrame, per
     )
     confidence = F.when(guard, 0.5).when(lexical & role, 0.0).when(F.col("ins").isNull() & (kind == "flavouring"), 0.95).otherwise(F.col("confidence"))
     rows = rows.withColumn("classification", kind).withColumn("confidence", confidence)
-    rows = crosswalk(rows, permits)
+    rows = crosswalk(rows, permits).withColumn("confidence", F.least("confidence", "eu_cap"))
     rows = rows.withColumn("classification", F.when(F.col("eu_canonical_id").isNotNull() & F.col("classification").isin("flavouring", "enzyme"), "additive").otherwise(F.col("classification")))
     parents = items.where("parent_item_id is not null").select("label_id", F.col("parent_item_id").alias("item_id"), F.lit(True).alias("is_parent")).distinct()
     rows = rows.join(parents, ["label_id", "item_id"], "left")

@@ -125,7 +125,7 @@ def mmr(scores: DataFrame, corpus: DataFrame, weight: float, pool: int = 20, sel
     """Maximal marginal relevance per query: picks that trade similarity against likeness to earlier picks.
 
     scores: query_id, doc_ord, score. Ten sequential picks from a pool of 20, so one small group per query in pandas.
-    Ties go to the smaller doc_ord. Returns query_id, pick, doc_ord, score (the true similarity).
+    Worth that differs only by rounding is a tie, which goes to the smaller doc_ord. Returns query_id, pick, doc_ord, score (the true similarity).
     """
     pooled = top_k(scores, pool).join(corpus.select("doc_ord", "embedding"), "doc_ord").select("query_id", "doc_ord", "score", "embedding")
 
@@ -138,7 +138,7 @@ def mmr(scores: DataFrame, corpus: DataFrame, weight: float, pool: int = 20, sel
         left, chosen = list(range(len(pdf))), []
         while left and len(chosen) < select:
             worth = [weight * score[i] - (1 - weight) * (max(alike[i][j] for j in chosen) if chosen else 0.0) for i in left]
-            chosen.append(left.pop(int(np.argmax(worth))))
+            chosen.append(left.pop(int(np.argmax(np.round(worth, 12)))))
         return pd.DataFrame({"query_id": pdf["query_id"].iloc[0], "pick": range(1, len(chosen) + 1), "doc_ord": pdf["doc_ord"].to_numpy()[chosen], "score": score[chosen]})
 
     return pooled.groupBy("query_id").applyInPandas(pick, "query_id long, pick int, doc_ord long, score double")

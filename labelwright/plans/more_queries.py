@@ -15,7 +15,7 @@ from .advisory_queries import _CLASSES
 from .registry import load, query
 from .resolution_queries import _GUARDED, _PARENT, _substances
 from .retrieval_queries import _SCORES, _top
-from .verdict_queries import CLEAN, DEDUP, SELECTED, VERDICT_VIEWS, _permits, item_verdicts, lineage_sql, verdict_sql
+from .verdict_queries import CLEAN, VERDICT_VIEWS, _permits, item_verdicts, lineage_sql, verdict_sql
 
 _VOCABULARY = ("Flavour enhancer", "Sweetener", "Acidity regulator", "Emulsifier")
 
@@ -128,19 +128,7 @@ def cache_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("src7_horizon_scan", ("signals",), "SELECT stage, signal_year, count(*) AS n FROM signals GROUP BY 1, 2")
 def horizon_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nested = load(spark, sf_dir, "signals").groupBy("stage").agg(F.collect_list(F.struct("signal_year", "substance_id")).alias("signals"))
-    return nested.select("stage", F.explode("signals").alias("s")).groupBy("stage", "s.signal_year").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(
-    "tv7_substitute_suggestions",
-    (*VERDICT_VIEWS, "substances"),
-    verdict_sql("""SELECT v.label_id, v.item_id, v.eu_canonical_id AS blocked_id, t.fcs_code FROM verdicts v JOIN labels_top3 t ON v.label_id = t.label_id AND t.rank = 1
-        WHERE v.headline = 'not_permitted_in_category' AND v.verdict_certainty = 'certain'"""),
-)
-def substitute_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = item_verdicts(spark, sf_dir).where(J.is_blocking(F.col("headline"), F.col("verdict_certainty")) & (F.col("headline") == "not_permitted_in_category"))
-    return rows.select("label_id", "item_id", F.col("eu_canonical_id").alias("blocked_id"), F.get("by_category", F.lit(0))["fcs_code"].alias("fcs_code"))
+    return load(spark, sf_dir, "signals").groupBy("stage", "signal_year").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("tv9_news_signals", (), """SELECT event_id, concat('Under regulatory review: ', event_type) AS sentence FROM events WHERE value >= 0.6 * 100 AND event_type <> 'view'""")

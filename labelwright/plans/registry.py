@@ -69,6 +69,17 @@ VIEWS: dict[str, str] = {
                concat(CAST(100 + p_partkey % 400 AS string), CASE p_partkey % 5 WHEN 1 THEN 'a' WHEN 2 THEN '(i)' WHEN 3 THEN 'b(ii)' ELSE '' END) AS ins,
                p_name AS name, p_type AS class_a, CASE WHEN p_size % 3 = 0 THEN '' ELSE p_brand END AS class_b
         FROM part""",
+    "eu_list": """
+        SELECT row_ord, CASE WHEN even THEN concat(family, CASE WHEN salt THEN 'c' ELSE 'a' END) ELSE canonical_id END AS canonical_id,
+               CASE WHEN even THEN concat(CASE WHEN salt THEN 'Sodium' ELSE 'Calcium' END, ' salts of acid ', family) ELSE additive_name END AS additive_name
+        FROM (SELECT row_ord, canonical_id, additive_name, regexp_extract(canonical_id, '^[0-9]+', 0) AS family, CAST(regexp_extract(canonical_id, '^[0-9]+', 0) AS int) % 2 = 0 AS even,
+                     contains(canonical_id, '(') AS salt FROM permits) t""",
+    "category_tree": """
+        SELECT code, concat('Category ', code) AS name, CASE WHEN length(code) % 3 = 0 THEN NULL ELSE concat('This category covers wares of kind ', code,
+               '. Includes chocolate wafers such as kind ', code, '. Includes all other wares. Some e.g. are not.') END AS description
+        FROM (SELECT DISTINCT concat_ws('.', CAST(1 + p_size % 16 AS string), CASE WHEN d > 1 THEN CAST(1 + p_partkey % 3 AS string) END, CASE WHEN d > 2 THEN CAST(1 + p_partkey % 4 AS string) END,
+                                CASE WHEN d > 3 THEN CAST(1 + p_partkey % 2 AS string) END) AS code
+              FROM part, (SELECT 1 AS d UNION ALL SELECT 2 AS d UNION ALL SELECT 3 AS d UNION ALL SELECT 4 AS d) levels) t""",
     "corpus": "SELECT vec_id AS doc_ord, embedding, label FROM embeddings",
     "probes": "SELECT vec_id AS query_id, embedding, label FROM embeddings WHERE vec_id % 20 = 0",
     "signals": """
@@ -76,7 +87,7 @@ VIEWS: dict[str, str] = {
         FROM events""",
 }
 
-_NEEDS = {"resolved": ["items"]}
+_NEEDS = {"resolved": ["items"], "eu_list": ["permits"]}
 
 
 def _closure(names: tuple[str, ...]) -> list[str]:

@@ -80,18 +80,6 @@ def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.fuzzy_match(names, firsts)
 
 
-@query(
-    "jn5_eu_crosswalk",
-    ("substances", "permits"),
-    f"""WITH eu AS (SELECT DISTINCT canonical_id FROM permits), s AS (SELECT DISTINCT ins, {_PARENT.format(c="ins")} AS wider FROM substances)
-    SELECT ins, coalesce(a.canonical_id, b.canonical_id) AS eu_canonical_id, CASE WHEN a.canonical_id IS NOT NULL THEN NULL WHEN b.canonical_id IS NOT NULL THEN 'eu_widened_to_parent' ELSE 'not_in_eu_list' END AS eu_flag
-    FROM s LEFT JOIN eu a ON s.ins = a.canonical_id LEFT JOIN eu b ON s.wider = b.canonical_id""",
-)
-def eu_crosswalk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = load(spark, sf_dir, "substances").select("ins").distinct().withColumn("classification", F.lit("additive"))
-    return R.crosswalk(rows, load(spark, sf_dir, "permits")).select("ins", "eu_canonical_id", "eu_flag")
-
-
 _GUARDED = ", ".join(f"'{x}'" for x in R.GUARDED)
 
 
@@ -108,9 +96,10 @@ _GUARDED = ", ".join(f"'{x}'" for x in R.GUARDED)
             WHEN ins IS NOT NULL THEN 'additive' WHEN contains(lower(concat(coalesce(declared_role, ''), ' ', name_as_declared)), 'flavour') THEN 'flavouring' ELSE 'unknown' END AS kind FROM guarded),
     conf AS (SELECT *, CASE WHEN guard THEN 0.5 WHEN method = 'food_lexicon' AND declared_role IS NOT NULL THEN 0.0 WHEN ins IS NULL AND kind = 'flavouring' THEN 0.95 ELSE confidence END AS c FROM kinds),
     eu AS (SELECT DISTINCT canonical_id FROM permits),
+    named_alike AS (SELECT regexp_extract(canonical_id, '^[0-9]+', 0) AS family, arg_min(canonical_id, row_ord) AS n_id FROM permits GROUP BY 1),
     crossed AS (
-        SELECT k.*, coalesce(a.canonical_id, b.canonical_id) AS eu_canonical_id FROM (SELECT *, {_PARENT.format(c="ins")} AS wider FROM conf) k
-        LEFT JOIN eu a ON k.ins = a.canonical_id LEFT JOIN eu b ON k.wider = b.canonical_id),
+        SELECT k.* REPLACE (CASE WHEN a.canonical_id IS NULL AND b.canonical_id IS NULL AND n_id IS NOT NULL THEN least(c, 0.75) ELSE c END AS c), coalesce(a.canonical_id, b.canonical_id, n_id) AS eu_canonical_id FROM (SELECT *, {_PARENT.format(c="ins")} AS wider FROM conf) k
+        LEFT JOIN eu a ON k.ins = a.canonical_id LEFT JOIN eu b ON k.wider = b.canonical_id LEFT JOIN named_alike ON regexp_extract(k.ins, '^[0-9]+', 0) = family),
     parents AS (SELECT DISTINCT label_id, parent_item_id AS p FROM declared WHERE parent_item_id IS NOT NULL)
     SELECT x.label_id, x.item_id, ins, eu_canonical_id, CASE WHEN p IS NOT NULL AND kind <> 'additive' THEN 'compound' ELSE kind END AS classification,
            CASE WHEN p IS NOT NULL AND kind <> 'additive' THEN 'structural' ELSE method END AS method, CASE WHEN p IS NOT NULL AND kind <> 'additive' THEN 0.95 ELSE c END AS confidence

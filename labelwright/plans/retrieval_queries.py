@@ -143,15 +143,3 @@ def enriched_clause(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = load(spark, sf_dir, "part").groupBy("p_brand", "p_type").agg(F.count(F.lit(1)).alias("n"))
     top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), F.lower("p_type").alias("l"), "p_type"))), 1, 3)
     return counts.groupBy(F.col("p_brand").alias("category")).agg(F.array_join(F.transform(top, lambda x: x["p_type"]), ", ").alias("clause"))
-
-
-@query("tv4_corpus_documents", ("permits",), r"""WITH c AS (SELECT DISTINCT rtrim(split_part(food_category_raw, ' ', 1), '.') AS code FROM permits WHERE food_category_raw IS NOT NULL)
-    SELECT c.code, coalesce(string_agg(a.code, ' -- ' ORDER BY length(a.code)), '') AS chain FROM c LEFT JOIN c a ON starts_with(c.code, concat(a.code, '.')) GROUP BY c.code""")
-def corpus_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..functions.normalise import category_code, dotted_parent
-
-    codes = load(spark, sf_dir, "permits").where("food_category_raw is not null").select(category_code(F.col("food_category_raw")).alias("code")).distinct()
-    up = codes.select("code", dotted_parent(F.col("code")).alias("up"))
-    known = codes.select(F.col("code").alias("up"), F.lit(True).alias("known"))
-    chained = up.join(known, "up", "left")
-    return chained.select("code", F.when(F.col("known"), F.col("up")).otherwise("").alias("chain"))

@@ -12,7 +12,7 @@ from ..sources import word_clouds as W
 from .registry import load, query
 
 
-@query("src1_scan_default", ())
+@query("src1_scan_default", (), "SELECT NULL::BIGINT AS label_id, NULL::VARCHAR AS text WHERE false")
 def scan_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.read_json(spark, f"{sf_dir}/no_such_file.json", "label_id long, text string")
 
@@ -119,7 +119,7 @@ def append_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.append_log(log, load(spark, sf_dir, "nation").select(F.col("n_name").alias("run"), F.lit("m").alias("model")))
 
 
-@query("snk3_json_report", ())
+@query("snk3_json_report", (), "SELECT o_orderkey, json_object('o_orderstatus', o_orderstatus, 'o_totalprice', o_totalprice)::VARCHAR AS report FROM orders")
 def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.to_report(load(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), "o_orderkey")
 

@@ -251,7 +251,9 @@ def verbatim(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "scl27_modality_backstop",
     (),
-    rf"""SELECT event_id, CASE event_id % 4 WHEN 2 THEN 'recalled,banned' WHEN 1 THEN CASE WHEN event_id % 3 = 0 THEN '' ELSE 'ban' END ELSE '' END AS unbacked FROM events""",
+    rf"""WITH t AS (SELECT event_id, {_QUOTE} AS quote, CASE WHEN event_id % 4 = 2 THEN 'nothing' WHEN event_id % 3 = 0 THEN 'a ban on use' ELSE 'a study' END AS source FROM events),
+    f AS (SELECT event_id, list_transform(regexp_extract_all(quote, '(?i)\b({'|'.join(T.MODALITY)})\b', 1), lambda x: lower(x)) AS said, list_transform(regexp_extract_all(source, '(?i)\b({'|'.join(T.MODALITY)})\b', 1), lambda x: lower(x)) AS backed FROM t)
+    SELECT event_id, array_to_string(list_filter(said, lambda x: NOT list_contains(backed, x)), ',') AS unbacked FROM f""",
 )
 def modality(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = F.when(F.col("event_id") % 3 == 0, "a ban on use").otherwise("a study")
