@@ -115,7 +115,7 @@ def _marked(tag: str, attrs: dict[str, str]) -> bool:
 
 
 class _Reader:
-    """Reads tags of a page. Attribute values end at their quote; a quote that never closes, or closes into a word, ends at the next >."""
+    """Reads tags of a page. Attribute values end at their quote; a quote that never closes, or closes beyond a > into a word, ends at the next >."""
 
     def __init__(self, source: str):
         self.source = source
@@ -138,7 +138,7 @@ class _Reader:
             value, at = v.group(1) or "", v.end()
             if value in ('"', "'"):
                 close = source.find(value, at) if at <= self.last[value] else -1
-                if close >= 0 and (close + 1 >= len(source) or source[close + 1] in " \t\n\r\f/>"):
+                if close >= 0 and (close + 1 >= len(source) or source[close + 1] in " \t\n\r\f/>" or source.find(">", at, close) < 0):
                     value, at = source[at:close], close + 1
                 else:
                     close = source.find(">", at)
@@ -172,6 +172,7 @@ def parse(source: str) -> Node:
     n, read = len(source), _Reader(source)
     open_of: dict[str, int] = {}  # open elements by tag
     ends: dict[str, list[int]] = {}  # where the end tags of a tag are
+    closed: dict[str, set[int]] = {}
     gone = {"-->": False, ">": False}  # whether no such mark is left
 
     def shut(k: int) -> None:
@@ -187,6 +188,18 @@ def parse(source: str) -> Node:
             ends[tag] = [m.start() for m in re.finditer(rf"</{re.escape(tag)}(?![^\s/>])", source, re.I)]
         return len(ends[tag]) - bisect_left(ends[tag], place)
 
+    def sealed(tag: str) -> set[int]:
+        """Where the start tags lie that have an end tag of their own, each end tag going to the nearest before it."""
+        if tag not in closed:
+            waiting, closed[tag] = [], set()
+            for m in re.finditer(rf"<(/?){tag}(?![^\s/>])([^>]*)", source, re.I):
+                if not m.group(1):
+                    if not (tag == "svg" and m.group(2).endswith("/")):
+                        waiting.append(m.start())
+                elif waiting:
+                    closed[tag].add(waiting.pop())
+        return closed[tag]
+
     def past(mark: str, place: int) -> int:
         found = -1 if gone[mark] else source.find(mark, place)
         gone[mark] = found < 0
@@ -241,7 +254,7 @@ def parse(source: str) -> Node:
             elif tag in _CODE:
                 at = text = n
             continue
-        if tag in _SEALED and (alone or open_of.get(tag, 0) >= ends_after(tag, at)):
+        if tag in _SEALED and begin not in sealed(tag):
             continue  # it has no end tag of its own, so it holds nothing
         if tag in _P_CLOSERS and open_of.get("p"):
             for k in range(len(stack) - 1, 0, -1):
