@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,10 +11,18 @@ from .advisory import functional_classes
 
 
 def split_classes(raw: Column, vocabulary: tuple[str, ...]) -> Column:
-    """Classes welded into one line, split before capitals; a part outside the vocabulary keeps the line whole."""
-    parts = F.split(F.regexp_replace(F.trim(raw), r"\s+([A-Z])", "\u0001$1"), "\u0001")
-    unknown = F.size(F.array_except(parts, F.array(*map(F.lit, vocabulary)))) > 0
-    return F.when(unknown, F.array(F.trim(raw))).otherwise(parts)
+    """Classes welded into one line, split before capitals; failing that, read off as the longest known class at each place.
+
+    Where neither leaves nothing over, the line stays whole: a wrong split would relabel a substance.
+    """
+    line = F.trim(raw)
+    parts = F.transform(F.split(F.regexp_replace(line, r"\s+([A-Z])", "\u0001$1"), "\u0001"), F.trim)
+    known = F.size(F.array_except(parts, F.array(*map(F.lit, vocabulary)))) == 0
+    words = F.array_join(F.filter(F.split(F.regexp_replace(line, "([a-z])([A-Z])", "$1 $2"), r"[\s,;/]+"), lambda w: w != ""), " ")
+    # longest first, and what is taken is not given back
+    one = "(?>" + "|".join(re.escape(c) for c in sorted(vocabulary, key=lambda c: (-len(c.split()), c))) + r")(?=[.]?( |$))"
+    chain = words.rlike(rf"^({one}[.]?( |$))+$")
+    return F.when(line == "", F.array().cast("array<string>")).when(known, parts).when(chain, F.regexp_extract_all(words, F.lit(one), 0)).otherwise(F.array(line))
 
 
 def name_and_ins(text: Column) -> list[Column]:

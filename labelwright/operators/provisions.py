@@ -54,7 +54,8 @@ def select_rows(permits: DataFrame, *by: str) -> DataFrame:
     Adds n_rows and flags. permits: row_ord, status, max_level_mg_kg, max_level_basis, conditions, note_codes,
     source_url. A group's rows are the provisions of one substance in one category, so the lists stay short.
     """
-    rows = dedupe_rows(permits)
+    held = dict.fromkeys((*by, *DUPLICATE_KEY, "row_ord", "max_level_basis", "note_codes", "source_url"))
+    rows = dedupe_rows(permits.select(*held))
     level, conditions = F.col("max_level_mg_kg"), F.col("conditions")
     text = F.when(F.coalesce(conditions, F.lit("")) != "", conditions)
     payload = F.struct("status", "max_level_mg_kg", "max_level_basis", "conditions", "note_codes", "source_url")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -100,33 +101,39 @@ def token_set_ratios(a: Column, b: Column) -> Column:
     return ratio(a, b)
 
 
-def fuzzy_match(names: DataFrame, substances: DataFrame, least: float = 90.0, max_rows: int = 100_000) -> DataFrame:
-    """name, ins, score: the best registry name for each distinct leftover name, the first of equals.
+def fuzzy_match(names: DataFrame, substances: DataFrame, least: float = 90.0, block_rows: int = 100_000) -> DataFrame:
+    """name, ins, score: the best registry name for each distinct leftover name, the first (by row_ord) of equals.
 
-    The registry is broadcast to the Python workers; its size is checked against max_rows. Only names that no other
-    tier resolved should come here.
+    The registry goes to the Python workers in blocks of about block_rows rows, one pass over the names for each, and the
+    best of all blocks is kept, so its size is bounded whatever the registry's. Only names that no other tier resolved
+    should come here.
     """
-    rows = substances.orderBy("row_ord").select("ins", "name").limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"more than {max_rows} registry names")
-    known = [(r.ins, r.name) for r in rows]
-
-    @F.pandas_udf("ins string, score double")
+    left = names.select("name").distinct()
+    known = substances.select(F.col("row_ord").cast("long").alias("row_ord"), "ins", "name")
+    blocks = max(1, -(-known.count() // block_rows))
+    found = None
+    for k in range(blocks):
+        rows = known.where(F.pmod(F.xxhash64("row_ord", "name"), F.lit(blocks)) == k).orderBy("row_ord").collect()
+        part = left.select("name", _best_of([(r.row_ord, r.ins, r.name) for r in rows], least)(F.col("name")).alias("hit"))
+        found = part if found is None else found.unionByName(part)
+    hit = found.where("hit.ins is not null").groupBy("name").agg(F.min_by("hit", F.struct(-F.col("hit.score"), F.col("hit.row_ord"))).alias("hit"))
+    return hit.select("name", "hit.ins", "hit.score")
+
+
+def _best_of(known: list[tuple[int, str, str]], least: float) -> Callable[[Column], Column]:
+    @F.pandas_udf("row_ord long, ins string, score double")
     def best(column: pd.Series) -> pd.DataFrame:
-        out, seen = [], {}
+        out = []
         for name in column:
-            if name not in seen:
-                top = (None, 0.0)
-                for ins, other in known:
-                    s = token_set_ratio(name, other)
-                    if s >= least and s > top[1]:
-                        top = (ins, s)
-                seen[name] = top
-            out.append(seen[name])
-        return pd.DataFrame(out, columns=["ins", "score"])
-
-    hit = best(F.col("name"))
-    return names.select("name").distinct().withColumn("hit", hit).where("hit.ins is not null").select("name", "hit.ins", "hit.score")
+            top = (None, None, 0.0)
+            for place, ins, other in known:
+                s = token_set_ratio(name, other)
+                if s >= least and s > top[2]:
+                    top = (place, ins, s)
+            out.append(top)
+        return pd.DataFrame(out, columns=["row_ord", "ins", "score"]).astype({"row_ord": "Int64"})
+
+    return best
 
 
 def by_family_name(names: DataFrame, permits: DataFrame) -> DataFrame:

@@ -121,6 +121,44 @@ def evaluate(resolved: DataFrame, candidates: DataFrame, permits: DataFrame, con
     )
 
 
+def evidence(items: DataFrame, permits: DataFrame) -> DataFrame:
+    """What the law says on each item, in the order a verdict looks: label_id, item_id, kind, at (the code that decides) and lines.
+
+    items: label_id, item_id, classification, canonical_ins, eu_canonical_id, fcs_code (null: none pinned). The lines of an
+    exact or widened hit are its provisions by row_ord, those of a hit elsewhere the distinct codes, categories and states.
+    Work is per distinct pair and per distinct id.
+    """
+    kind = F.col("classification")
+    unknown = kind.isin(*UNRESOLVED) | (F.col("eu_canonical_id").isNull() & F.col("canonical_ins").isNull())
+    structural = F.when(kind.isin(*OUT_OF_SCOPE), "out_of_scope").when(unknown, "unresolved").when(F.col("eu_canonical_id").isNull(), "absent")
+    level = F.coalesce(F.concat(F.col("max_level_mg_kg").cast("string"), F.lit(" mg/kg")), F.lit("no numeric cap"))
+    text = F.coalesce(F.nullif(F.replace("conditions", F.lit("\n"), F.lit(" ")), F.lit("")), F.lit("(none)"))
+    line = F.concat(F.lit("status="), "status", F.lit(", level="), level, F.lit(", conditions: "), text)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("row_ord", line.alias("line")))), lambda x: x["line"]).alias("lines")
+    held = permits.where("fcs_code <> ''").groupBy(F.col("canonical_id").alias("code"), "fcs_code").agg(listed)
+    pairs = items.select("eu_canonical_id", "fcs_code").where("eu_canonical_id is not null and fcs_code is not null").distinct()
+    near = with_lineage(pairs, "eu_canonical_id").join(pairs, "eu_canonical_id").join(held, ["code", "fcs_code"])
+    near = near.groupBy("eu_canonical_id", "fcs_code").agg(F.min_by(F.struct("step", "code", "lines"), "step").alias("near"))
+    place = F.concat("code", F.lit(" in "), F.when(F.col("fcs_code") == "", "no category").otherwise(F.col("fcs_code")), F.lit(": status="), "status")
+    states = permits.select(F.col("canonical_id").alias("code"), "fcs_code", "status").distinct()
+    far = with_lineage(items, "eu_canonical_id").join(states, "code").groupBy("eu_canonical_id").agg(F.array_sort(F.collect_set(place)).alias("far"))
+    rows = items.join(near, ["eu_canonical_id", "fcs_code"], "left").join(far, "eu_canonical_id", "left").join(standing(items, "eu_canonical_id", permits), "eu_canonical_id", "left")
+    hit = F.col("near.step").isNotNull()
+    found = (
+        F.when(structural.isNotNull(), structural)
+        .when(F.col("prohibited_id").isNotNull(), "prohibited")
+        .when(F.col("fcs_code").isNull(), "no_pin")
+        .when(hit, F.when(F.col("near.step") == 0, "exact").otherwise("widened"))
+        .when(F.col("far").isNotNull(), "elsewhere")
+        .otherwise("nowhere")
+    )
+    none = F.array().cast("array<string>")
+    return rows.withColumn("kind", found).select(
+        "label_id", "item_id", "kind", F.when(F.col("kind") == "prohibited", F.col("prohibited_id")).when(F.col("kind").isin("exact", "widened"), F.col("near.code")).alias("at"),
+        F.when(F.col("kind").isin("exact", "widened"), F.col("near.lines")).when(F.col("kind") == "elsewhere", F.col("far")).otherwise(none).alias("lines"),
+    )
+
+
 def is_blocking(headline: Column, certainty: Column) -> Column:
     return headline.isin(*BLOCKING) & (certainty == "certain")
 

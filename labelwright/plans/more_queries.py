@@ -131,12 +131,6 @@ def horizon_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "signals").groupBy("stage", "signal_year").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("tv9_news_signals", (), """SELECT event_id, concat('Under regulatory review: ', event_type) AS sentence FROM events WHERE value >= 0.6 * 100 AND event_type <> 'view'""")
-def news_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = load(spark, sf_dir, "events").where(T.meets_score(F.col("value") / 100.0) & (F.col("event_type") != "view"))
-    return rows.select("event_id", F.format_string("Under regulatory review: %s", "event_type").alias("sentence"))
-
-
 @query("tv10_evidence_worksheet", ("permits", "items"), "WITH " + CLEAN.format(table="permits") + f""", {lineage_sql('steps', 'items', 'canonical_id')}, n AS (SELECT canonical_id AS code, count(*) AS n FROM clean GROUP BY 1)
     SELECT s.id AS canonical_id, (row_number() OVER (PARTITION BY s.id ORDER BY s.step) - 1)::INT AS step, s.code, coalesce(n.n, 0) AS n_rows FROM steps s LEFT JOIN n ON n.code = s.code""")
 def evidence_worksheet(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -229,31 +229,36 @@ def prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUOTE = "concat(CASE event_id % 4 WHEN 0 THEN 'The review was completed' WHEN 1 THEN 'The ban is ongoing' WHEN 2 THEN 'Lots were Recalled and banned' ELSE 'It is under study' END, ' for ', event_type)"
 
 
+_KINDS = ("regulatory_review", "safety_opinion", "import_control", "border_rejection", "market_action")
+_CLAIM = "concat(CASE event_id % 7 WHEN 0 THEN 'The review was Completed' WHEN 1 THEN 'The work is in progress' WHEN 2 THEN 'Lots were recalled' WHEN 3 THEN 'The ministry plans to act' WHEN 4 THEN 'Nothing concludes' ELSE 'It is under study' END, ' for ', event_type)"
+
+
 @query(
     "scl25_category_consistency",
     (),
-    rf"""SELECT event_id, (event_id % 2 = 0 AND regexp_matches(q, '(?i)\b(completed|concludes|concluded|adopted|finalised|finalized)\b') AND NOT regexp_matches(q, '(?i)\b(ongoing|underway|in\s+progress)\b')) AS contradicts
-        FROM (SELECT event_id, {_QUOTE} AS q FROM events)""",
+    f"""SELECT event_id, CASE event_id % 5 WHEN 0 THEN event_id % 7 IN (0, 4) WHEN 1 THEN event_id % 7 = 1 WHEN 2 THEN event_id % 7 = 2 WHEN 3 THEN event_id % 7 = 3 ELSE false END AS contradicts FROM events""",
 )
 def consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    category = F.when(F.col("event_id") % 2 == 0, "regulatory_review").otherwise("market_action")
-    return load(spark, sf_dir, "events").select("event_id", T.contradicts_category(category, F.expr(_QUOTE)).alias("contradicts"))
+    category = F.get(F.array(*map(F.lit, _KINDS)), (F.col("event_id") % 5).cast("int"))
+    return load(spark, sf_dir, "events").select("event_id", T.contradicts_category(category, F.expr(_CLAIM)).alias("contradicts"))
 
 
-@query("scl26_verbatim_quote", (), r"""SELECT b.item_id, count(*) FILTER (WHERE contains(trim(regexp_replace(d.text, '\s+', ' ', 'g')), trim(regexp_replace(b.text, '\s+', ' ', 'g')))) AS n FROM benchmark b, documents d WHERE d.doc_id % 20 = b.item_id % 20 GROUP BY b.item_id""")
+@query(
+    "scl26_verbatim_quote",
+    (),
+    r"""SELECT doc_id, contains(trim(regexp_replace(text, '\s+', ' ', 'g')), trim(regexp_replace(CASE WHEN doc_id % 2 = 0 THEN concat(' ', replace(substring(text, 5, 60), ' ', '  ')) ELSE concat(substring(text, 5, 20), '#', lang) END, '\s+', ' ', 'g'))) AS verbatim FROM documents""",
+)
 def verbatim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = load(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    pairs = docs.join(items, F.col("doc_id") % 20 == F.col("item_id") % 20)
-    return pairs.groupBy("item_id").agg(F.count_if(T.quotes_verbatim(F.col("quote"), F.col("text"))).alias("n"))
+    quote = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" "), F.replace(F.substring("text", 5, 60), F.lit(" "), F.lit("  ")))).otherwise(F.concat(F.substring("text", 5, 20), F.lit("#"), "lang"))
+    return load(spark, sf_dir, "documents").select("doc_id", T.quotes_verbatim(quote, F.col("text")).alias("verbatim"))
 
 
 @query(
     "scl27_modality_backstop",
     (),
     rf"""WITH t AS (SELECT event_id, {_QUOTE} AS quote, CASE WHEN event_id % 4 = 2 THEN 'nothing' WHEN event_id % 3 = 0 THEN 'a ban on use' ELSE 'a study' END AS source FROM events),
-    f AS (SELECT event_id, list_transform(regexp_extract_all(quote, '(?i)\b({'|'.join(T.MODALITY)})\b', 1), lambda x: lower(x)) AS said, list_transform(regexp_extract_all(source, '(?i)\b({'|'.join(T.MODALITY)})\b', 1), lambda x: lower(x)) AS backed FROM t)
-    SELECT event_id, array_to_string(list_filter(said, lambda x: NOT list_contains(backed, x)), ',') AS unbacked FROM f""",
+    f AS (SELECT event_id, lower(source) AS source, list_transform(regexp_extract_all(quote, '(?i)\b({'|'.join(T.MODALITY)})\b', 1), lambda x: lower(x)) AS said FROM t)
+    SELECT event_id, array_to_string(list_filter(said, lambda x: NOT contains(source, x)), ',') AS unbacked FROM f""",
 )
 def modality(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = F.when(F.col("event_id") % 3 == 0, "a ban on use").otherwise("a study")
@@ -261,12 +266,6 @@ def modality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "events").select("event_id", F.array_join(T.unbacked_modality(F.expr(_QUOTE), source), ",").alias("unbacked"))
 
 
-@query("scl28_sentences", (), "SELECT event_id, concat('E ', CAST(user_id AS string), ': ', CASE event_type WHEN 'click' THEN 'Market or import action reported' ELSE 'Under regulatory review' END, ' (', CAST(CAST(ts AS date) AS string), ')') AS sentence FROM events")
-def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    label = F.when(F.col("event_type") == "click", "Market or import action reported").otherwise("Under regulatory review")
-    return load(spark, sf_dir, "events").select("event_id", F.format_string("E %s: %s (%s)", F.col("user_id").cast("string"), label, F.to_date("ts").cast("string")).alias("sentence"))
-
-
 @query(
     "scl29_faithfulness",
     ("permits",),
@@ -292,11 +291,11 @@ def strip_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "scl32_level_phrase",
     ("permits",),
-    "SELECT max_level_mg_kg AS level, max_level_basis AS basis, CASE WHEN max_level_mg_kg IS NULL THEN 'quantum satis' ELSE concat('max ', CAST(CAST(max_level_mg_kg AS bigint) AS string), ' mg/kg') END AS phrase, count(*) AS n FROM permits GROUP BY ALL",
+    "SELECT max_level_mg_kg AS level, max_level_basis AS basis, CASE WHEN max_level_mg_kg IS NULL THEN 'no fixed limit' ELSE concat('up to ', CAST(CAST(max_level_mg_kg AS bigint) AS string), ' mg/kg') END AS phrase, count(*) AS n FROM permits GROUP BY ALL",
 )
 def level_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "permits").groupBy(F.col("max_level_mg_kg").alias("level"), F.col("max_level_basis").alias("basis")).agg(F.count(F.lit(1)).alias("n"))
-    return rows.withColumn("phrase", T.level_phrase(F.col("level"), F.col("basis")))
+    return rows.withColumn("phrase", T.level_phrase(F.col("level")))
 
 
 @query(
