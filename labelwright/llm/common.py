@@ -31,11 +31,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _tables: dict[str, SparkSession] = {}
+#: Catalogue names of the tables that have one.
+_names: dict[str, str] = {}
 
 
 def _remove(spark: SparkSession, path: str) -> None:
     """Deletes a table on the file system it lies on; without a JVM to ask, it stays."""
     with contextlib.suppress(Exception):
+        if path in _names:
+            spark.sql(f"DROP TABLE IF EXISTS {_names.pop(path)}")
         jvm = spark.sparkContext._jvm
         place = jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
@@ -62,6 +66,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def written_by(df: DataFrame, name: str, column: str) -> DataFrame:
+    """As written(), in buckets of the column: joins and groups on it read the table where it lies, without shuffling it."""
+    spark = df.sparkSession
+    table = f"labelwright_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/labelwright/{table}"
+    df.write.format("parquet").option("path", path).bucketBy(shuffled(spark), column).saveAsTable(table)
+    _tables[path], _names[path] = spark, table
+    out = spark.table(table)
+    out.written_path = path
+    return out
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the table of a frame that written() gave and that nothing reads any more."""
     path = df.written_path

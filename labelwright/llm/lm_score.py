@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import shuffled, written
+from .common import shuffled, written, written_by
 
 #: Length buckets x first character kinds x last character kinds of the classes.
 _LENGTHS, _FIRST, _LAST = 8, 3, 5
@@ -349,10 +349,12 @@ def gather_counts(blocks: DataFrame, target_ids: DataFrame, parts: int) -> DataF
                     (_PAIR, t.pairs, [np.bincount(x, minlength=m) for x in (t.pair, t.pair[own])]),
                 ]
                 for kind, keys, columns in tables:
-                    cut = np.searchsorted(((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32), np.arange(parts + 1).astype(np.uint64))
-                    some = [k for k in range(parts) if cut[k + 1] > cut[k]]
-                    blobs = [_squeeze_keys(keys[cut[k] : cut[k + 1]]) for k in some]
-                    numbers = [_squeeze(np.concatenate([c[cut[k] : cut[k + 1]] for c in columns]).astype(np.int64)) for k in some]
+                    # keys ascend, and so do their ranges
+                    part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+                    head = np.flatnonzero(np.r_[True, part[1:] != part[:-1]][: len(part)])
+                    some, spans = part[head].astype(np.int64).tolist(), list(zip(head.tolist(), [*head[1:].tolist(), len(part)]))
+                    blobs = [_squeeze_keys(keys[x:y]) for x, y in spans]
+                    numbers = [_squeeze(np.concatenate([c[x:y] for c in columns]).astype(np.int64)) for x, y in spans]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([kind] * len(some), pa.int32()), pa.array(some, pa.int32()), pa.array([block.as_py()] * len(some), pa.int64()), pa.array(blobs, pa.binary()), pa.array(numbers, pa.binary())],
                         names=["kind", "part", "block", "keys", "counts"],
@@ -433,7 +435,7 @@ def score_blocks(blocks: DataFrame, totals: DataFrame, target_ids: DataFrame, se
 
 def score_corpus(docs: DataFrame, target_ids: DataFrame, setting: Setting = Setting()) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score for every row of docs, over all of its words."""
-    blocks = written(token_blocks(docs, setting), "blocks")
+    blocks = written_by(token_blocks(docs, setting), "blocks", "block")
     tokens = blocks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     parts = max(1, min(shuffled(docs.sparkSession), tokens // setting.least_entries), -(-tokens // setting.range_entries))
     totals = written(gather_counts(blocks, target_ids, parts), "totals")
