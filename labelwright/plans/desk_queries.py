@@ -10,6 +10,7 @@ from ..operators import display as D
 from ..operators import lookups as L
 from ..operators import news as N
 from ..operators import verdicts as J
+from ..sources import word_clouds as W
 from .registry import load, query
 from .resolution_queries import _substances
 from .verdict_queries import CLEAN, _permits, lineage_sql
@@ -221,3 +222,53 @@ def item_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     pins = load(spark, sf_dir, "labels_top3").where("rank = 1").select("label_id", "fcs_code")
     items = load(spark, sf_dir, "resolved").join(pins, "label_id", "left")
     return J.evidence(items, _permits(spark, sf_dir)).withColumn("lines", F.array_join("lines", "|"))
+
+
+@query(
+    "src15_zone_words",
+    (),
+    """WITH w AS (SELECT event_id, event_id % 50 AS doc, event_id % 7 AS page, event_id % 600 AS x, value AS y, CASE WHEN event_id % 97 = 0 THEN '*' ELSE event_type END AS text FROM events),
+    n AS (SELECT doc, page, min(y) AS note FROM w WHERE text = '*' AND y > 5 GROUP BY 1, 2)
+    SELECT w.doc, w.page, count(*) AS n, min(event_id) AS first, round(max(page * 1000 + y), 6) AS g FROM w LEFT JOIN n USING (doc, page)
+    WHERE y >= 5 AND y <= least(90.0, coalesce(note - 1, 90.0)) AND x >= 100 AND x < 400 AND page * 1000 + y > 1000 AND page * 1000 + y < 5050 GROUP BY 1, 2""",
+)
+def zone_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id")
+    words = load(spark, sf_dir, "events").select(
+        "event_id", (k % 50).alias("doc"), (k % 7).alias("page"), (k % 600).alias("x"), F.col("value").alias("y"), F.when(k % 97 == 0, "*").otherwise(F.col("event_type")).alias("text")
+    )
+    rows = W.zone(words, (100, 400), (5, 90), 1000.0, F.lit(1000.0), F.lit(5050.0))
+    return rows.groupBy("doc", "page").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first"), F.round(F.max("g"), 6).alias("g"))
+
+
+@query(
+    "src15_sections",
+    (),
+    """SELECT o_orderkey AS doc, 1010.0 + o_orderkey % 5 AS first, 2010.0 AS second, CASE WHEN o_orderkey % 3 > 0 THEN 3020.0 END AS third FROM orders""",
+)
+def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order as a text of three pages: a heading, a list whose title comes twice, and a supplement that a third of them lack."""
+    k = F.col("o_orderkey")
+    word = lambda page, x, y, text: F.struct(F.lit(page).alias("page"), F.lit(x).alias("x"), y.cast("double").alias("y"), F.lit(text).alias("text"))
+    at = 10 + k % 5
+    words = F.array(
+        word(1, 2, F.lit(5), "No."), word(1, 1, F.lit(5), "INS"), word(1, 1, at, "Functional"), word(1, 2, at, "classes"), word(2, 1, F.lit(10), "INS"), word(2, 2, F.lit(10), "No."),
+        word(3, 1, F.lit(10), "INS"), word(3, 9, F.lit(20), "LIST"), word(3, 3, F.lit(20) + F.when(k % 3 == 0, 1).otherwise(0), "SUPPLEMENTARY"),
+    )
+    rows = load(spark, sf_dir, "orders").select(k.alias("doc"), F.inline(words))
+    b = W.boundaries(rows, ["Functional classes", "INS No.", "SUPPLEMENTARY LIST"], 1000.0)
+    return b.select("doc", *(F.get("bounds", F.lit(i)).alias(n) for i, n in enumerate(("first", "second", "third"))))
+
+
+@query(
+    "src15_fragments",
+    (),
+    """SELECT p_partkey AS doc, g, name FROM part, (VALUES (1.0, 'Flour treatment agent', 0), (3.0, 'Colour', 0), (4.0, 'Gum [UNRECOGNISED]', 1), (5.0, 'Glazing agent', 2), (5.0, 'Glazing [INCOMPLETE]', 3)) t(g, name, k)
+    WHERE k = 0 OR (k = 1 AND p_size % 2 = 0) OR (k = 2 AND p_size % 3 > 0) OR (k = 3 AND p_size % 3 = 0)""",
+)
+def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = lambda g, text, cond: F.when(cond, F.struct(F.lit(g).alias("g"), F.lit(text).alias("text")))
+    size, always = F.col("p_size"), F.lit(True)
+    texts = F.array_compact(F.array(part(3.0, "Colour", always), part(2.0, "agent", always), part(1.0, "Flour treatment", always), part(4.0, "Gum", size % 2 == 0), part(5.0, "Glazing", always), part(6.0, "agent", size % 3 > 0)))
+    rows = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc"), F.inline(texts))
+    return W.merged_fragments(rows, ("Colour", "Flour treatment agent", "Glazing agent"))
