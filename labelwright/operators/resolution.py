@@ -133,7 +133,8 @@ def _best_of(known: list[tuple[int, str, str]], least: float) -> Callable[[Colum
             out.append(top)
         return pd.DataFrame(out, columns=["row_ord", "ins", "score"]).astype({"row_ord": "Int64"})
 
-    return best
+    # not to be moved below the joins that leave few names
+    return best.asNondeterministic()
 
 
 def by_family_name(names: DataFrame, permits: DataFrame) -> DataFrame:
