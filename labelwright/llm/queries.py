@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, lm_score, lsh_forest, mixing, pu_quality, repetition, sharding, superkmer, toxicity
+from . import decontam, filter_audit, html_extract, lm_score, lsh_forest, mixing, pu_quality, repetition, resampling, sharding, simhash, superkmer, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,19 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.classes(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op2_decontamination": op2_decontamination,
@@ -75,6 +88,9 @@ QUERIES: dict[str, Query] = {
     "op8_substrings": op8_substrings,
     "op9_sharding": op9_sharding,
     "op10_jaccard": op10_jaccard,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_simhash": op12_simhash,
+    "op13_resampling": op13_resampling,
 }
 
 ORACLES: dict[str, str] = {
@@ -151,4 +167,60 @@ ORACLES: dict[str, str] = {
             FROM each LEFT JOIN gone ON each.doc_id = gone.doc_id AND each.p = gone.p GROUP BY each.doc_id)
         SELECT words.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
         FROM words LEFT JOIN kept ON words.doc_id = kept.doc_id""",
+    "op11_filter_audit": r"""
+        WITH rows AS (SELECT *, coalesce(source, '') AS part, coalesce(text, '') AS body FROM documents),
+        counted AS (
+            SELECT *, coalesce(regexp_extract_all(body, '[^\x20\x09-\x0D]+'), []) AS w, min(doc_id) OVER (PARTITION BY body) < doc_id AS copy FROM rows),
+        known AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+        flags AS (
+            SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+                   (CASE WHEN len(w) < 50 THEN 1 ELSE 0 END) | (CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 2 ELSE 0 END)
+                   | (CASE WHEN 100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 5 * length(body) THEN 4 ELSE 0 END)
+                   | (CASE WHEN regexp_matches(body, '[#$%&*|]') THEN 8 ELSE 0 END) | (CASE WHEN copy THEN 16 ELSE 0 END) AS mask
+            FROM counted LEFT JOIN known USING (doc_id)),
+        cells AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (toxic) AS n_toxic FROM flags GROUP BY part, mask),
+        letters AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS l(letter, bit)),
+        orders AS (
+            SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+            FROM letters a, letters b, letters c, letters d, letters e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31
+              AND len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5),
+        steps AS (SELECT filter_order, step::INTEGER AS step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INTEGER AS earlier FROM orders, range(1, 6) AS r(step)),
+        figures AS (
+            SELECT part, filter_order, step, bit,
+                   coalesce(sum(n) FILTER (mask & (earlier | bit) = 0), 0)::BIGINT AS kept,
+                   coalesce(sum(n) FILTER (mask & earlier = 0 AND mask & bit > 0), 0)::BIGINT AS removed,
+                   coalesce(sum(n) FILTER (mask & earlier > 0 AND mask & bit > 0), 0)::BIGINT AS redundant,
+                   coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+                   coalesce(sum(n_good) FILTER (mask & earlier = 0 AND mask & bit > 0), 0)::BIGINT AS good_lost,
+                   coalesce(sum(n_toxic) FILTER (mask & earlier = 0 AND mask & bit > 0), 0)::BIGINT AS toxic_lost
+            FROM cells, steps GROUP BY part, filter_order, step, bit)
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+        FROM figures""",
+    "op13_resampling": r"""
+        WITH texts AS (
+            SELECT doc_id, true AS ours, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents
+            UNION ALL
+            SELECT item_id, false, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) FROM benchmark),
+        runs AS (
+            SELECT doc_id, ours, unnest(w) AS f FROM texts
+            UNION ALL
+            SELECT doc_id, ours, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM texts),
+        spelled AS (SELECT f, hex(encode(f)) AS x FROM (SELECT DISTINCT f FROM runs)),
+        -- the bits of CRC-32: each byte is read as itself and eight shifts
+        hashed AS (
+            SELECT f, xor(4294967295, list_reduce(
+                list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, length(x), 2),
+                    lambda i: [(16 * (instr('0123456789ABCDEF', x[i]) - 1) + instr('0123456789ABCDEF', x[i + 1]) - 1)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+                lambda c, e: CASE WHEN e >= 0 THEN xor(c, e) ELSE xor(c >> 1, 3988292384 * (c & 1)) END)) % 10000 AS bucket FROM spelled),
+        placed AS (SELECT doc_id, ours, bucket FROM runs JOIN hashed USING (f)),
+        counts AS (SELECT bucket, count(*) FILTER (ours) AS s, count(*) FILTER (NOT ours) AS t FROM placed GROUP BY bucket),
+        sums AS (SELECT sum(s)::DOUBLE AS ss, sum(t)::DOUBLE AS tt FROM counts),
+        gains AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (ss + 10000) / ((s + 1)::DOUBLE * (tt + 10000))))::BIGINT AS gain FROM counts, sums),
+        weights AS (SELECT doc_id, count(*) AS n_features, floor(sum(gain) / count(*))::BIGINT AS weight FROM placed JOIN gains USING (bucket) WHERE ours GROUP BY doc_id),
+        scored AS (
+            SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+                   (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('7:' || doc_id)[1:8])::BIGINT + 0.5)::DOUBLE / 4294967296))))::BIGINT AS score
+            FROM texts LEFT JOIN weights USING (doc_id) WHERE ours),
+        able AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+        SELECT doc_id, n_features, weight, score, CASE WHEN place <= 25 * n // 100 THEN place END AS rank FROM scored LEFT JOIN able USING (doc_id)""",
 }

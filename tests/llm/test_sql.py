@@ -29,8 +29,11 @@ def test_sql(spark, sf, name):
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_contract(spark, sf, name):
-    """A row for every row of the table, unless the result is of pairs."""
+    """A row for every row of the table, unless the result is of pairs or of parts and orders."""
     rows = queries.QUERIES[name](spark, sf)
+    if name == "op11_filter_audit":
+        assert rows.count() == 600 * spark.read.parquet(f"{sf}/documents.parquet").select("source").distinct().count()
+        return
     table = {"op5_html": "pages"}.get(name, "documents")
     if name != "op2_decontamination":
         assert rows.count() == spark.read.parquet(f"{sf}/{table}.parquet").count()
