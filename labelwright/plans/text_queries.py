@@ -79,8 +79,8 @@ _CODES = r"""SELECT DISTINCT canonical_id, concat(CASE length(canonical_id) % 4
 @query(
     "scl5_code_system",
     IDS,
-    rf"""SELECT canonical_id, declared, CASE WHEN regexp_matches(declared, '(?i)^(INS|E)?\s*(\d{{3,4}})([a-z])?(\([ivx]+\))?$') THEN
-        CASE upper(regexp_extract(declared, '(?i)^(INS|E)?', 1)) WHEN 'INS' THEN 'INS' WHEN 'E' THEN 'E' ELSE 'bare' END END AS system FROM ({_CODES})""",
+    # every id is a code of its own; what the query sets before it tells the system, and an x makes it none
+    f"""SELECT canonical_id, declared, CASE length(canonical_id) % 4 WHEN 0 THEN 'E' WHEN 1 THEN 'INS' WHEN 3 THEN 'bare' END AS system FROM ({_CODES})""",
 )
 def code_system(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "items").select("canonical_id").distinct()
@@ -216,14 +216,13 @@ def rfc2822_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "events").select("event_id", T.rfc2822_date(raw).alias("published"))
 
 
-@query("scl24_prefilter", (), r"""SELECT d.doc_id, list_has_any(list_filter(regexp_extract_all(lower(n), '[a-z0-9_]+'), lambda x: length(x) >= 4), regexp_extract_all(lower(d.text), '[a-z0-9_]+')) AS relevant,
+@query("scl24_prefilter", (), r"""SELECT d.doc_id, list_has_any(list_filter(regexp_extract_all(lower(n), '[a-z0-9_]+'), lambda x: length(x) >= 4), regexp_extract_all(lower(d.text), '[\p{L}\p{M}\p{N}\p{Pc}]+')) AS relevant,
     (doc_id % 10) / 10.0 >= 0.6 AS scored FROM (SELECT *, CASE doc_id % 3 WHEN 0 THEN 'thing of note' WHEN 1 THEN 'that nation' ELSE 'with tion' END AS n FROM documents) d""")
 def prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id") % 3
     name = F.when(k == 0, "thing of note").when(k == 1, "that nation").otherwise("with tion")
-    words = F.regexp_replace(F.col("text"), "[^\\x00-\\x7F]", " ")
     rows = load(spark, sf_dir, "documents")
-    return rows.select("doc_id", T.is_relevant(name, words).alias("relevant"), T.meets_score((F.col("doc_id") % 10) / 10.0).alias("scored"))
+    return rows.select("doc_id", T.is_relevant(name, F.col("text")).alias("relevant"), T.meets_score((F.col("doc_id") % 10) / 10.0).alias("scored"))
 
 
 _QUOTE = "concat(CASE event_id % 4 WHEN 0 THEN 'The review was completed' WHEN 1 THEN 'The ban is ongoing' WHEN 2 THEN 'Lots were Recalled and banned' ELSE 'It is under study' END, ' for ', event_type)"
@@ -269,17 +268,20 @@ def modality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "scl29_faithfulness",
     ("permits",),
-    r"""WITH prose AS (SELECT row_ord, canonical_id, concat('E', canonical_id, ' is limited to ', CAST(CAST(coalesce(max_level_mg_kg, 7) AS bigint) AS string), ' mg/kg in 12.2') AS text,
-            concat('E', canonical_id, ' ', coalesce(CAST(CAST(max_level_mg_kg AS bigint) AS string), '-'), ' mg/kg ', coalesce(food_category_raw, '')) AS source FROM permits)
-    SELECT row_ord, coalesce(list_aggregate(list_filter(list_concat(regexp_extract_all(text, '(?i)\b(\d+(?:\.\d+)?)\s*mg\s*/\s*kg\b', 1), regexp_extract_all(text, '\b\d{1,2}(?:\.\d{1,2}){1,3}\b')), lambda x: NOT contains(source, x)), 'string_agg', ','), '') AS unsupported FROM prose""",
+    # of the code an other one is claimed where n is 1, with a space where n is 2; levels and 12.2 are backed where the row has them
+    r"""WITH claimed AS (SELECT row_ord, canonical_id, max_level_mg_kg AS level, food_category_raw AS category, CAST(substring(row_ord, 1, 12) AS bigint) % 3 AS n FROM permits),
+    judged AS (SELECT *, CAST(CAST(coalesce(level, 7) AS bigint) AS string) AS amount,
+        concat('E', canonical_id, ' ', coalesce(CAST(CAST(level AS bigint) AS string), '-'), ' mg/kg ', coalesce(category, '')) AS source FROM claimed)
+    SELECT row_ord, concat_ws(',', CASE WHEN n = 1 AND NOT contains(source, '999') THEN '999' END, CASE WHEN NOT contains(source, amount) THEN amount END, CASE WHEN NOT contains(source, '12.2') THEN '12.2' END) AS unsupported FROM judged""",
 )
 def faithfulness(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.report import unsupported_claims
 
-    level = F.col("max_level_mg_kg").cast("long")
-    text = F.concat(F.lit("E"), "canonical_id", F.lit(" is limited to "), F.coalesce(level, F.lit(7)).cast("string"), F.lit(" mg/kg in 12.2"))
+    n, level = F.substring("row_ord", 1, 12).cast("long") % 3, F.col("max_level_mg_kg").cast("long")
+    code = F.when(n == 1, F.lit("E999")).otherwise(F.concat(F.when(n == 2, "e ").otherwise("E"), "canonical_id"))
+    text = F.concat(code, F.lit(" is limited to "), F.coalesce(level, F.lit(7)).cast("string"), F.lit(" mg/kg in 12.2"))
     source = F.concat(F.lit("E"), "canonical_id", F.lit(" "), F.coalesce(level.cast("string"), F.lit("-")), F.lit(" mg/kg "), F.coalesce("food_category_raw", F.lit("")))
-    return load(spark, sf_dir, "permits").select("row_ord", F.array_join(unsupported_claims(text, source, e_numbers=False), ",").alias("unsupported"))
+    return load(spark, sf_dir, "permits").select("row_ord", F.array_join(unsupported_claims(text, source), ",").alias("unsupported"))
 
 
 @query("scl31_strip_fences", (), r"SELECT conv_id, turn, md5(trim(text)) AS digest FROM conversations")
