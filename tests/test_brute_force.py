@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelwright import plans
-from labelwright.operators import corpus, declarations, report, resolution, vector_index
+from labelwright.operators import corpus, declarations, report, resolution
 
 
 def test_tk4_mmr_diverse(spark, sf):
@@ -96,15 +96,3 @@ def test_ancestors_of_four_levels(spark):
     assert corpus.documents(tree, "full", inherit=False).where("code = '1.2'").first().document == "1.2 -- Cheese"
     with pytest.raises(ValueError):
         corpus.documents(tree, "enriched")
-
-
-def test_tk7_rebuilds_only_when_the_corpus_changes(spark, tmp_path):
-    rows = [(k, [float(k % 3 + 1), float(k % 5), 1.0]) for k in range(30)]
-    corpus_rows = spark.createDataFrame(rows, "doc_ord long, embedding array<double>")
-    one = vector_index.open_index(corpus_rows, f"file://{tmp_path}").inputFiles()
-    assert vector_index.open_index(corpus_rows.repartition(7), f"file://{tmp_path}").inputFiles() == one
-    two = vector_index.open_index(corpus_rows.where("doc_ord > 0"), f"file://{tmp_path}")
-    assert two.inputFiles() != one and two.count() == 29
-    probes = spark.createDataFrame([(7, rows[7][1])], "query_id long, embedding array<double>")
-    best = vector_index.search(two, probes, 3).orderBy("rank").collect()
-    assert best[0].doc_ord == 7 and best[0].score == pytest.approx(1.0) and [b.rank for b in best] == [1, 2, 3]

@@ -31,8 +31,8 @@ def plain(v):
     return v.isoformat() if hasattr(v, "isoformat") else v
 
 
-#: Queries that SQL cannot express, each held against brute force in test_brute_force.py.
-BRUTE_FORCE = {"jn4_fuzzy_names", "tk4_mmr_diverse", "tv1_declarations"}
+#: Queries that SQL cannot express, each held against brute force in test_brute_force.py or test_vector_index.py.
+BRUTE_FORCE = {"jn4_fuzzy_names", "tk4_mmr_diverse", "tk7_index_search", "tv1_declarations"}
 
 
 def test_every_query_is_compared():
