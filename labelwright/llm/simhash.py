@@ -13,7 +13,9 @@ plain bits), and fingerprints go on to its 2^12 anchors with what they have left
 its links, not the links. Within an anchor, few fingerprints are compared one by one, many are looked up by flipped bits.
 
 Scale: texts stay where they are; fingerprints (8 bytes) are made distinct before they are sent. Tasks count their own
-crowded anchors; the driver gets at most 2 / ``crowded_share`` anchors. Components are found by alternating stars.
+crowded anchors; the driver gets at most 2 / ``crowded_share`` anchors. Components are found by alternating stars. A
+fingerprint that more than ``common_share`` of all documents have gets its component by broadcast: at most 1 /
+``common_share`` such fingerprints exist. All others are shuffled.
 
 A null or empty text, or one without words, has fingerprint zero, which is linked like any other; with fewer words than a
 shingle has, the whole sequence is the shingle. A null doc_id takes part and is no component's least; a component without
@@ -49,6 +51,8 @@ class Setting:
     #: Anchors that get over this share of all that is sent, and over this number of rows, are refined.
     crowded_share: float = 1 / 20_000
     crowded_rows: int = 4096
+    #: Fingerprints of more than this share of the documents are joined by broadcast.
+    common_share: float = 1 / 10_000
     #: Pairs compared at once; anchors with more rows than ``scan`` look links up instead.
     pairs: int = 1 << 21
     scan: int = 30_000
@@ -297,7 +301,8 @@ def links(sent: DataFrame, setting: Setting) -> DataFrame:
 def near_duplicates(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id (least doc_id of the component) for every row of docs."""
     prints = written(fingerprints(docs, setting), "fingerprints")
-    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "classes")
+    common = F.col("n") > F.lit(setting.common_share * (classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]))
     distinct = classes.select("fp")
     edges = written(links(replicas(distinct, crowded(distinct, setting), setting), setting), "links")
     node_root = written(components(edges), "components")
@@ -307,6 +312,9 @@ def near_duplicates(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
     ids = members.groupBy(F.col("root").alias("of")).agg(F.min("least").alias("id"))
     known = members.join(ids, F.col("root") == F.col("of")).select("node", "id")
     named = classes.join(known, F.col("fp") == F.col("node"), "left")
-    named = named.select(F.col("fp").alias("class"), F.when(F.col("node").isNull(), F.col("least")).otherwise(F.col("id")).alias("component_id"))
-    out = prints.join(named, F.col("fp") == F.col("class"))
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    component = F.when(F.col("node").isNull(), F.col("least")).otherwise(F.col("id")).alias("component_id")
+    named = written(named.select(F.col("fp").alias("class"), component, common.alias("common")), "named")
+    # at most 1 / common_share rows
+    often, rest = F.broadcast(named.where("common")), named.where("not common")
+    met = prints.join(often, F.col("fp") == F.col("class")).unionByName(prints.join(often, F.col("fp") == F.col("class"), "left_anti").join(rest, F.col("fp") == F.col("class")))
+    return met.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
