@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -10,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normalise import normalise_code, normalise_text, parent_ins
+from .name_join import alike, token_set_ratio, with_canonical
 
 # Families whose members must not be guessed.
 GUARDED = (
@@ -63,36 +63,6 @@ def resolve_by_name(items: DataFrame, tiers: DataFrame) -> DataFrame:
     return rows.join(best, "key", "left").select(*items.columns, F.col("hit.ins").alias("ins"), F.coalesce("hit.method", F.lit("unresolved")).alias("method"), F.coalesce("hit.confidence", F.lit(0.0)).alias("confidence"))
 
 
-def _indel(a: str, b: str) -> float:
-    """100 x 2 LCS / (|a| + |b|), the longest common subsequence by bit vectors."""
-    if not a and not b:
-        return 100.0
-    masks: dict[str, int] = {}
-    for i, c in enumerate(a):
-        masks[c] = masks.get(c, 0) | 1 << i
-    full, s = (1 << len(a)) - 1, (1 << len(a)) - 1
-    for c in b:
-        u = s & masks.get(c, 0)
-        s = ((s + u) | (s - u)) & full
-    return 200.0 * (len(a) - s.bit_count()) / (len(a) + len(b))
-
-
-def token_set_ratio(a: str | None, b: str | None) -> float:
-    """Likeness of two texts as sets of words, 0 to 100, case-sensitive."""
-    x, y = set((a or "").split()), set((b or "").split())
-    if not x or not y:
-        return 0.0
-    both, dx, dy = sorted(x & y), sorted(x - y), sorted(y - x)
-    if both and (not dx or not dy):
-        return 100.0
-    base = " ".join(both)
-    one, two = " ".join([*both, *dx]), " ".join([*both, *dy])
-    scores = [_indel(one, two)]
-    if both:
-        scores += [_indel(base, one), _indel(base, two)]
-    return max(scores)
-
-
 def token_set_ratios(a: Column, b: Column) -> Column:
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -101,40 +71,18 @@ def token_set_ratios(a: Column, b: Column) -> Column:
     return ratio(a, b)
 
 
-def fuzzy_match(names: DataFrame, substances: DataFrame, least: float = 90.0, block_rows: int = 100_000) -> DataFrame:
+def fuzzy_match(names: DataFrame, substances: DataFrame, least: float = 90.0) -> DataFrame:
     """name, ins, score: the best registry name for each distinct leftover name, the first (by row_ord) of equals.
 
-    The registry goes to the Python workers in blocks of about block_rows rows, one pass over the names for each, and the
-    best of all blocks is kept, so its size is bounded whatever the registry's. Only names that no other tier resolved
-    should come here.
+    Names that may be alike enough meet by keys (name_join), so neither side is gathered or crossed with the other. Names
+    of the same words are one name there. Only names that no other tier resolved should come here.
     """
-    left = names.select("name").distinct()
-    known = substances.select(F.col("row_ord").cast("long").alias("row_ord"), "ins", "name")
-    blocks = max(1, -(-known.count() // block_rows))
-    found = None
-    for k in range(blocks):
-        rows = known.where(F.pmod(F.xxhash64("row_ord", "name"), F.lit(blocks)) == k).orderBy("row_ord").collect()
-        part = left.select("name", _best_of([(r.row_ord, r.ins, r.name) for r in rows], least)(F.col("name")).alias("hit"))
-        found = part if found is None else found.unionByName(part)
-    hit = found.where("hit.ins is not null").groupBy("name").agg(F.min_by("hit", F.struct(-F.col("hit.score"), F.col("hit.row_ord"))).alias("hit"))
-    return hit.select("name", "hit.ins", "hit.score")
-
-
-def _best_of(known: list[tuple[int, str, str]], least: float) -> Callable[[Column], Column]:
-    @F.pandas_udf("row_ord long, ins string, score double")
-    def best(column: pd.Series) -> pd.DataFrame:
-        out = []
-        for name in column:
-            top = (None, None, 0.0)
-            for place, ins, other in known:
-                s = token_set_ratio(name, other)
-                if s >= least and s > top[2]:
-                    top = (place, ins, s)
-            out.append(top)
-        return pd.DataFrame(out, columns=["row_ord", "ins", "score"]).astype({"row_ord": "Int64"})
-
-    # not to be moved below the joins that leave few names
-    return best.asNondeterministic()
+    left = with_canonical(names.select("name").distinct(), "name")
+    known = with_canonical(substances.select(F.col("row_ord").cast("long").alias("row_ord"), "ins", "name"), "name")
+    known = known.groupBy("text").agg(F.min("row_ord").alias("row_ord"), F.min_by("ins", "row_ord").alias("ins"))
+    pairs = alike(left.select("text").distinct(), known, least / 100)
+    best = pairs.join(known, F.col("b") == F.col("text")).groupBy("a").agg(F.min_by(F.struct("ins", "score"), F.struct(-F.col("score"), F.col("row_ord"))).alias("hit"))
+    return left.join(best, F.col("text") == F.col("a")).select("name", "hit.ins", "hit.score")
 
 
 def by_family_name(names: DataFrame, permits: DataFrame) -> DataFrame:

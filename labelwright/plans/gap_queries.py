@@ -165,11 +165,30 @@ def shortest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").orderBy("n_chars", "doc_id").limit(5)
 
 
-@query("scl12_token_set_ratio", (), "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 100.0 WHEN 1 THEN 100.0 ELSE 0.0 END AS ratio FROM part")
+# A name against itself with a letter of each of three words taken out and its words turned round, against its first word, and
+# against none. The longest common subsequence row by row: each letter raises the row to a running maximum.
+_SPOILT = "array_to_string(list_transform(list_reverse(string_split(p_name, ' ')), lambda w, i: CASE WHEN (p_size + i) % 2 = 0 THEN concat(w[1:i], w[i + 2:]) ELSE w END), ' ')"
+
+
+@query(
+    "scl12_token_set_ratio",
+    (),
+    f"""WITH named AS (SELECT p_partkey, p_name AS a, CASE p_size % 4 WHEN 0 THEN array_to_string(list_reverse(string_split(p_name, ' ')), ' ') WHEN 1 THEN string_split(p_name, ' ')[1] WHEN 2 THEN ' ' ELSE {_SPOILT} END AS b FROM part),
+    sets AS (SELECT *, list_filter(list_distinct(string_split(a, ' ')), lambda w: w <> '') AS x, list_filter(list_distinct(string_split(b, ' ')), lambda w: w <> '') AS y FROM named),
+    parted AS (SELECT *, list_sort(list_filter(x, lambda w: list_contains(y, w))) AS both_, list_sort(list_filter(x, lambda w: NOT list_contains(y, w))) AS dx, list_sort(list_filter(y, lambda w: NOT list_contains(x, w))) AS dy FROM sets),
+    strings AS (SELECT *, array_to_string(both_, ' ') AS base, array_to_string(list_concat(both_, dx), ' ') AS one, array_to_string(list_concat(both_, dy), ' ') AS two FROM parted),
+    matched AS (SELECT *, list_transform(string_split(two, ''), lambda c: list_transform(string_split(one, ''), lambda d: (c = d)::INTEGER)) AS hits FROM strings),
+    common AS (SELECT *, list_last(list_reduce(list_prepend(list_transform(string_split(one, ''), lambda d: 0), hits),
+        lambda above, hit: list_transform(range(1, len(hit) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda i: CASE WHEN hit[i] = 1 THEN (CASE WHEN i > 1 THEN above[i - 1] ELSE 0 END) + 1 ELSE above[i] END))::INTEGER))) AS lcs FROM matched)
+    SELECT p_partkey, round(CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0 WHEN len(both_) > 0 AND (len(dx) = 0 OR len(dy) = 0) THEN 100
+        ELSE greatest(200.0 * lcs / (length(one) + length(two)), CASE WHEN len(both_) > 0 THEN greatest(200.0 * length(base) / (length(base) + length(one)), 200.0 * length(base) / (length(base) + length(two))) ELSE 0 END) END, 6)::DOUBLE AS ratio FROM common""",
+)
 def token_set_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words in another order and a subset of words are wholly alike; no words are not."""
-    other = F.when(F.col("p_size") % 3 == 0, F.array_join(F.reverse(F.split("p_name", " ")), " ")).when(F.col("p_size") % 3 == 1, F.get(F.split("p_name", " "), F.lit(0))).otherwise(F.lit(" "))
-    return load(spark, sf_dir, "part").select("p_partkey", R.token_set_ratios(F.col("p_name"), other).alias("ratio"))
+    """Words in another order and a subset of words are wholly alike; no words are not; misspelt words are by their letters."""
+    words = F.split("p_name", " ")
+    spoilt = F.transform(F.reverse(words), lambda w, i: F.when((F.col("p_size") + i + 1) % 2 == 0, F.concat(F.substr(w, F.lit(1), i + 1), F.substr(w, i + 3))).otherwise(w))
+    other = F.when(F.col("p_size") % 4 == 0, F.array_join(F.reverse(words), " ")).when(F.col("p_size") % 4 == 1, F.get(words, F.lit(0))).when(F.col("p_size") % 4 == 2, F.lit(" ")).otherwise(F.array_join(spoilt, " "))
+    return load(spark, sf_dir, "part").select("p_partkey", F.round(R.token_set_ratios(F.col("p_name"), other), 6).alias("ratio"))
 
 
 @query("tk7_vector_store", (), f"WITH {_SCORES} SELECT query_id, doc_ord, round(score, 6) AS score, rank FROM ranked WHERE rank <= 10")

@@ -9,12 +9,12 @@ from labelwright.operators import advisory, classes, lookups, resolution
 REGISTRY = "row_ord long, ins string, name string, functional_classes array<string>"
 
 
-def test_registry_in_blocks_is_the_whole_registry(spark):
+def test_fuzzy_names_take_the_first_of_equals(spark):
     known = spark.createDataFrame([(1, "330", "citric acid"), (2, "331", "acid citric"), (3, "500", "sodium salts"), (4, "300", "ascorbic acid")], "row_ord long, ins string, name string")
     names = spark.createDataFrame([("citric  acid",), ("salts of sodium",), ("ascorbic acd",), ("sugar",)], "name string")
     whole = sorted(map(tuple, resolution.fuzzy_match(names, known).collect()))
     assert [r[:2] for r in whole] == [("ascorbic acd", "300"), ("citric  acid", "330"), ("salts of sodium", "500")]
-    assert sorted(map(tuple, resolution.fuzzy_match(names, known, block_rows=1).collect())) == whole
+    assert sorted(map(tuple, resolution.fuzzy_match(names.repartition(5), known.repartition(3)).collect())) == whole
     assert resolution.fuzzy_match(names, known.where("false")).collect() == []
 
 
