@@ -25,6 +25,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -50,13 +51,18 @@ MARKS = frozenset(
     "ad ads advert adverts advertisement advertising adbox adslot sponsor sponsored sponsors promo promos promotion banner banners "
     "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside header masthead footer foot cookie cookies consent gdpr "
     "notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus "
-    "respond reply replies share sharing social related recommended widget widgets skip pagination pager copyright disclaimer".split()
+    "respond reply replies share sharing social related recommended widget widgets skip pagination pager copyright disclaimer "
+    "guestbook shoutbox outbrain taboola adsense doubleclick dfp".split()
 )
+#: Words that mark a block of readers' talk when they stand in the class of a container; a chapter of an article may have them as its id.
+TALK = frozenset("discussion discussions feedback talkback".split())
+_CONTAINERS = frozenset("div section ul ol dl aside details table".split())
 #: Words that a mark may stand with in one name (site-header, ad-slot, comments-list) and still mean what it means.
 FRAME = frozenset(
     "site page main top bottom left right global primary secondary section list box bar area block container wrapper wrap inner outer "
     "item items link links slot unit row col column content group panel buttons button icons form policy posts articles stories the js is "
-    "post entry wp blog home web mobile desktop sticky fixed small large text body title thread".split()
+    "post entry wp blog home web mobile desktop sticky fixed small large text body title thread "
+    "reader readers user users visitor visitors guest guests member members community sub side leaderboard skyscraper rectangle zone".split()
 )
 #: An open element of a key is closed by a start tag of its value.
 _P_CLOSERS = frozenset(
@@ -70,6 +76,7 @@ _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTR_NAME = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)?")
 _ATTR_VALUE = re.compile(r"\s*=\s*([\"']|[^\s>\"'][^\s>]*)?")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_SIZE = re.compile(r"\d+x\d+|\d+")
 _GAP = re.compile(r"\s+")
 
 
@@ -100,18 +107,47 @@ class Node:
     main: bool = False  # it is, or holds, an article or main element
 
 
+@lru_cache(maxsize=1 << 14)
+def _parted(word: str) -> tuple[str, ...]:
+    """A word written together of marks and frame words (topnav), in its parts; any other word as it is.
+
+    Parts have three letters or more, but for an advert's beginning: a table's thead is no advert.
+    """
+    if word in MARKS or word in FRAME or word in TALK:
+        return (word,)
+    for k in range(2, len(word) - 2):
+        head = word[:k]
+        if (k > 2 or head == "ad") and (head in MARKS or head in FRAME):
+            rest = _parted(word[k:])
+            if all(r in MARKS or r in FRAME for r in rest):
+                return (head, *rest)
+    return (word,)
+
+
+def _names_frame(token: str, talk: bool) -> bool:
+    """Whether a name means something other than the article: every word of it must be a mark or a frame word."""
+    if token.lower() in MARKS:
+        return True
+    words = [p for w in _WORDS.findall(_SIZE.sub(" ", token)) for p in _parted(w.lower())]
+    marks = [w in MARKS or (talk and w in TALK) for w in words]
+    return any(marks) and all(m or w in FRAME for m, w in zip(marks, words))
+
+
 def _marked(tag: str, attrs: dict[str, str]) -> bool:
     """Whether role, class or id name something other than the article."""
     if not attrs or tag in ("html", "body", "article", "main"):
         return False
     if attrs.get("role", "").strip().lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden", "").strip().lower() == "true":
         return True
-    for token in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
-        # every word of a name must be a mark or a frame word: social-history is no social widget
-        words = [w.lower() for w in _WORDS.findall(token)]
-        if token.lower() in MARKS or (not MARKS.isdisjoint(words) and all(w in MARKS or w in FRAME for w in words)):
-            return True
-    return False
+    # social-history is no social widget
+    classes, ids = attrs.get("class", "").split(), attrs.get("id", "").split()
+    return any(_names_frame(t, tag in _CONTAINERS) for t in classes) or any(_names_frame(t, False) or _names_talk(t, tag) for t in ids)
+
+
+def _names_talk(token: str, tag: str) -> bool:
+    """Whether an id names readers' talk by more than one word, such as user-feedback."""
+    words = [w.lower() for w in _WORDS.findall(token)]
+    return tag in _CONTAINERS and len(words) > 1 and _names_frame(token, True)
 
 
 class _Reader:

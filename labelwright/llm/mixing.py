@@ -11,7 +11,7 @@ Scale: sizes are counted where the texts are read; only (id, source, size) is sh
 taken per hash bucket and put together from the bucket totals, so a source with a third of all rows is spread over
 ``buckets`` tasks. One row per source reaches the driver; there are as many as weights were configured.
 
-A null text has size 0 and is never taken. A null source is a source of its own, last in the order. Ties in the order
+A source whose weight integrates to 0 gives nothing: target 0, no words taken. A null text has size 0 and is never taken. A null source is a source of its own, last in the order. Ties in the order
 (repeated rows) stand in order of size, and rows that agree in that too are interchangeable. An empty table gives an
 empty mix. Texts of any length are counted by a regular expression, without building their words. Only doc_id, text and source are read, so extra columns cannot clash.
 """
@@ -50,17 +50,19 @@ def ramp(weight: float, start: float, end: float) -> Schedule:
 
 
 def water_fill(sizes: list[int], weights: list[float], budget: float, max_epochs: float) -> list[float]:
-    """Shares of the budget by weight; what is above max_epochs times a size is reshared until nothing is."""
+    """Shares of the budget by weight; what is above max_epochs times a size is reshared until nothing is. No weight, no share."""
     caps = [max_epochs * s for s in sizes]
-    order = sorted(range(len(sizes)), key=lambda i: caps[i] / weights[i])
+    order = sorted((i for i in range(len(sizes)) if weights[i] > 0), key=lambda i: caps[i] / weights[i])
     left, weight = budget, float(sum(weights))
+    out, full = [0.0] * len(sizes), 0
     for i in order:
         if caps[i] * weight > left * weights[i]:
             break
+        out[i], full = caps[i], full + 1
         left, weight = left - caps[i], weight - weights[i]
-    if weight <= 0:
-        return caps
-    return [min(c, left * w / weight) for c, w in zip(caps, weights)]
+    for i in order[full:]:
+        out[i] = min(caps[i], left * weights[i] / weight)
+    return out
 
 
 def _inverse(share: Column, knots: Column) -> Column:
@@ -76,7 +78,7 @@ def _inverse(share: Column, knots: Column) -> Column:
 def _segments(s: Schedule) -> list[tuple[float, float, float, float, float, float]]:
     total, before, out = s.integral(), 0.0, []
     for (t0, w0), (t1, w1) in zip(s.knots, s.knots[1:]):
-        out.append((t0, t1, w0, w1, before / total, total))
+        out.append((t0, t1, w0, w1, before / total if total else 0.0, total))
         before += (t1 - t0) * (w0 + w1) / 2
     return out
 
@@ -86,9 +88,10 @@ def cumulative(targets: list[float], schedules: list[Schedule]) -> list[tuple[fl
     whole = sum(targets) or 1.0
     at = sorted({t for s in schedules for t, _ in s.knots} | {0.0, 1.0})
     out, d = [], 0.0
+    giving = [(target, s) for target, s in zip(targets, schedules) if s.integral() > 0]
     for x0, x1 in zip(at, at[1:]):
         v = c = 0.0
-        for target, s in zip(targets, schedules):
+        for target, s in giving:
             for (t0, w0), (t1, w1) in zip(s.knots, s.knots[1:]):
                 if t0 <= x0 and x1 <= t1:
                     slope, scale = (w1 - w0) / (t1 - t0), target / s.integral() / whole

@@ -29,6 +29,9 @@ def text(source):
         ('<p style="overflow:hidden" title="the hidden cost">kept</p><p hidden>gone</p>', "kept"),
         ("<script>if (a<b) '</p>'</script>a < b &amp; c<!-- no --> d", "a < b & c d"),
         ("<p>x</p></p><br>y<textarea>no</textarea>z", "x\n\nyz"),
+        ('<article><p>a</p><div id="reader-comments">b</div><div class="user-feedback">c</div><section class="discussion">d</section></article>', "a"),
+        ('<article><ul class="topnav"><li>b</li></ul><div class="ad-300x250">c</div><div class="outbrain">d</div><div class="adSlot2">e</div>a</article>', "a"),
+        ('<section id="discussion"><h2 id="feedback">a</h2></section><table class="thead"><tr><td>b</td></tr></table><div class="feedback-loop">c</div>', "a\n\nb\n\nc"),
     ],
 )
 def test_broken_and_named(source, want):

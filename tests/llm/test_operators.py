@@ -534,3 +534,35 @@ def test_components(spark, task_edges):
         x, y = sorted((find(a), find(b)))
         parent[y] = x
     assert got == {x: find(x) for e in edges for x in e if find(x) != x}
+
+
+def test_repeated_rows_of_one_document_split_over_shards(spark):
+    rows = [(7, "the same text again and again")] * 2000 + [(100 + k, words(6, k)) for k in range(2000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sharding.shard(table, 24).collect()
+    assert len(got) == len(rows)
+    total = defaultdict(int)
+    for r in got:
+        total[r.shard] += r.size
+    mean = sum(total.values()) / 24
+    assert len(total) == 24 and max(total.values()) <= 1.05 * mean and min(total.values()) >= 0.95 * mean
+    for s in total:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
+def test_columns_of_the_documents_outlive_the_shard_stage(spark):
+    table = spark.createDataFrame([(1, "a b", "kept", "own")], "doc_id long, text string, size string, docs_size string")
+    row = sharding.place(table, 2).first().asDict()
+    assert (row["docs_docs_size"], row["docs_size"], row["size"]) == ("kept", "own", 11)
+
+
+def test_a_source_without_weight_gives_nothing(spark):
+    table = spark.createDataFrame([(k, words(10, k), f"s{k % 3}") for k in range(30)], "doc_id long, text string, source string")
+    for weights in ((0.0, 1.0, 2.0), (0.0, 0.0, 0.0)):
+        got = mixing.mix(table, lambda k: mixing.constant(weights[k])).collect()
+        by = defaultdict(int)
+        for r in got:
+            by[r.source] += r.taken
+        assert len(got) == 30 and by["s0"] == 0
+        assert (by["s1"], by["s2"]) == ((200, 200) if any(weights) else (0, 0))
+    assert mixing.water_fill([10, 0, 5], [1.0, 0.0, 1.0], 12.0, 2.0) == [6.0, 0.0, 6.0]
