@@ -17,7 +17,6 @@ finds it. Null embeddings are not indexed.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.readers import exists
+from ..storage import shared_dir
 from .retrieval import top_k
 
 
@@ -46,18 +46,8 @@ class Setting:
     seed: int = 11
 
 
-_dirs: dict[str, str] = {}
-
-
 def index_dir(spark: SparkSession) -> str:
-    """A folder below the one that driver and executors share; in local mode alone, without the setting, one of the application's own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        app = spark.sparkContext.applicationId
-        found = _dirs.setdefault(app, "file://" + (_dirs.get(app) or tempfile.mkdtemp(prefix="labelwright-index-")))
-    return f"{found}/vector-index"
+    return f"{shared_dir(spark)}/vector-index"
 
 
 def fingerprint(corpus: DataFrame) -> str:
