@@ -2,35 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 
 def with_roots(items: DataFrame) -> DataFrame:
     """items with root_item_id (the ancestor at depth 0) and depth.
 
-    A label's links are gathered into one map and climbed inside the row: one shuffle on label_id, however deep. The
-    climb takes as many steps as the label has links, which reaches every root, and ends in a cycle too.
+    By pointer doubling: every item points to its parent, and each round joins the items that aren't at a root yet with
+    what they point to, so pointers span twice as far; log2 of the deepest tree rounds reach all roots. Only the items
+    still on their way are joined, and each round is written, so the lineage stays short. A parent that is no item of the
+    label is a root. An item that leads into a cycle has neither root nor depth: it is still on its way after as many
+    rounds as the largest label could need. An item_id twice in a label is an error.
     """
-    links = F.map_from_entries(F.collect_list(F.when(F.col("parent_item_id").isNotNull(), F.struct("item_id", "parent_item_id"))).over(Window.partitionBy("label_id")))
-    start = F.struct(F.col("item_id").alias("at"), F.lit(0).alias("depth"))
-
-    def climb(s: Column, _: Column) -> Column:
-        up = F.try_element_at(F.col("__links"), s["at"])
-        return F.struct(F.coalesce(up, s["at"]).alias("at"), (s["depth"] + F.when(up.isNotNull(), 1).otherwise(0)).alias("depth"))
-
-    climbed = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size("__links"), F.lit(1))), start, climb)
-    rows = items.withColumn("__links", links).withColumn("__top", climbed)
-    return rows.select(*items.columns, F.col("__top.at").alias("root_item_id"), F.col("__top.depth").alias("depth"))
+    up = items.select("label_id", "item_id", F.coalesce("parent_item_id", "item_id").alias("at"), F.when(F.col("parent_item_id").isNull(), 0).otherwise(1).alias("depth"), F.col("parent_item_id").isNull().alias("done"))
+    state = written(up, "roots")
+    largest = state.groupBy("label_id").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
+    for _ in range(largest.bit_length() + 1):
+        there = state.select(F.col("label_id").alias("t_label"), F.col("item_id").alias("t_item"), F.col("at").alias("t_at"), F.col("depth").alias("t_depth"), F.col("done").alias("t_done"))
+        moved = state.where("not done").join(there, (F.col("label_id") == F.col("t_label")) & (F.col("at") == F.col("t_item")), "left")
+        moved = moved.select("label_id", "item_id", F.coalesce("t_at", "at").alias("at"), (F.col("depth") + F.coalesce("t_depth", F.lit(0))).alias("depth"), F.coalesce("t_done", F.lit(True)).alias("done"))
+        state = written(state.where("done").unionByName(moved), "roots")
+        if not state.where("not done").take(1):
+            break
+    tops = state.select(F.col("label_id").alias("s_label"), F.col("item_id").alias("s_item"), F.when(F.col("done"), F.col("at")).alias("root_item_id"), F.when(F.col("done"), F.col("depth")).alias("depth"))
+    return items.join(tops, (F.col("label_id") == F.col("s_label")) & (F.col("item_id") == F.col("s_item"))).select(*items.columns, "root_item_id", "depth")
 
 
 def with_components(items: DataFrame) -> DataFrame:
     """items with root_item_id, depth, is_compound and component (the root's id where the root has children)."""
+    parents = items.where("parent_item_id is not null").select(F.col("label_id").alias("p_label"), F.col("parent_item_id").alias("p_item")).distinct()
+    roots = parents.select(F.col("p_label").alias("r_label"), F.col("p_item").alias("r_item"))
     rows = with_roots(items)
-    has_child = F.array_contains(F.collect_set("parent_item_id").over(Window.partitionBy("label_id")), F.col("item_id"))
-    rows = rows.withColumn("is_compound", has_child)
-    of_root = F.max(F.when(F.col("item_id") == F.col("root_item_id"), F.col("is_compound"))).over(Window.partitionBy("label_id", "root_item_id"))
-    return rows.withColumn("component", F.when(of_root, F.col("root_item_id")))
+    columns = rows.columns
+    rows = rows.join(parents, (F.col("label_id") == F.col("p_label")) & (F.col("item_id") == F.col("p_item")), "left")
+    rows = rows.join(roots, (F.col("label_id") == F.col("r_label")) & (F.col("root_item_id") == F.col("r_item")), "left")
+    return rows.select(*columns, F.col("p_item").isNotNull().alias("is_compound"), F.col("r_item").alias("component"))
 
 
 def category_queries(items: DataFrame) -> DataFrame:

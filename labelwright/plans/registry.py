@@ -2,11 +2,12 @@
 
 The views stand in for the permission table, labels and registries: they derive those shapes from the tables at hand, in
 SQL that reads the same in Spark and DuckDB. Orders are carried as keys that sort like the rows they stand for, so no
-view needs a global window.
+view needs a global window. EACH(a, b, ..) stands for a row for each of the values, which the two spell differently.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,7 +64,7 @@ VIEWS: dict[str, str] = {
         SELECT o_orderkey AS label_id, CAST(r.k AS int) AS rank,
                concat(CAST(1 + (o_orderkey + r.k * 5) % 18 AS string),
                       CASE WHEN (o_orderkey + r.k) % 3 > 0 THEN concat('.', CAST(1 + (o_orderkey + r.k) % 5 AS string)) ELSE '' END) AS fcs_code
-        FROM orders, (SELECT 1 AS k UNION ALL SELECT 2 AS k UNION ALL SELECT 3 AS k) r WHERE o_orderkey % 9 <> 0""",
+        FROM (SELECT o_orderkey, EACH(1, 2, 3) AS k FROM orders WHERE o_orderkey % 9 <> 0) r""",
     "substances": """
         SELECT p_partkey AS row_ord,
                concat(CAST(100 + p_partkey % 400 AS string), CASE p_partkey % 5 WHEN 1 THEN 'a' WHEN 2 THEN '(i)' WHEN 3 THEN 'b(ii)' ELSE '' END) AS ins,
@@ -79,7 +80,7 @@ VIEWS: dict[str, str] = {
                '. Includes chocolate wafers such as kind ', code, '. Includes all other wares. Some e.g. are not.') END AS description
         FROM (SELECT DISTINCT concat_ws('.', CAST(1 + p_size % 16 AS string), CASE WHEN d > 1 THEN CAST(1 + p_partkey % 3 AS string) END, CASE WHEN d > 2 THEN CAST(1 + p_partkey % 4 AS string) END,
                                 CASE WHEN d > 3 THEN CAST(1 + p_partkey % 2 AS string) END) AS code
-              FROM part, (SELECT 1 AS d UNION ALL SELECT 2 AS d UNION ALL SELECT 3 AS d UNION ALL SELECT 4 AS d) levels) t""",
+              FROM (SELECT p_size, p_partkey, EACH(1, 2, 3, 4) AS d FROM part) levels) t""",
     "corpus": "SELECT vec_id AS doc_ord, embedding, label FROM embeddings",
     "probes": "SELECT vec_id AS query_id, embedding, label FROM embeddings WHERE vec_id % 20 = 0",
     "signals": """
@@ -101,7 +102,7 @@ def _closure(names: tuple[str, ...]) -> list[str]:
 
 def with_views(names: tuple[str, ...], body: str) -> str:
     """body after a WITH list of the views named; body may begin with further common table expressions and a comma-free SELECT."""
-    parts = [f"{n} AS ({VIEWS[n]})" for n in _closure(names)]
+    parts = [f"{n} AS ({_each(VIEWS[n], 'unnest([{}])')})" for n in _closure(names)]
     body = body.strip()
     if body.upper().startswith("WITH "):
         rest = body[5:]
@@ -114,7 +115,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A base table or a view, over the folder."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    text, args = VIEWS[name], {}
+    text, args = _each(VIEWS[name], "explode(array({}))"), {}
     for t in [*TABLES, *VIEWS]:
         marked = _mark(text, t)
         if marked != text and t != name:
@@ -123,9 +124,11 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text, **args)
 
 
-def _mark(text: str, table: str) -> str:
-    import re
+def _each(text: str, spelled: str) -> str:
+    return re.sub(r"EACH\(([^)]*)\)", lambda m: spelled.format(m[1]), text)
+
 
+def _mark(text: str, table: str) -> str:
     return re.sub(rf"\b(FROM|JOIN) {table}\b", rf"\1 {{_{table}}}", text)
 
 
