@@ -157,22 +157,6 @@ def classify(scores: DataFrame, permitted: DataFrame, retrieve: int = 10, keep:
     return placed.withColumn("reason", reason)
 
 
-def tfidf(docs: DataFrame) -> DataFrame:
-    """doc_id, token, weight: smoothed idf ln((1+n)/(1+df)) + 1 times term count, L2-normalised per document.
-
-    docs: doc_id, text. Tokens are runs of two or more word characters of any script, lower case. The number of documents is one
-    row, joined as such.
-    """
-    tokens = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]{2,}"), 0)).alias("token"))
-    tf = tokens.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("tf"))
-    n = docs.select(F.count(F.lit(1)).alias("n"))
-    df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n))
-    idf = df.select("token", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    weighed = tf.join(idf, "token").select("doc_id", "token", (F.col("tf") * F.col("idf")).alias("w"))
-    size = weighed.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
-    return weighed.join(size, "doc_id").select("doc_id", "token", (F.col("w") / F.col("size")).alias("weight"))
-
-
 def recall_and_mrr(ranked: DataFrame, by: list[str], ks: tuple[int, ...] = (1, 3)) -> DataFrame:
     """ranked: the rank of the truth (null: not found) per case -> recall at each k and the mean reciprocal rank."""
     cols = [F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0)).alias(f"recall_at_{k}") for k in ks]

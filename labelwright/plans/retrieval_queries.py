@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as R
+from ..operators import tfidf as X
 from .registry import load, query
 
 _SCORES = """scores AS (
@@ -75,18 +76,38 @@ def classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.classify(top, permitted).select("query_id", "doc_ord", "permitted", F.col("place").cast("long").alias("place"), "reason")
 
 
-@query(
-    "tk6_tfidf",
-    (),
-    r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS token FROM documents),
+_WEIGHTS = r"""t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS token FROM documents),
     tf AS (SELECT doc_id, token, count(*) AS tf FROM t GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM documents),
     idf AS (SELECT token, ln((1.0 + n) / (1.0 + count(*))) + 1.0 AS idf FROM tf, n GROUP BY token, n),
-    w AS (SELECT doc_id, token, tf * idf AS w FROM tf JOIN idf USING (token)), s AS (SELECT doc_id, sqrt(sum(w * w)) AS s FROM w GROUP BY 1)
-    SELECT doc_id, token, round(w / s, 6) AS weight FROM w JOIN s USING (doc_id)""",
-)
+    w AS (SELECT doc_id, token, tf * idf AS w FROM tf JOIN idf USING (token)), s AS (SELECT doc_id, sqrt(sum(w * w)) AS s FROM w GROUP BY 1),
+    weighed AS (SELECT doc_id, token, w / s AS weight FROM w JOIN s USING (doc_id))"""
+
+
+@query("tk6_tfidf", (), f"WITH {_WEIGHTS} SELECT doc_id, token, round(weight, 6) AS weight FROM weighed")
 def tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    return R.tfidf(docs).select("doc_id", "token", F.round("weight", 6).alias("weight"))
+    index = X.build(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return X.weights(index).select("doc_id", "token", F.round("weight", 6).alias("weight"))
+
+
+@query(
+    "tk6_scores",
+    (),
+    rf"""WITH {_WEIGHTS}, a AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}')) AS token FROM benchmark),
+    q AS (SELECT query_id, token, count(*) * any_value(idf) AS w FROM a JOIN idf USING (token) GROUP BY 1, 2), l AS (SELECT query_id, sqrt(sum(w * w)) AS l FROM q GROUP BY 1),
+    scored AS (SELECT query_id, doc_id AS doc_ord, round(sum(weight * w / l), 9) AS score FROM q JOIN l USING (query_id) JOIN weighed USING (token) GROUP BY 1, 2)
+    SELECT query_id, doc_ord, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_ord) AS rank FROM scored) WHERE rank <= 10""",
+)
+def tfidf_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A top-k report: the ten documents most like each benchmark item."""
+    index = X.build(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = X.best(index, load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 10)
+    return found.select("query_id", "doc_ord", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("tk6_mean_pairwise", (), f"WITH {_WEIGHTS}, u AS (SELECT token, sum(weight) AS s FROM weighed GROUP BY 1), m AS (SELECT count(DISTINCT doc_id) AS m FROM weighed) SELECT n, round(((SELECT sum(s * s) FROM u) - m) / (n * (n - 1.0)), 6) AS mean_similarity FROM n, m")
+def tfidf_mean_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = X.build(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return X.mean_pairwise(index).select("n", F.round("mean_similarity", 6).alias("mean_similarity"))
 
 
 _TRUTH = f"WITH {_SCORES}, hit AS (SELECT query_id, q_label, min(rank) FILTER (WHERE c_label = q_label AND rank <= 3) AS rank FROM ranked GROUP BY 1, 2)"
