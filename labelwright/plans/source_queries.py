@@ -12,11 +12,6 @@ from ..sources import word_clouds as W
 from .registry import load, query
 
 
-@query("src1_scan_default", (), "SELECT NULL::BIGINT AS label_id, NULL::VARCHAR AS text WHERE false")
-def scan_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.read_json(spark, f"{sf_dir}/no_such_file.json", "label_id long, text string")
-
-
 @query("src4_categories", (), "SELECT r_regionkey::VARCHAR || '.1' AS code, CASE WHEN r_regionkey % 2 = 0 THEN r_name ELSE r_regionkey::VARCHAR || '.1' END AS name, r_regionkey::VARCHAR AS parent_code FROM region")
 def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.concat(F.col("r_regionkey").cast("string"), F.lit(".1"))

@@ -43,8 +43,13 @@ def images(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_stage(rows: DataFrame, path: str, stage: str, fmt: str = "parquet") -> None:
-    """One folder per stage; writing a stage again replaces it and leaves the others."""
-    rows.write.mode("overwrite").format(fmt).save(f"{path}/stage={stage}")
+    """One folder per stage; writing a stage again replaces it and leaves the others as they are, byte for byte."""
+    write_stages(rows.withColumn("stage", F.lit(stage)), path, fmt)
+
+
+def write_stages(rows: DataFrame, path: str, fmt: str = "parquet", by: tuple[str, ...] = ("stage",)) -> None:
+    """Rows of several stages (and, with ``by``, labels) at once: folders that have rows are replaced whole, others stay."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").format(fmt).partitionBy(*by).save(path)
 
 
 def to_report(rows: DataFrame, key: str) -> DataFrame:
