@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.readers import exists
-from ..storage import shared_dir
-from .retrieval import top_k
+from ..storage import shared_dir, written
+from .retrieval import dot, l2_normalised, top_k
 
 
 @dataclass(frozen=True)
@@ -206,10 +206,11 @@ def _asked(probes: DataFrame, index: Index, n_probe: int) -> DataFrame:
     return given.mapInArrow(run, "query_id long, embedding array<double>, cell int")
 
 
-def _open_cells(probes: DataFrame, found: DataFrame, index: Index, n_probe: int, k: int) -> DataFrame:
+def _open_cells(probes: DataFrame, found: DataFrame, index: Index, n_probe: int, k: int, floor: float = -2.0) -> DataFrame:
     """query_id, unit embedding, cell: the cells beyond the nearest that may hold one of the k best of the query.
 
-    found: query_id, rank, score of the search so far. A cell is left out if even a row at its rim is worse than rank k.
+    found: query_id, rank, score of the search so far. A cell is left out if even a row at its rim is worse than rank k, or
+    worse than floor.
     """
     shared = probes.sparkSession.sparkContext.broadcast((index.centroids, index.sizes, index.radii))
     kth = found.where(F.col("rank") == k).select(F.col("query_id").alias("of"), F.col("score").alias("kth"))
@@ -227,7 +228,7 @@ def _open_cells(probes: DataFrame, found: DataFrame, index: Index, n_probe: int,
                 # a little wider than the bound, for rounding; the rim of a cell with a zero row is all around
                 best = np.cos(np.maximum(np.arccos(np.clip(raw, -1, 1)) - radii - 1e-7, 0.0))
                 best[np.abs(q).sum(axis=1) == 0] = 1.0
-                kth = part.column("kth").fill_null(-2.0).to_numpy(zero_copy_only=False)
+                kth = np.maximum(part.column("kth").fill_null(-2.0).to_numpy(zero_copy_only=False), floor)
                 row, cell = np.nonzero(rest & (sizes > 0) & (best >= kth[:, None] - 1e-9))
                 yield pa.RecordBatch.from_arrays([part.column("query_id").take(pa.array(row)), _lists(q[row]), pa.array(cell.astype(np.int32))], names=["query_id", "embedding", "cell"])
 
@@ -300,3 +301,48 @@ def share_read(index: Index, probes: DataFrame, n_probe: int | None = None, reca
     sizes = index.rows.sparkSession.createDataFrame([(c, int(n)) for c, n in enumerate(index.sizes.tolist())], "c int, n long")
     asked = _asked(probes, index, n_probe).select("query_id", "cell")
     return asked.join(F.broadcast(sizes), F.col("cell") == F.col("c")).groupBy("query_id").agg(F.sum("n").alias("rows"))
+
+
+def _pairs(found: DataFrame, k: int) -> DataFrame:
+    """x, y, score of the k best pairs among found; ties by x, then y."""
+    pairs = found.where("query_id <> doc_ord").select(F.least("query_id", "doc_ord").alias("x"), F.greatest("query_id", "doc_ord").alias("y"), "score")
+    # a pair found from both ends may differ by rounding
+    return pairs.groupBy("x", "y").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "x", "y").limit(k)
+
+
+def closest_pairs(index: Index, k: int) -> tuple[DataFrame, DataFrame]:
+    """x, y, score: the k most similar pairs of all rows against all; and rows, cells: the pairs of a row and a cell that were compared.
+
+    Rows search their own cell first. The k-th best pair found there is a floor: of the other cells only those are opened that
+    may hold a row as near to the searching row, by their radius, so no pair is lost, and no more than k + 1 rows are kept for
+    a row. Repeated doc_ords are one row.
+    """
+    own = index.rows.select(F.col("doc_ord").alias("query_id"), "embedding")
+    # a row's best partner is itself
+    first = written(_scored(_asked(own, index, 1), index, k + 1), "first")
+    best = _pairs(first, k).collect()
+    floor = best[-1].score if len(best) == k else -2.0
+    none = first.where("false").withColumn("rank", F.lit(1))
+    opened = written(_open_cells(own, none, index, 1, k + 1, floor), "opened")
+    met = first.unionByName(_scored(opened, index, k + 1))
+    return _pairs(met, k), opened.agg(F.count(F.lit(1)).alias("opened")).select((F.col("opened") + index.n).alias("compared"), F.lit(index.n * int((index.sizes > 0).sum())).alias("of"))
+
+
+def extremes(index: Index, probes: DataFrame) -> DataFrame:
+    """query_id, n, least, most, mean: likeness of each query to all rows but those of its own number, without a pair.
+
+    The mean comes from the sum of the unit vectors, the most like row from an exact search, and the least like one from an
+    exact search for the opposite vector. Queries are rows of the index, once each.
+    """
+    size = index.centroids.shape[1]
+    sums = index.rows.select(F.posexplode("embedding").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()
+    # as many numbers as a vector has
+    total = F.array(*(F.lit(x) for x in [dict((r.i, r.v) for r in sums).get(i, 0.0) for i in range(size)]))
+    unit = l2_normalised(F.col("embedding"))
+    asked = probes.select(F.col("query_id").cast("long").alias("query_id"), unit.alias("embedding"))
+    other = asked.select("query_id", F.transform("embedding", lambda x: -x).alias("embedding"))
+    near, far = (search(index, p, 2, n_probe=1, exact=True).where("query_id <> doc_ord").groupBy(F.col("query_id").alias("of")).agg(F.max("score").alias("best")) for p in (asked, other))
+    own = dot(F.col("embedding"), F.col("embedding"))
+    rows = asked.select("query_id", F.lit(index.n - 1).cast("long").alias("n"), ((dot(F.col("embedding"), total) - own) / F.lit(float(max(1, index.n - 1)))).alias("mean"))
+    rows = rows.join(near.select("of", F.col("best").alias("most")), F.col("query_id") == F.col("of")).drop("of")
+    return rows.join(far.select("of", (-F.col("best")).alias("least")), F.col("query_id") == F.col("of")).drop("of")

@@ -147,16 +147,16 @@ _PAIRS = """WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similari
 
 @query("ag20_similarity_extremes", (), _PAIRS + " SELECT a AS query_id, count(*) AS n, round(min(s), 6) AS least, round(max(s), 6) AS most, round(avg(s), 6) AS mean FROM p GROUP BY a")
 def similarity_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = V.similarity_scores(load(spark, sf_dir, "probes"), load(spark, sf_dir, "corpus")).where("query_id <> doc_ord").groupBy("query_id")
-    return s.agg(F.count(F.lit(1)).alias("n"), F.round(F.min("score"), 6).alias("least"), F.round(F.max("score"), 6).alias("most"), F.round(F.avg("score"), 6).alias("mean"))
+    index = X.open_index(load(spark, sf_dir, "corpus"), X.index_dir(spark))
+    return X.extremes(index, load(spark, sf_dir, "probes")).select("query_id", "n", *(F.round(c, 6).alias(c) for c in ("least", "most", "mean")))
 
 
-@query("ag20_closest_pairs", (), _PAIRS + ", u AS (SELECT least(a, b) AS x, greatest(a, b) AS y, round(max(s), 9) AS s FROM p GROUP BY 1, 2) SELECT x, y, round(s, 6) AS score FROM u ORDER BY s DESC, x, y LIMIT 10")
+@query("ag20_closest_pairs", (), """WITH p AS (SELECT a.vec_id AS x, b.vec_id AS y, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 12) AS s FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)
+    SELECT x, y, round(s, 6) AS score FROM p ORDER BY s DESC, x, y LIMIT 10""")
 def closest_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A top-k report: the ten closest pairs of a query and another row."""
-    s = V.similarity_top_k(load(spark, sf_dir, "probes"), load(spark, sf_dir, "corpus"), 11).where("query_id <> doc_ord")
-    pairs = s.groupBy(F.least("query_id", "doc_ord").alias("x"), F.greatest("query_id", "doc_ord").alias("y")).agg(F.round(F.max("score"), 9).alias("s"))
-    return pairs.orderBy(F.desc("s"), "x", "y").limit(10).select("x", "y", F.round("s", 6).alias("score"))
+    """A top-k report: the ten closest pairs of all rows."""
+    index = X.open_index(load(spark, sf_dir, "corpus"), X.index_dir(spark))
+    return X.closest_pairs(index, 10)[0].select("x", "y", F.round("score", 6).alias("score"))
 
 
 @query("ag21_shortest_documents", (), "SELECT doc_id, lang, n_chars FROM documents ORDER BY n_chars, doc_id LIMIT 5")

@@ -102,3 +102,21 @@ def test_empty_tables_and_null_embeddings(spark, tmp_path, clouds):
     some = X.open_index(table(spark, [*clouds[:5], (99, None)], "doc_ord"), f"file://{tmp_path}/some")
     assert some.n == 5 and X.search(some, probe, 9, exact=True).count() == 5
     assert X.search(some, table(spark, [], "query_id"), 3, exact=True).count() == 0
+
+
+def test_closest_pairs_and_extremes_of_all_rows(spark, tmp_path, clouds):
+    rows = [*clouds[:400], clouds[-1]]
+    index = X.open_index(table(spark, rows, "doc_ord"), f"file://{tmp_path}", X.Setting(block_rows=60))
+    v = np.array([e for _, e in rows])
+    v = v / np.where(np.linalg.norm(v, axis=1) > 0, np.linalg.norm(v, axis=1), 1)[:, None]
+    s, ids = np.round(v @ v.T, 12), [i for i, _ in rows]
+    want = sorted((-s[a, b], ids[a], ids[b]) for a in range(len(rows)) for b in range(a + 1, len(rows)))[:10]
+    pairs, compared = X.closest_pairs(index, 10)
+    assert [(r.x, r.y, round(r.score, 9)) for r in pairs.collect()] == [(a, b, round(-x, 9)) for x, a, b in want]
+    done = compared.first()
+    assert done.compared < 0.8 * done["of"]
+    got = {r.query_id: r for r in X.extremes(index, table(spark, rows[::40], "query_id")).collect()}
+    for at in range(0, len(rows), 40):
+        others = np.delete(s[at], at)
+        r = got[ids[at]]
+        assert (r.n, r.most, r.least) == (len(rows) - 1, pytest.approx(others.max()), pytest.approx(others.min())) and r.mean == pytest.approx(others.mean())
