@@ -48,14 +48,20 @@ def numbered(texts: Column) -> Column:
     return F.when(F.size(texts) == 0, F.lit(None)).when(F.size(texts) == 1, F.get(texts, F.lit(0))).otherwise(many)
 
 
-def select_rows(permits: DataFrame, *by: str) -> DataFrame:
+def distinct_rows(permits: DataFrame, *by: str) -> DataFrame:
+    """dedupe_rows() of the columns that select_rows() looks at, and by."""
+    held = dict.fromkeys((*by, *DUPLICATE_KEY, "row_ord", "max_level_basis", "note_codes", "source_url"))
+    return dedupe_rows(permits.select(*held))
+
+
+def select_rows(permits: DataFrame, *by: str, distinct: bool = False) -> DataFrame:
     """One row per group: the row itself, the most restrictive of rows that disagree in status, or the merged rows.
 
     Adds n_rows and flags. permits: row_ord, status, max_level_mg_kg, max_level_basis, conditions, note_codes,
-    source_url. A group's rows are the provisions of one substance in one category, so the lists stay short.
+    source_url. A group's rows are the provisions of one substance in one category, so the lists stay short. distinct: the
+    rows are those of distinct_rows() already.
     """
-    held = dict.fromkeys((*by, *DUPLICATE_KEY, "row_ord", "max_level_basis", "note_codes", "source_url"))
-    rows = dedupe_rows(permits.select(*held))
+    rows = permits if distinct else distinct_rows(permits, *by)
     level, conditions = F.col("max_level_mg_kg"), F.col("conditions")
     text = F.when(F.coalesce(conditions, F.lit("")) != "", conditions)
     payload = F.struct("status", "max_level_mg_kg", "max_level_basis", "conditions", "note_codes", "source_url")

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normalise import lineage
-from .provisions import select_rows, verdict_of
+from ..storage import written
+from .provisions import distinct_rows, select_rows, verdict_of
 
 # What governs items outside the permission list, and the verdict sets.
 OUT_OF_SCOPE = {"flavouring": "Reg 1334/2008", "enzyme": "Reg 1332/2008", "food_ingredient": "not an additive", "compound": "not an additive"}
@@ -27,20 +28,21 @@ def standing(ids: DataFrame, column: str, permits: DataFrame) -> DataFrame:
     return met.groupBy(column).agg(F.lit(True).alias("appears"), F.min_by(F.when(F.col("banned"), F.col("code")), F.when(F.col("banned"), F.col("step"))).alias("prohibited_id"))
 
 
-def lookup(probes: DataFrame, permits: DataFrame) -> DataFrame:
+def lookup(probes: DataFrame, permits: DataFrame, state: DataFrame | None = None, distinct: bool = False) -> DataFrame:
     """The provision for each distinct (canonical_id, fcs_code) of probes: the code's own, else the nearest broader one's.
 
     Adds verdict, level, basis, conditions, flags; a pair without any provision gets not_permitted_in_category if the
-    substance appears elsewhere, else not_authorised_eu. Work is per distinct pair, not per item.
+    substance appears elsewhere, else not_authorised_eu. Work is per distinct pair, not per item. state: the standing() of all
+    ids as canonical_id, if it is known; distinct: permits are distinct_rows().
     """
     pairs = probes.select("canonical_id", "fcs_code").where("canonical_id is not null").distinct()
-    chosen = select_rows(permits.where("fcs_code <> ''"), "canonical_id", "fcs_code").withColumnRenamed("canonical_id", "code")
+    chosen = select_rows(permits.where("fcs_code <> ''"), "canonical_id", "fcs_code", distinct=distinct).withColumnRenamed("canonical_id", "code")
     steps = with_lineage(pairs, "canonical_id")
     near = pairs.join(steps, "canonical_id").join(chosen, ["code", "fcs_code"])
     best = near.groupBy("canonical_id", "fcs_code").agg(
         F.min_by(F.struct("step", "flags", "status", "max_level_mg_kg", "max_level_basis", "conditions", "note_codes", "source_url"), "step").alias("best")
     )
-    out = pairs.join(best, ["canonical_id", "fcs_code"], "left").join(standing(pairs, "canonical_id", permits), "canonical_id", "left")
+    out = pairs.join(best, ["canonical_id", "fcs_code"], "left").join(standing(pairs, "canonical_id", permits) if state is None else state, "canonical_id", "left")
     b = F.col("best")
     own = verdict_of(b["status"], b["conditions"], b["max_level_mg_kg"])
     verdict = F.when(b.isNotNull(), own).when(F.col("appears"), "not_permitted_in_category").otherwise("not_authorised_eu")
@@ -64,15 +66,18 @@ def evaluate(resolved: DataFrame, candidates: DataFrame, permits: DataFrame, con
 
     resolved: label_id, item_id, classification, canonical_ins, eu_canonical_id. candidates: label_id, rank, fcs_code.
     confirmed: label_id of labels whose category a user confirmed. The order of the decisions is that of the law:
-    scope, identity, absence, prohibition, category.
+    scope, identity, absence, prohibition, category. Items and distinct provisions are read by several steps, so each is
+    computed and written once.
     """
+    resolved = written(resolved.select("label_id", "item_id", "classification", "canonical_ins", "eu_canonical_id"), "resolved")
+    permits = written(distinct_rows(permits, "canonical_id", "fcs_code"), "provisions")
     tops = candidates.groupBy("label_id").agg(F.array_sort(F.collect_list(F.struct("rank", "fcs_code"))).alias("tops"))
     items = resolved.join(tops, "label_id", "left")
     probes = items.select(F.col("eu_canonical_id").alias("canonical_id"), F.explode("tops.fcs_code").alias("fcs_code"))
-    found = lookup(probes, permits).select(
+    state = written(standing(resolved, "eu_canonical_id", permits), "standing")
+    found = lookup(probes, permits, state.withColumnRenamed("eu_canonical_id", "canonical_id"), distinct=True).select(
         F.col("canonical_id").alias("f_id"), F.col("fcs_code").alias("f_code"), F.struct("verdict", "max_level_mg_kg", "conditions", "flags").alias("found")
     )
-    state = standing(resolved, "eu_canonical_id", permits)
     each = items.select("label_id", "item_id", "eu_canonical_id", F.explode("tops").alias("top"))
     each = each.join(found, (F.col("eu_canonical_id") == F.col("f_id")) & (F.col("top.fcs_code") == F.col("f_code")))
     by = each.groupBy("label_id", "item_id").agg(
