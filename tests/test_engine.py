@@ -8,6 +8,7 @@ from labelwright.functions import normalise as N
 from labelwright.functions import text as X
 from labelwright.operators import advisory as A
 from labelwright.operators import declarations as D
+from labelwright.operators import name_join
 from labelwright.operators import resolution as R
 from labelwright.operators import scoping as S
 from labelwright.sources import html_tables as H
@@ -52,7 +53,7 @@ def test_normalisers(spark):
 
 def test_token_set_ratio():
     assert R.token_set_ratio("a b", "b a c") == 100.0 and R.token_set_ratio("", "x") == 0.0
-    assert R._indel("abcd", "abxd") == 75.0 and R.token_set_ratio("SUGAR", "sugar") < 50
+    assert name_join._indel("abcd", "abxd") == 75.0 and R.token_set_ratio("SUGAR", "sugar") < 50
 
 
 def test_resolution_order(spark):
