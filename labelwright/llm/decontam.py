@@ -7,9 +7,12 @@ are consistent, that is, one benchmark value always stands for one document valu
 copied or asked again with other names and figures. Windows also match word for word, whatever their tokens: an item dense
 in numbers and names has no template to tell it by, only its words.
 
-Scale: documents are read once per benchmark block and never shuffled; only leaks leave the tasks. The benchmark is
-collected in blocks of at most ``block_chars`` characters, each broadcast and set against all rows, so its size is
-bounded whatever the benchmark's. Windows are looked up exactly (64-bit hashes of templates) in a sorted array.
+Scale: a benchmark of at most ``block_chars`` characters is one sorted index of windows, broadcast: documents are read
+once and never shuffled, and only leaks leave the tasks. A larger benchmark is a table of windows, made by Spark and
+joined with those of the documents by their hash. A bitmap of fixed size (``2 ** filter_bits`` bits, false positives only)
+holds the benchmark's windows, so few windows of documents are shuffled; they travel once per different text, with the
+values of their tokens, so neither side is read again to judge the slots. Item windows are laid in ``salt`` copies against
+the documents' parts, so a passage that a third of all documents share is no single task.
 
 Where one benchmark value stands for two document values equally often, either may count (a tie); the share that agrees
 is the same. A text is handled whole in one task, in some forty times its bytes. An empty table of documents or items
@@ -19,15 +22,17 @@ gives an empty result. A null or empty text leaks nothing; null items are skippe
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
+from .common import discard, keep_rows, written
 
 # Words that are numbers, and words that are units after a number.
 NUMBER_WORDS = (
@@ -54,7 +59,12 @@ class Rules:
     #: Least share of slots that agree with one consistent replacement.
     consistent: float = 0.8
     min_tokens: int = 5
+    #: Largest benchmark that is broadcast as an index; a larger one is joined.
     block_chars: int = 4_000_000
+    filter_bits: int = 27
+    salt: int = 16
+    #: Most leaking texts that are broadcast to drop their documents.
+    broadcast_rows: int = 100_000
 
 
 def _hashes(words: list[str]) -> np.ndarray:
@@ -179,91 +189,265 @@ def match(index: Index, t: Templates, rules: Rules) -> list[tuple[int, int, int,
     pair = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1), True])
     out = []
     for lo, hi in zip(pair[:-1], pair[1:]):
-        own = rows[lo:hi]
-        # a window found by its template and by its words counts once; templates alone decide where words would spoil them
-        some = own[np.r_[True, (own[1:, :5] != own[:-1, :5]).any(axis=1)]]
-        for part in (some, own[own[:, 5] == 0]):
-            if len(part) and (found := _leak(index, t, part, rules)):
-                out.append(found)
-                break
+        d, i = int(rows[lo, 0]), int(rows[lo, 1])
+        own = slice(int(index.items.first[i]), int(index.items.first[i + 1]))
+        found = _leak(rows[lo:hi, 2:], index.items.value[own], index.items.slot[own], lambda place, d=d: t.value[t.first[d] + place], rules)
+        if found:
+            out.append((d, i, *found))
     return out
 
 
-def _leak(index: Index, t: Templates, rows: np.ndarray, rules: Rules) -> tuple[int, int, int, int, int, float, bool] | None:
-    """The leak that the matched windows of one document and item make, if any."""
-    d, i = int(rows[0, 0]), int(rows[0, 1])
-    a0, size = int(index.items.first[i]), int(index.items.first[i + 1] - index.items.first[i])
+_NOWHERE = np.iinfo(np.int64).min
+Leak = tuple[int, int, int, float, bool]
+
+
+def _leak(rows: np.ndarray, value: np.ndarray, slot: np.ndarray, there: Callable[[np.ndarray], np.ndarray], rules: Rules) -> Leak | None:
+    """What the matched windows of one document and item make of it, if it is a leak.
+
+    rows are (shift, start, tokens, of exact words), sorted; value and slot are the item's, there gives the document's values.
+    """
+    # a window found by its template and by its words counts once; templates alone decide where words would spoil them
+    some = rows[np.r_[True, (rows[1:, :3] != rows[:-1, :3]).any(axis=1)]]
+    for part in (some, rows[rows[:, 3] == 0]):
+        if len(part) and (found := _aligned(part, value, slot, there, rules)):
+            return found
+    return None
+
+
+def _aligned(rows: np.ndarray, value: np.ndarray, slot: np.ndarray, there: Callable[[np.ndarray], np.ndarray], rules: Rules) -> Leak | None:
     # the alignment of each token of the item: the one with most windows wins
-    shift = np.full(size, np.iinfo(np.int64).min)
-    shifts, votes = np.unique(rows[:, 2], return_counts=True)
+    shift = np.full(len(value), _NOWHERE)
+    shifts, votes = np.unique(rows[:, 0], return_counts=True)
     for s in shifts[np.argsort(votes, kind="stable")]:
-        own = rows[rows[:, 2] == s]
-        shift[tk.covered(own[:, 3], int(own[0, 4]), size)] = s
-    cover = np.flatnonzero(shift != np.iinfo(np.int64).min)
-    if len(cover) < rules.coverage * size:
+        own = rows[rows[:, 0] == s]
+        shift[tk.covered(own[:, 1], int(own[0, 2]), len(value))] = s
+    cover = np.flatnonzero(shift != _NOWHERE)
+    if len(cover) < rules.coverage * len(value):
         return None
-    here, there = a0 + cover, t.first[d] + cover + shift[cover]
-    slots = index.items.slot[here] != LITERAL
-    kind = index.items.slot[here][slots]
-    a, b = index.items.value[here][slots], t.value[there][slots]
-    share = _consistent(a, b, kind)
-    return (d, i, size, len(cover), int(slots.sum()), share, bool((a == b).all())) if share >= rules.consistent else None
+    slots = slot[cover] != LITERAL
+    a, b = value[cover][slots], there(cover + shift[cover])[slots]
+    share = _consistent(a, b, slot[cover][slots])
+    return (len(value), len(cover), int(slots.sum()), share, bool((a == b).all())) if share >= rules.consistent else None
 
 
 _SCHEMA = "doc_id long, item_id long, n_tokens long, n_covered long, n_slots long, consistency double, verbatim boolean"
 
 
-def _blocks(benchmark: DataFrame, rules: Rules) -> Iterator[tuple[list[int], list[str]]]:
-    """The benchmark in blocks of bounded size, collected one after the other."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, -(-chars // rules.block_chars))
-    for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).distinct().orderBy("item_id", "text").collect()
-        if rows:
-            yield [r.item_id for r in rows], [r.text for r in rows]
+_NAMES = [x.split()[0] for x in _SCHEMA.split(", ")]
+_TYPES = [{"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}[x.split()[1]] for x in _SCHEMA.split(", ")]
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    return items.where("item_id is not null and text is not null").distinct()
+
+
+def _index(items: DataFrame, rules: Rules) -> Index | None:
+    """The whole benchmark as one index on the driver, None if it is too large for that."""
+    if (items.agg(F.sum(F.length("text"))).first()[0] or 0) > rules.block_chars:
+        return None
+    rows = items.orderBy("item_id", "text").collect()
+    return build_index([r.item_id for r in rows], [r.text for r in rows], rules)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """One row per document and benchmark item that it holds: how much is covered, and whether word for word."""
-    spark = docs.sparkSession
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    out = None
-    for ids, texts in _blocks(benchmark, rules):
-        shared = spark.sparkContext.broadcast(build_index(ids, texts, rules))
+    items = _items(benchmark)
+    index = _index(items, rules)
+    if index is None:
+        found = leaking_texts(rows, items, rules)
+        return _meet(rows.select("doc_id", text_key("text").alias("key")), found, "key", "inner", rules).select(*_NAMES)
+    shared = docs.sparkSession.sparkContext.broadcast(index)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            for batch in batches:
-                found = []
-                for piece in tk.slices(batch, "text"):
-                    own = piece.column("doc_id").to_pylist()
-                    found += [(own[d], int(index.ids[i]), *x) for d, i, *x in match(index, canonical(tk.texts_of(piece.column("text"))), rules)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found) if found else [[]] * 7, _TYPES)], names=_NAMES)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for piece in tk.slices(batch, "text"):
+                own = piece.column("doc_id").to_pylist()
+                found += [(own[d], int(shared.value.ids[i]), *x) for d, i, *x in match(shared.value, canonical(tk.texts_of(piece.column("text"))), rules)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found) if found else [[]] * 7, _TYPES)], names=_NAMES)
 
-        part = rows.mapInArrow(run, _SCHEMA)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], _SCHEMA)
-
-
-_NAMES = [x.split()[0] for x in _SCHEMA.split(", ")]
-_TYPES = [{"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}[x.split()[1]] for x in _SCHEMA.split(", ")]
+    return rows.mapInArrow(run, _SCHEMA)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Rows of docs that hold no benchmark item, columns unchanged."""
-    spark = docs.sparkSession
-    for ids, texts in _blocks(benchmark, rules):
-        shared = spark.sparkContext.broadcast(build_index(ids, texts, rules))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                mask, at = np.ones(batch.num_rows, dtype=bool), 0
-                for piece in tk.slices(batch, "text"):
-                    for d, *_ in match(shared.value, canonical(tk.texts_of(piece.column("text"))), rules):
-                        mask[at + d] = False
-                    at += piece.num_rows
-                yield batch.filter(pa.array(mask))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    items = _items(benchmark)
+    index = _index(items, rules)
+    if index is None:
+        found = leaking_texts(docs.select(F.col("text").cast("string").alias("text")), items, rules)
+        name = "text_key"
+        while name in {c.lower() for c in docs.columns}:
+            name += "_"
+        own = docs.withColumn(name, text_key("text"))
+        return _meet(own, found.select(F.col("key").alias(name)).distinct(), name, "left_anti", rules).drop(name, name + "_salt")
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+
+    def clean(batch: pa.RecordBatch) -> pa.Array:
+        mask, at = np.ones(batch.num_rows, dtype=bool), 0
+        for piece in tk.slices(batch, "text"):
+            for d, *_ in match(shared.value, canonical(tk.texts_of(piece.column("text"))), rules):
+                mask[at + d] = False
+            at += piece.num_rows
+        return pa.array(mask)
+
+    return keep_rows(docs, clean)
+
+
+# A benchmark beyond one index: windows of both sides meet in a join.
+
+
+def text_key(text: str) -> Column:
+    """What tells a text from any other: its SHA-256; null for a null text."""
+    return F.unhex(F.sha2(F.col(text).cast("string").cast("binary"), 256))
+
+
+def _salts(rules: Rules) -> Column:
+    return F.explode(F.expr(f"sequence(0L, {rules.salt - 1}L)"))
+
+
+def _meet(rows: DataFrame, found: DataFrame, key: str, how: str, rules: Rules) -> DataFrame:
+    """Join with the texts that leak: broadcast where they are counted to be few, else copied to the salts of a key's rows."""
+    if found.count() <= rules.broadcast_rows:
+        return rows.join(F.broadcast(found), key, how)
+    salt = key + "_salt"
+    spread = F.pmod(F.xxhash64(key, *(c for c in rows.columns if c in ("doc_id", "source"))), F.lit(rules.salt))
+    copies = found.withColumn(salt, _salts(rules))
+    return rows.withColumn(salt, spread).join(copies, [key, salt], how)
+
+
+def _bytes(rows: np.ndarray) -> pa.Array:
+    """Each row of a matrix as one binary value."""
+    rows = np.ascontiguousarray(rows)
+    width = rows.shape[1] * rows.itemsize
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(rows), [None, pa.py_buffer(rows.tobytes())]).cast(pa.binary())
+
+
+def _rows_of(t: Templates, n: int, exact: bool, own: tuple[np.ndarray, np.ndarray, np.ndarray], names: dict[str, pa.Array]) -> dict[str, pa.Array]:
+    """Columns of some windows: who holds them (names, by document), their length, hash, place and the values of their tokens."""
+    h, doc, start = own
+    tokens = (t.first[doc] + start)[:, None] + np.arange(n)
+    out = {c: a.take(pa.array(doc)) for c, a in names.items()}
+    out |= {"n": pa.array(np.full(len(h), n, dtype=np.int32)), "exact": pa.array(np.full(len(h), exact)), "h": pa.array(h.view(np.int64)), "start": pa.array(start.astype(np.int64))}
+    return out | {"value": _bytes(t.value[tokens]), "slot": _bytes(t.slot[tokens])}
+
+
+_WINDOW = "n int, exact boolean, h long, start long, value binary"
+
+
+def _item_windows(items: DataFrame, rules: Rules) -> DataFrame:
+    shift = np.uint64(64 - rules.filter_bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in tk.slices(batch, "text"):
+                t = canonical(tk.texts_of(piece.column("text")))
+                sizes = np.diff(t.first)
+                names = {"item_id": piece.column("item_id"), "item": piece.column("item"), "size": pa.array(sizes.astype(np.int64))}
+                for exact, least in ((False, rules.min_tokens), (True, 1)):
+                    for n in np.unique(np.minimum(sizes[sizes >= least], rules.window)).tolist():
+                        own = _windows(t, n, exact, (np.minimum(sizes, rules.window) == n) & (sizes >= least), rules)
+                        if len(own[0]):
+                            yield pa.RecordBatch.from_pydict(_rows_of(t, n, exact, own, names) | {"cell": pa.array((own[0] >> shift).view(np.int64))})
+
+    return items.withColumn("item", text_key("text")).mapInArrow(run, f"item_id long, item binary, size long, {_WINDOW}, slot binary, cell long")
+
+
+def _bitmap(windows: DataFrame, rules: Rules) -> np.ndarray:
+    """One bit for each leading part of a hash that some window has: at most 2 ** (filter_bits - 6) rows come to the driver."""
+    cells = windows.groupBy(F.shiftright("cell", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(cell & 63 as int)))").alias("bits")).toArrow()
+    out = np.zeros(max(1, 1 << (rules.filter_bits - 6)), dtype=np.int64)
+    out[cells["word"].to_numpy()] = cells["bits"].to_numpy()
+    return out.view(np.uint64)
+
+
+def leaking_texts(docs: DataFrame, items: DataFrame, rules: Rules) -> DataFrame:
+    """key (of a text) and the item that it holds, with what leaks() tells of the two."""
+    table = written(_item_windows(items, rules), "item-windows")
+    kinds = sorted((r.n, r.exact) for r in table.select("n", "exact").distinct().collect())
+    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(table, rules))
+    shift = np.uint64(64 - rules.filter_bits)
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in tk.slices(batch, "text"):
+                t = canonical(tk.texts_of(piece.column("text")))
+                for n, exact in kinds:
+                    h, doc, start = _windows(t, n, exact, None, rules)
+                    cell = h >> shift
+                    near = np.flatnonzero((bits.value[cell >> np.uint64(6)] >> (cell & np.uint64(63))) & np.uint64(1))
+                    if len(near):
+                        got = _rows_of(t, n, exact, (h[near], doc[near], start[near]), {"key": piece.column("key")})
+                        del got["slot"]
+                        yield pa.RecordBatch.from_pydict(got)
+
+    own = docs.where("text is not null").select(text_key("text").alias("key"), "text").mapInArrow(windows, f"key binary, {_WINDOW}").distinct()
+    own = own.select("key", "n", "exact", "h", F.col("start").alias("at"), F.col("value").alias("there"), F.pmod(F.xxhash64("key"), F.lit(rules.salt)).alias("salt"))
+    copies = table.drop("cell").withColumn("salt", _salts(rules))
+    hits = own.join(copies, ["n", "exact", "h", "salt"]).drop("h", "salt")
+    hits = hits.repartition("key", "item_id", "item").sortWithinPartitions("key", "item_id", "item")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left: list[pa.RecordBatch] = []
+        for batch in batches:
+            first = _group_starts(batch)
+            if left and len(first) and not _same(left[-1], batch):
+                yield _judged(left, rules)
+                left = []
+            # rows of the last group may go on in the next batch
+            if len(first) > 1:
+                yield _judged([*left, batch.slice(0, int(first[-1]))], rules)
+                left, batch = [], batch.slice(int(first[-1]))
+            left += [batch] if batch.num_rows else []
+        if left:
+            yield _judged(left, rules)
+
+    found = written(hits.mapInArrow(judge, f"key binary, {_SCHEMA.split(', ', 1)[1]}"), "leaking-texts")
+    discard(table)
+    return found
+
+
+_GROUP = ("key", "item_id", "item")
+
+
+def _group_starts(rows: pa.RecordBatch | pa.Table) -> np.ndarray:
+    """Where a text and item begin that differ from those of the row before."""
+    n = rows.num_rows
+    new = np.ones(n, dtype=bool)
+    if n > 1:
+        new[1:] = False
+        for c in _GROUP:
+            new[1:] |= pc.not_equal(rows.column(c).slice(1), rows.column(c).slice(0, n - 1)).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new)
+
+
+def _same(a: pa.RecordBatch, b: pa.RecordBatch) -> bool:
+    return all(a.column(c)[a.num_rows - 1] == b.column(c)[0] for c in _GROUP)
+
+
+def _judged(batches: list[pa.RecordBatch], rules: Rules) -> pa.RecordBatch:
+    """The leaks among whole groups of hits."""
+    rows = pa.Table.from_batches(batches).combine_chunks()
+    number = {c: rows.column(c).to_numpy().astype(np.int64) for c in ("n", "exact", "start", "at", "size")}
+    blob = {c: rows.column(c).to_pylist() for c in ("value", "there", "slot")}
+    first = [*_group_starts(rows).tolist(), rows.num_rows]
+    found, names = [], []
+    for lo, hi in zip(first[:-1], first[1:]):
+        n, size, start, at = int(number["n"][lo]), int(number["size"][lo]), number["start"][lo:hi], number["at"][lo:hi]
+        value, slot = np.zeros(size, dtype=np.uint64), np.full(size, LITERAL, dtype=np.int8)
+        place = start[:, None] + np.arange(n)
+        value[place] = np.frombuffer(b"".join(blob["value"][lo:hi]), dtype=np.uint64).reshape(-1, n)
+        slot[place] = np.frombuffer(b"".join(blob["slot"][lo:hi]), dtype=np.int8).reshape(-1, n)
+        spots, where = np.unique(at[:, None] + np.arange(n), return_index=True)
+        values = np.frombuffer(b"".join(blob["there"][lo:hi]), dtype=np.uint64)[where]
+        own = np.column_stack([at - start, start, np.full(hi - lo, n), number["exact"][lo:hi]])
+        own = own[np.lexsort(own.T[::-1])]
+        leak = _leak(own, value, slot, lambda p, spots=spots, values=values: values[np.searchsorted(spots, p)], rules)
+        if leak:
+            found.append(leak)
+            names.append(lo)
+    keys = rows.select(["key", "item_id"]).take(pa.array(names, pa.int64())).combine_chunks()
+    columns = [keys.column("key"), keys.column("item_id"), *(pa.array(c, k) for c, k in zip(zip(*found) if found else [[]] * 5, _TYPES[2:]))]
+    out = pa.table(columns, names=["key", *_NAMES[1:]]).combine_chunks().to_batches()
+    return out[0] if out else pa.RecordBatch.from_arrays([pa.array([], c.type) for c in columns], names=["key", *_NAMES[1:]])
