@@ -60,6 +60,28 @@ def group_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.group_provisions(pages.select("page_id", html.alias("html"))).select("page_id", "member", "code", F.col("max_level_mg_kg").alias("level"))
 
 
+@query(
+    "src14_group_rules",
+    (),
+    """SELECT l_orderkey AS page_id, n_name AS member, lpad((1 + l_suppkey % 16)::VARCHAR, 2, '0') || '.' || l_linenumber AS code, CASE WHEN l_quantity < 25 THEN l_quantity * 100 END AS level,
+        CASE WHEN l_quantity < 25 THEN 'mg/kg' ELSE 'gmp' END AS basis,
+        'at most ' || l_partkey || ' [Note ' || l_linenumber || ']' || CASE WHEN l_orderkey % 2 = 0 THEN ' | The provisions that follow limit the total content of the group.' ELSE '' END AS conditions
+    FROM lineitem JOIN nation ON n_regionkey = l_orderkey % 5""",
+)
+def group_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page for each order: its lines are the rules, the nations of a region the members, every other page with a shared limit."""
+    cells = """concat('<tr><td></td><td></td><td>', lpad(CAST(1 + l_suppkey % 16 AS string), 2, '0'), '.', CAST(l_linenumber AS string), '</td><td>Wares</td><td>',
+        CASE WHEN l_quantity < 25 THEN concat(format_number(l_quantity * 100, 0), ' mg/kg') ELSE 'GMP' END, '</td><td><div><img title="at most ', CAST(l_partkey AS string), '"/><a href="n">Note ', CAST(l_linenumber AS string), '</a></div></td></tr>')"""
+    rules = load(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("page_id")).agg(F.array_join(F.collect_list(F.expr(cells)), "").alias("rules"))
+    member = F.concat(F.lit("<tr><td></td><td>"), "n_name", F.lit("</td><td>x</td></tr>"))
+    members = load(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("region")).agg(F.array_join(F.collect_list(member), "").alias("members"))
+    pages = rules.join(F.broadcast(members), F.pmod(F.col("page_id"), F.lit(5)) == F.col("region"))
+    notice = F.when(F.col("page_id") % 2 == 0, "<p>The provisions that follow limit the total content of the group.</p>").otherwise("")
+    html = F.concat(F.lit('<table id="additives">'), "members", F.lit("</table>"), notice, F.lit('<table id="allowances">'), "rules", F.lit("</table>"))
+    rows = H.group_provisions(pages.select("page_id", html.alias("html")))
+    return rows.select("page_id", "member", "code", F.col("max_level_mg_kg").alias("level"), F.col("max_level_basis").alias("basis"), "conditions")
+
+
 @query(
     "src15_nearest_anchor",
     (),
@@ -90,6 +112,25 @@ def declaration_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.parse(load(spark, sf_dir, "documents").select(F.col("doc_id").alias("label_id"), "text"))
 
 
+@query(
+    "tv1_flat_declarations",
+    (),
+    r"""WITH p AS (SELECT doc_id AS label_id, unnest(list_filter([regexp_replace(x, '^\s+|\s+$', '', 'g') FOR x IN string_split(translate(text, '()[]:', '     '), ',')], lambda x: x <> '')) AS verbatim,
+        generate_subscripts(list_filter([regexp_replace(x, '^\s+|\s+$', '', 'g') FOR x IN string_split(translate(text, '()[]:', '     '), ',')], lambda x: x <> ''), 1) - 1 AS position FROM documents),
+    c AS (SELECT *, regexp_full_match(verbatim, '(?i)((INS|E)\s*)?[0-9]{3,4}[a-z]?') AS code FROM p)
+    SELECT label_id, position, verbatim, CASE WHEN NOT code THEN verbatim END AS name_as_declared, CASE WHEN code THEN verbatim END AS declared_code,
+        CASE WHEN NOT code THEN 'none' WHEN upper(verbatim) LIKE 'INS%' THEN 'INS' WHEN upper(verbatim) LIKE 'E%' THEN 'E' ELSE 'bare' END AS code_system FROM c""",
+)
+def flat_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without brackets and colons, so each part is one item, by the table function."""
+    D.register(spark)
+    return spark.sql(
+        """SELECT label_id, CAST(position AS bigint) AS position, verbatim, name_as_declared, declared_code, code_system
+        FROM parse_declarations(TABLE(SELECT doc_id AS label_id, translate(text, '()[]:', '     ') AS text FROM {docs}))""",
+        docs=load(spark, sf_dir, "documents"),
+    )
+
+
 @query("tv2_additive_list", ("items",), "SELECT label_id, item_id - 1 AS position, 'E' || canonical_id AS declared_code FROM items")
 def additive_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = F.array_sort(F.collect_list(F.struct("item_id", F.concat(F.lit("E"), "canonical_id").alias("c"))))

@@ -96,3 +96,15 @@ def test_ancestors_of_four_levels(spark):
     assert corpus.documents(tree, "full", inherit=False).where("code = '1.2'").first().document == "1.2 -- Cheese"
     with pytest.raises(ValueError):
         corpus.documents(tree, "enriched")
+
+
+def test_declarations_as_table_functions(spark):
+    labels = [(1, "cake (flour, egg), salt"), (2, None), (3, ""), (4, "x (y"), (5, "Colour: E100, E322")]
+    frame = spark.createDataFrame(labels, "label_id long, text string")
+    declarations.register(spark)
+    for name, flat in (("parse_declarations", False), ("parse_additive_lists", True)):
+        got = spark.sql(f"SELECT * FROM {name}(TABLE(SELECT label_id, text FROM {{l}}))", l=frame)
+        want = declarations.parse(frame, flat)
+        assert got.columns == want.columns and got.dtypes == want.dtypes
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.where("label_id in (2, 3)").count() == 0
+    assert [(r.label_id, r.item_id, r.verbatim) for r in declarations.parse(frame).where("item_id is null").collect()] == [(4, None, "x (y")]
