@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import small, written
+
 
 def permitted_pairs(permits: DataFrame) -> DataFrame:
     return permits.where("status = 'permitted' and fcs_code <> ''").select("canonical_id", "fcs_code").distinct()
@@ -23,12 +25,21 @@ def permitted_in(queries: DataFrame, permits: DataFrame) -> DataFrame:
     """Relational division: the categories that permit every considered substance of a query.
 
     queries: query_id, canonical_id. Substances permitted nowhere are left out of the division, not failed by it.
+    A category is a bit of a word of up to 63; a query keeps the bits that all its substances have, so rows are per
+    substance and word, not per substance and category. Categories are numbered within lots of some 40.
     """
-    pairs = permitted_pairs(permits)
-    own = queries.select("query_id", "canonical_id").distinct().join(pairs.select("canonical_id").distinct(), "canonical_id", "left_semi")
-    need = own.groupBy("query_id").agg(F.count(F.lit(1)).alias("need"))
-    have = own.join(pairs, "canonical_id").groupBy("query_id", "fcs_code").agg(F.count(F.lit(1)).alias("have"))
-    return have.join(need, "query_id").where("have = need").select("query_id", "fcs_code")
+    pairs = written(permitted_pairs(permits), "permitted")
+    lots = 1 + pairs.select(F.count_distinct("fcs_code")).first()[0] // 40
+    codes = pairs.select("fcs_code").distinct().withColumn("lot", F.pmod(F.xxhash64("fcs_code"), F.lit(lots)))
+    codes = codes.withColumn("at", F.row_number().over(Window.partitionBy("lot").orderBy("fcs_code")) - 1)
+    codes = written(codes.select("fcs_code", "lot", F.floor(F.col("at") / 63).alias("part"), (F.col("at") % 63).alias("bit")), "codes")
+    words = pairs.join(codes, "fcs_code").groupBy("canonical_id", "lot", "part").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
+    words = small(words.groupBy("canonical_id").agg(F.collect_list(F.struct("lot", "part", "mask")).alias("words")), "words")
+    names = small(codes.groupBy("lot", "part").agg(F.collect_list(F.struct("bit", "fcs_code")).alias("names")), "names")
+    own = queries.select("query_id", "canonical_id").where("query_id is not null").distinct().join(words, "canonical_id")
+    own = own.withColumn("need", F.count(F.lit(1)).over(Window.partitionBy("query_id"))).select("query_id", "need", F.inline("words"))
+    have = own.groupBy("query_id", "need", "lot", "part").agg(F.count(F.lit(1)).alias("have"), F.bit_and("mask").alias("mask")).where("have = need and mask <> 0")
+    return have.join(names, ["lot", "part"]).select("query_id", F.explode(F.expr("filter(names, x -> shiftright(mask, x.bit) & 1 = 1)")).alias("x")).select("query_id", "x.fcs_code")
 
 
 def norm(v: Column) -> Column:
