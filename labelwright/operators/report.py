@@ -2,98 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as T
-
-# Letters of the roman sub-number of a code.
-_NUMERALS = "ivxlc"
-
-
-def _tokens(text: Column) -> Column:
-    """A text as runs of letters, of digits and of white space, and other characters one by one."""
-    return F.regexp_extract_all(text, F.lit(r"\p{L}+|[0-9]+|\s+|[^\p{L}0-9\s]"), 0)
-
-
-class _At:
-    """The tokens from a place on, as tests on columns; past either end there is an empty token."""
-
-    def __init__(self, tokens: Column, i: Column):
-        self.tokens, self.i = tokens, i
-
-    def __getitem__(self, k: int | Column) -> Column:
-        return F.coalesce(F.get(self.tokens, self.i + k), F.lit(""))
-
-    def skip(self, k: int | Column) -> Column:
-        """k, or k + 1 if white space is there."""
-        return F.when(self.blank(k), F.lit(1) + k).otherwise(F.lit(0) + k)
-
-    def blank(self, k: int | Column) -> Column:
-        return F.trim(self[k], F.lit(T.SPACES)) != self[k]
-
-    def letters(self, k: int | Column) -> Column:
-        return F.rlike(self[k], F.lit(r"^\p{L}"))
-
-    def digits(self, k: int | Column, most: int, least: int = 1) -> Column:
-        return T.only(T.DIGITS, self[k]) & F.length(self[k]).between(least, most)
-
-    def number(self, k: int | Column) -> Column:
-        return T.only(T.DIGITS, self[k]) & (self[k] != "")
-
-    def in_word(self, k: int | Column) -> Column:
-        return self.letters(k) | self.number(k) | (self[k] == "_")
-
-    def text(self, k: int | Column, n: int | Column) -> Column:
-        return F.array_join(F.slice(self.tokens, self.i + k + 1, n), "")
-
-
-def _e_number(at: _At) -> Column:
-    """The code after an E that begins a word: three or four digits, a letter, a roman number in brackets; it ends its word."""
-    first = F.when(at.blank(1) & (F.length(at[1]) == 1), 2).otherwise(1)
-    lettered = first + F.when(at.letters(first + 1) & T.only(T.LETTERS, F.lower(at[first + 1])) & (F.length(at[first + 1]) == 1), 2).otherwise(1)
-    roman = at.skip(lettered + 1)
-    close = at.skip(roman + 1)
-    bracketed = (at[lettered] == "(") & at.letters(roman) & T.only(_NUMERALS, F.lower(at[roman])) & (at[close] == ")") & ~at.in_word(close + 1)
-    stop = F.when(bracketed, close + 1).otherwise(lettered)
-    whole = (F.lower(at[0]) == "e") & ~at.in_word(-1) & at.digits(first, 4, 3) & ~at.in_word(stop)
-    return F.when(whole, at.text(first, stop - first))
-
-
-def _milligrams(at: _At) -> Column:
-    """The number of "n mg/kg", whole or with decimals; white space may stand around mg and the stroke."""
-    size = F.when((at[1] == ".") & at.number(2), 3).otherwise(1)
-    unit = at.skip(size)
-    stroke = at.skip(unit + 1)
-    kilo = at.skip(stroke + 1)
-    spelled = (F.lower(at[unit]) == "mg") & (at[stroke] == "/") & (F.lower(at[kilo]) == "kg") & ~at.in_word(kilo + 1)
-    return F.when(at.number(0) & ~at.in_word(-1) & (at[-1] != ".") & spelled, at.text(0, size))
-
-
-def _category(at: _At) -> Column:
-    """A dotted code of two to four levels of one or two digits, which is no part of a longer word."""
-    out = F.lit(None).cast("string")
-    level = F.lit(True)
-    for n in (1, 2, 3):
-        level = level & (at[2 * n - 1] == ".") & at.digits(2 * n, 2)
-        out = F.when(level & ~at.in_word(2 * n + 1), at.text(0, 2 * n + 1)).otherwise(out)
-    inside = at.in_word(-1) | ((at[-1] == ".") & at.number(-2))
-    return F.when(at.digits(0, 2) & ~inside, out)
+# A code after an E that begins a word, with a letter and a roman number in brackets; a level in mg/kg, whole or
+# with decimals; a dotted category code of two to four levels. Each ends its word. Runs that can't match are not gone through twice.
+# U+212A is the one other character that has a k for its lower case.
+_WORD = r"[\p{L}0-9_]"
+_E_NUMBER = rf"(?<!{_WORD})[eE]\s?([0-9]{{3,4}}(?![0-9])(?:[a-zA-Z\u212A](?!\p{{L}}))?(?:\(\s*+[ivxlcIVXLC]++\s*+\)(?!{_WORD})|(?!{_WORD})))"
+_MILLIGRAMS = rf"(?<!{_WORD})(?<!\.)([0-9]++(?:\.[0-9]++)?+)\s*+[mM][gG]\s*+/\s*+[kK\u212A][gG](?!{_WORD})"
+_CATEGORY = rf"(?<!{_WORD})(?<![0-9]\.)([0-9]{{1,2}}(?:\.[0-9]{{1,2}}(?![0-9])){{1,3}})(?!{_WORD})"
 
 
 def unsupported_claims(text: Column, source: Column) -> Column:
     """Codes after E, levels in mg/kg and category codes of a text that do not occur in its source, in order of kind."""
-
-    def claims(tokens: Column) -> Column:
-        def of(kind: Callable[[_At], Column]) -> Column:
-            return F.transform(tokens, lambda _, i: kind(_At(tokens, i)))
-
-        return F.array_compact(F.concat(of(_e_number), of(_milligrams), of(_category)))
-
-    # inside transform() the tokens are a variable, so the text is cut once
-    found = F.get(F.transform(F.array(_tokens(text)), claims), F.lit(0))
+    found = F.concat(*(F.regexp_extract_all(text, F.lit(kind), 1) for kind in (_E_NUMBER, _MILLIGRAMS, _CATEGORY)))
     return F.filter(found, lambda x: ~F.contains(source, x))
 
 
