@@ -112,5 +112,6 @@ def advisory_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "blocked": lambda v: v.where(blocking).groupBy("label_id").agg(ids.alias("ids")),
         "sensitive": lambda v: v.where("category_sensitive").groupBy("label_id").agg(F.count(F.lit(1)).alias("n_sensitive")),
     }
-    merged = fan_out(item_verdicts(spark, sf_dir), lanes, "label_id")
+    verdicts = item_verdicts(spark, sf_dir).select("label_id", "item_id", "headline", "verdict_certainty", "category_conflict", "category_sensitive")
+    merged = fan_out(verdicts, lanes, "label_id")
     return merged.select("label_id", "counts.n_blocked", "counts.n_review", F.col("blocked.ids").alias("blocked"), "sensitive.n_sensitive")
