@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 
 def multiset_scores(golden: DataFrame, found: DataFrame, by: str, key: str) -> DataFrame:
-    """Per group: n golden, n found, n in common (with multiplicity), recall and precision."""
-    g = golden.groupBy(by, key).agg(F.count(F.lit(1)).alias("g"))
-    f = found.groupBy(by, key).agg(F.count(F.lit(1)).alias("f"))
-    both = g.join(f, [by, key], "full_outer").select(by, F.coalesce("g", F.lit(0)).alias("g"), F.coalesce("f", F.lit(0)).alias("f"))
-    s = both.groupBy(by).agg(F.sum("g").alias("n_golden"), F.sum("f").alias("n_found"), F.sum(F.least("g", "f")).alias("n_common"))
+    """Per group: n golden, n found, n in common (with multiplicity; nulls have nothing in common), recall and precision.
+
+    Both sides are one table that is counted by key: neither is sorted to meet the other.
+    """
+    sides = golden.select(by, key, F.lit(1).alias("g"), F.lit(0).alias("f")).unionByName(found.select(by, key, F.lit(0).alias("g"), F.lit(1).alias("f")))
+    both = sides.groupBy(by, key).agg(F.sum("g").alias("g"), F.sum("f").alias("f"))
+    common = F.when(F.col(by).isNotNull() & F.col(key).isNotNull(), F.least("g", "f")).otherwise(0)
+    s = both.groupBy(by).agg(F.sum("g").alias("n_golden"), F.sum("f").alias("n_found"), F.sum(common).alias("n_common"))
     share = lambda n: F.when(F.col(n) > 0, F.col("n_common") / F.col(n)).otherwise(1.0)
     return s.withColumn("recall", share("n_golden")).withColumn("precision", share("n_found"))
 
