@@ -56,6 +56,10 @@ def fingerprint(corpus: DataFrame) -> str:
     return f"{row.n:x}-{int(row.h) % (1 << 64):016x}"
 
 
+#: Numbers of an array of one step, at most: a step goes over as many queries as this allows.
+STEP = 1 << 21
+
+
 def _unit(v: np.ndarray) -> np.ndarray:
     size = np.linalg.norm(v, axis=1, keepdims=True)
     return np.divide(v, size, out=np.zeros_like(v), where=size > 0)
@@ -191,9 +195,10 @@ def _asked(probes: DataFrame, index: Index, n_probe: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre, sizes = shared.value
+        step = max(1, STEP // max(1, centre.size))
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 q = _unit(matrix(part.column("embedding")))
                 score = np.where(sizes > 0, _against(q, centre), -2.0)
                 cell = np.argsort(-score, axis=1, kind="stable")[:, :n_probe]
@@ -217,9 +222,11 @@ def _open_cells(probes: DataFrame, found: DataFrame, index: Index, n_probe: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre, sizes, radii = shared.value
+        # a query may go on with its vector to every cell
+        step = max(1, STEP // max(1, centre.size))
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 q = _unit(matrix(part.column("embedding")))
                 raw = _against(q, centre)
                 order = np.argsort(-np.where(sizes > 0, raw, -2.0), axis=1, kind="stable")
@@ -260,8 +267,9 @@ def _scored(asked: DataFrame, index: Index, k: int) -> DataFrame:
         if docs.num_rows and queries.num_rows:
             m, doc = matrix(docs.column("embedding")), docs.column("doc_ord").to_numpy()
             q, query = matrix(queries.column("embedding")), queries.column("query_id").to_numpy()
-            for at in range(0, len(q), 256):
-                s = np.round(q[at : at + 256] @ m.T, 12)
+            step = max(1, STEP // len(m))
+            for at in range(0, len(q), step):
+                s = np.round(q[at : at + step] @ m.T, 12)
                 # the k best and all that tie with the last of them, so that ties go by doc_ord
                 least = np.partition(s, max(0, s.shape[1] - k), axis=1)[:, max(0, s.shape[1] - k)]
                 row, column = np.nonzero(s >= least[:, None])
