@@ -47,31 +47,37 @@ def synonyms(pages: DataFrame) -> DataFrame:
     return starred.groupBy("detail_id").agg(ordered.alias("synonyms"))
 
 
+def _element(tag: str, attribute: str = "") -> str:
+    """Pattern of an element; group 1 is what lies before its first end tag. Runs without a tag are passed over at once, not letter by letter."""
+    return rf"(?i)<{tag}\b{attribute}[^>]*>((?:[^<]+|<(?!/{tag}>))*+)</{tag}>"
+
+
 def _table(html: Column, table_id: str) -> Column:
-    return F.regexp_extract(html, rf'(?is)<table\b[^>]*\bid="{table_id}"[^>]*>(.*?)</table>', 1)
+    return F.regexp_extract(html, _element("table", rf'[^>]*\bid="{table_id}"'), 1)
 
 
 def _rows(table: Column) -> Column:
-    return F.transform(F.regexp_extract_all(table, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), 1), lambda tr: F.regexp_extract_all(tr, F.lit(r"(?is)<td\b[^>]*>(.*?)</td>"), 1))
+    return F.transform(F.regexp_extract_all(table, F.lit(_element("tr")), 1), lambda tr: F.regexp_extract_all(tr, F.lit(_element("td")), 1))
 
 
 def notes(cell: Column) -> Column:
     """Parallel codes and texts of a notes cell, padded with empty strings."""
-    blocks = F.regexp_extract_all(cell, F.lit(r"(?is)<div\b[^>]*>(.*?)</div>"), 1)
-    blocks = F.when(F.size(blocks) > 0, blocks).otherwise(F.array(cell))
+    blocks = F.regexp_extract_all(cell, F.lit(_element("div")), 1)
+    # a variable of transform, so that the pattern is gone through once
+    blocks = F.get(F.transform(F.array(blocks), lambda b: F.when(F.size(b) > 0, b).otherwise(F.array(cell))), F.lit(0))
     pairs = F.transform(blocks, lambda b: F.struct(F.regexp_extract(clean_html(b), r"Note\s+([A-Za-z0-9]+)", 1).alias("code"), F.trim(F.regexp_extract(b, r'(?is)<img\b[^>]*\btitle="([^"]*)"', 1)).alias("text")))
     return F.filter(pairs, lambda p: (p["code"] != "") | (p["text"] != ""))
 
 
-def provisions(pages: DataFrame) -> DataFrame:
-    """Every row of the allowances table whose number cell is a category code: page_id, row, code, name, level, basis, conditions, note_codes."""
-    rows = pages.select("page_id", F.posexplode(_rows(_table(F.col("html"), "allowances"))).alias("row", "td")).where(F.size("td") >= 6)
+def provisions(pages: DataFrame, *kept: str) -> DataFrame:
+    """Every row of the allowances table whose number cell is a category code: page_id, row, code, name, level, basis, conditions, note_codes, and the page's columns kept."""
+    rows = pages.select("page_id", *kept, F.posexplode(_rows(_table(F.col("html"), "allowances"))).alias("row", "td")).where(F.size("td") >= 6)
     code = clean_html(F.get("td", F.lit(2)))
     rows = rows.withColumn("code", code).where(F.col("code").rlike(CATEGORY)).withColumn("level", parse_level(clean_html(F.get("td", F.lit(4))))).withColumn("notes", notes(F.get("td", F.lit(5))))
     text = F.transform("notes", lambda p: F.when((p["text"] != "") & (p["code"] != ""), F.concat(p["text"], F.lit(" [Note "), p["code"], F.lit("]"))).when(p["text"] != "", p["text"]).otherwise(F.concat(F.lit("[Note "), p["code"], F.lit("]"))))
     return rows.select(
         "page_id", "row", "code", clean_html(F.get("td", F.lit(3))).alias("name"), F.col("level.level").alias("max_level_mg_kg"), F.col("level.basis").alias("max_level_basis"),
-        F.nullif(F.array_join(text, " | "), F.lit("")).alias("conditions"), F.filter(F.transform("notes", lambda p: p["code"]), lambda c: c != "").alias("note_codes"),
+        F.nullif(F.array_join(text, " | "), F.lit("")).alias("conditions"), F.filter(F.transform("notes", lambda p: p["code"]), lambda c: c != "").alias("note_codes"), *kept,
     )
 
 
@@ -92,10 +98,15 @@ def detail(pages: DataFrame) -> DataFrame:
 
 
 def group_provisions(pages: DataFrame) -> DataFrame:
-    """A group's members with each of its provisions: page_id, member, code, level and conditions with the shared-limit text."""
-    members = pages.select("page_id", F.explode(_rows(_table(F.col("html"), "additives"))).alias("td")).where(F.size("td") >= 3)
-    members = members.select("page_id", clean_html(F.get("td", F.lit(1))).alias("member"))
+    """A group's members with each of its provisions: page_id, member, code, level and conditions with the shared-limit text.
+
+    A page is read once: its provisions carry its members and notice, and are spread over the members last.
+    """
+    members = F.transform(F.filter(_rows(_table(F.col("html"), "additives")), lambda td: F.size(td) >= 3), lambda td: clean_html(F.get(td, F.lit(1))))
     notice = F.regexp_extract(clean_html(F.col("html")), r"(The provisions that follow[^.]*total content[^.]*\.)", 1)
-    rules = provisions(pages).join(pages.select("page_id", notice.alias("notice")), "page_id")
-    both = members.join(rules, "page_id")
-    return both.select("page_id", "member", "code", "max_level_mg_kg", "max_level_basis", F.nullif(F.concat_ws(" | ", "conditions", F.nullif("notice", F.lit(""))), F.lit("")).alias("conditions"))
+    # behind explode, members are computed once and not again for a filter on their number
+    read = pages.select("page_id", "html", F.explode(F.array(F.struct(members.alias("members"), notice.alias("notice")))).alias("page"))
+    rules = provisions(read.select("page_id", "html", "page.*"), "members", "notice")
+    told = F.nullif(F.concat_ws(" | ", "conditions", F.nullif("notice", F.lit(""))), F.lit(""))
+    rules = rules.select("page_id", "members", "code", "max_level_mg_kg", "max_level_basis", told.alias("conditions"))
+    return rules.select("page_id", F.explode("members").alias("member"), "code", "max_level_mg_kg", "max_level_basis", "conditions")
